@@ -51,7 +51,7 @@ def words_of(text: Column) -> Column:
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(m))
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(m))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, m: int, held: int, limit: int) -> DataFrame:

@@ -9,6 +9,12 @@ from tessella.llm import oracles
 #: One query for each operator: (module, function).
 _QUERIES = [
     ("sharding", "op1_hilbert_sharding"),
+    ("toxicity", "op2_toxicity"),
+    ("decontamination", "op4_benchmark_decontamination"),
+    ("packing", "op5_best_fit_packing"),
+    ("simhash", "op6_simhash_near_dedup"),
+    ("quality_classifier", "op7_quality_classifier"),
+    ("html_extraction", "op9_html_extraction"),
     ("quality_rules", "op10_quality_rules"),
 ]
 
