@@ -87,10 +87,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def rule_verdicts(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
+def rule_verdicts(docs: DataFrame, keep_at: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the posterior of each row of docs (doc_id, text). Null texts have
-    no words and fail; repeated rows are judged alike."""
-    stats = with_text_stats(docs.select("doc_id", "text")).withColumn("base_failed", base_failed())
+    no words and fail; repeated rows are judged alike. `carry`: these columns of docs pass through in a struct `row`, so
+    that no name of theirs clashes."""
+    row = [F.struct(*carry).alias("row")] if carry else []
+    stats = with_text_stats(docs.select("doc_id", "text", *row)).withColumn("base_failed", base_failed())
     judged = judge_quality(stats, default_rules())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= keep_at))
 

@@ -10,10 +10,12 @@ from tessella.llm import oracles
 _QUERIES = [
     ("sharding", "op1_hilbert_sharding"),
     ("toxicity", "op2_toxicity"),
+    ("tool_calls", "op3_tool_call_linking"),
     ("decontamination", "op4_benchmark_decontamination"),
     ("packing", "op5_best_fit_packing"),
     ("simhash", "op6_simhash_near_dedup"),
     ("quality_classifier", "op7_quality_classifier"),
+    ("suffix_dedup", "op8_suffix_array_dedup"),
     ("html_extraction", "op9_html_extraction"),
     ("quality_rules", "op10_quality_rules"),
 ]
