@@ -9,6 +9,7 @@ displaced pieces.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -22,39 +23,67 @@ from tessella.llm.common import stored, table
 
 #: How the tokenizer file splits a normalised text (fixed value from that file).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Units of these characters are normalised to their lower case and nothing else: ASCII, and letters of Latin-1.
-PLAIN = regex.compile(r"[\x21-\x7eß-öø-ÿÀ-ÖØ-Þ]+")
+#: Texts with these go to the tokenizer as they are: its special tokens, and separators that it counts as no white space.
+ODD = regex.compile(r"<\||[\x1c-\x1f]")
+#: The byte-level alphabet by rule: a printable byte stands for itself, the others follow from U+0100 on.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+OTHERS = [b for b in range(256) if b not in PRINTED]
+ALPHABET = [chr(b) if b in PRINTED else chr(256 + OTHERS.index(b)) for b in range(256)]
 
 
 class TokenIds:
-    """ids of a text, as little-endian uint32 bytes. White space is no token and never joins two, so a text's ids are those
-    of its space-separated units in order; units and their pieces are remembered, up to `most` entries each."""
+    """ids of a text, as little-endian uint32 bytes. White space is no token and never joins two, so a Latin-1 text's ids
+    are those of its lower-case, space-separated units in order, and a unit's are those of its pieces. Both are remembered,
+    up to `most` entries; any other text is encoded whole."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, units: list[str]) -> None:
-        plain = {u: PIECES.findall(u.lower()) for u in units if PLAIN.fullmatch(u) and "<|" not in u}
-        new = list({p for found in plain.values() for p in found if p not in self.pieces})
-        self.pieces.update(zip(new, self.encode(new), strict=True))
-        self.units.update((u, b"".join([self.pieces[p] for p in found])) for u, found in plain.items())
-        odd = [u for u in units if u not in plain]
-        self.units.update(zip(odd, self.encode(odd), strict=True))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        for kept in (self.units, self.pieces):
-            if len(kept) > self.most:
-                kept.clear()
-        split = [t.split() for t in texts]
-        self.learn([u for u in set().union(*split) if u not in self.units])
-        return [b"".join(map(self.units.__getitem__, s)) for s in split]
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        found = self.known.get(piece)
+        if found is None:
+            mapped = piece if piece.isascii() else "".join([ALPHABET[b] for b in piece.encode()])
+            found = self.known[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return found
+
+    def unit(self, unit: str) -> None:
+        if unit.isalpha():
+            self.piece(unit)
+        elif unit[-1] in ".," and unit[:-1].isalpha():
+            self.known[unit] = self.piece(unit[:-1]) + self.piece(unit[-1])
+        else:
+            self.known[unit] = b"".join([self.piece(p) for p in PIECES.findall(unit)])
+
+    def of(self, text: str) -> bytes:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.whole(text)
+        if ODD.search(text):
+            return self.whole(text)
+        units = text.lower().split()
+        try:
+            return b"".join(map(self.known.__getitem__, units))
+        except KeyError:
+            if len(self.known) > self.most:
+                self.known.clear()
+            for u in set(units).difference(self.known):
+                self.unit(u)
+            return b"".join(map(self.known.__getitem__, units))
+
+
+def token_ids(path: str) -> TokenIds:
+    """One per worker process: what it has learnt outlives the task, in the namespace of the tokenizer library."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_token_ids", {})
+    return kept.get(path) or kept.setdefault(path, TokenIds(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
@@ -62,13 +91,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = TokenIds(tokenizer)
+        ids = token_ids(tokenizer)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 rows: list[tuple] = []
-                for doc, b in zip(part.column("doc_id").to_pylist(), ids.of([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    b += bytes(4)
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    b = ids.of(text or "") + bytes(4)
                     rows += [(doc, k, s // 4, len(c := b[s : s + 4 * capacity]) // 4, zlib.crc32(c)) for k, s in enumerate(range(0, len(b), 4 * capacity))]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("doc_id").type), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
