@@ -1,3 +1,41 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express. The others are tested against brute force in tests/llm."""
 
-SQL: dict[str, str] = {}
+WORDS = r"[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"
+
+SQL: dict[str, str] = {
+    "op3_tool_call_linking": """
+WITH calls AS (
+  SELECT conv_id || ':' || turn AS call_id, CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS after, CASE WHEN turn < 2 THEN 'open' ELSE 'continue' END AS name,
+    '{"chars":' || length(coalesce(text, '')) || ',"digest":"' || md5(coalesce(text, '')) || '"' || CASE WHEN turn >= 2 THEN ',"previous":' || (turn - 2) ELSE '' END || ',"turn":' || turn || '}' AS arguments
+  FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id || ':' || (turn - 1) AS call_id, md5(coalesce(text, '')) AS content FROM conversations WHERE role = 'assistant'),
+one AS (SELECT call_id, arg_min(after, arguments) AS after, arg_min(name, arguments) AS name, min(arguments) AS arguments, count(*) AS n_calls FROM calls GROUP BY 1),
+got AS (SELECT call_id, min(content) AS content, count(*) AS n_results FROM results GROUP BY 1),
+chain AS (
+  WITH RECURSIVE c AS (
+    SELECT call_id, 0::BIGINT AS depth FROM one WHERE after IS NULL OR after NOT IN (SELECT call_id FROM one)
+    UNION ALL SELECT one.call_id, depth + 1 FROM one JOIN c ON one.after = c.call_id)
+  SELECT * FROM c),
+linked AS (
+  SELECT coalesce(one.call_id, got.call_id) AS call_id, name, depth, arguments, content, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+    CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'answered' END AS status
+  FROM one JOIN chain USING (call_id) FULL JOIN got ON one.call_id = got.call_id)
+SELECT call_id, name, depth, status, n_calls, n_results, '' AS errors,
+  '{' || CASE WHEN arguments IS NULL THEN '' ELSE '"arguments":' || arguments || ',' END || '"call":"' || call_id || '"' || CASE WHEN depth IS NULL THEN '' ELSE ',"depth":' || depth END
+  || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END || CASE WHEN content IS NULL THEN '' ELSE ',"result":"' || content || '"' END || ',"status":"' || status || '"}' AS json
+FROM linked""",
+    "op4_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+grams AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, grams.n, item_id FROM grams JOIN windows ON grams.n = windows.n AND grams.phrase = windows.phrase),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
