@@ -1,0 +1,60 @@
+"""Suffix ranks by the distributed difference-cover algorithm (places 1 and 2 modulo 3), as DataFrame joins and sorts.
+
+Sorts the sampled triples, recurses on their names until all differ, ranks the remaining suffixes by their first name and
+the rank behind it, and merges both by counting. Sequences end below any name, so they need no separators. It is the
+textbook form of what suffix_dedup does with a sample drawn by content; README.md has its cost.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessella.llm.common import cut
+
+END = -1
+
+
+def numbered(df: DataFrame, order_by: list, name: str) -> DataFrame:
+    """Dense number from 1 in order, by range partitions and their counts."""
+    parts = cut(df.orderBy(*order_by).withColumns({"_pid": F.spark_partition_id(), "_mono": F.monotonically_increasing_id()}))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).select("_pid", before.alias("_before")))
+    return parts.join(offsets, "_pid").withColumn(name, F.col("_before") + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_pid", "_mono", "_before")
+
+
+def running(df: DataFrame, flag: Column, along: str, name: str, block: int = 65536) -> DataFrame:
+    """How many rows up to and with this one have the flag, along a dense number."""
+    df = df.withColumns({"_block": F.floor(F.col(along) / block), "_flag": flag.cast("long")})
+    before = F.coalesce(F.sum("_all").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = df.groupBy("_block").agg(F.sum("_flag").alias("_all")).select("_block", before.alias("_before"))
+    inside = F.sum("_flag").over(Window.partitionBy("_block").orderBy(along))
+    return df.withColumn(name, inside).join(blocks, "_block").withColumn(name, F.col(name) + F.col("_before")).drop("_block", "_flag", "_before")
+
+
+def suffix_ranks(sequences: DataFrame, deepest: int = 40) -> DataFrame:
+    """(seq, place, rank) for (seq, names array<bigint>), names at least 0: rank orders all suffixes of all sequences, places
+    count from 0. Equal suffixes (of different sequences) share a rank at most where their names run out together."""
+    at = lambda i: F.coalesce(F.get("names", i), F.lit(END).cast("bigint"))
+    places = F.transform(F.col("names"), lambda c, i: F.struct(i.alias("place"), c.alias("c0"), at(i + 1).alias("c1"), at(i + 2).alias("c2")))
+    rows = cut(sequences.select("seq", F.explode(places).alias("p")).select("seq", F.col("p.place").cast("long").alias("place"), "p.c0", "p.c1", "p.c2"))
+    sample = rows.where("place % 3 <> 0")
+    triples = cut(numbered(sample.select("c0", "c1", "c2").distinct(), ["c0", "c1", "c2"], "name"))
+    named = cut(sample.join(triples, ["c0", "c1", "c2"]).select("seq", "place", "name"))
+    if deepest == 0 or triples.count() == named.count():
+        ranked = named.withColumnRenamed("name", "rank")
+    else:
+        key = F.struct("seq", (F.col("place") % 3).alias("turn"))
+        again = named.groupBy(key.alias("k")).agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("l"))
+        inner = suffix_ranks(again.select(F.col("k").alias("seq"), F.col("l.name").alias("names")), deepest - 1)
+        ranked = cut(inner.select("seq.seq", (F.col("place") * 3 + F.col("seq.turn")).alias("place"), "rank"))
+    behind = lambda k: ranked.select("seq", (F.col("place") - k).alias("place"), F.col("rank").alias(f"r{k}"))
+    rows = cut(rows.join(behind(1), ["seq", "place"], "left").join(behind(2), ["seq", "place"], "left").join(ranked, ["seq", "place"], "left").select("seq", "place", "c0", "c1", (F.col("place") % 3).alias("turn"), F.coalesce("r1", F.lit(0)).alias("r1"), F.coalesce("r2", F.lit(0)).alias("r2"), "rank"))
+    zero = F.col("turn") == 0
+    one = running(numbered(rows.where("turn <> 2").select("seq", "place", "turn", "c0", "r1", "rank"), ["c0", "r1"], "n"), zero, "n", "zeros")
+    two = running(numbered(rows.where("turn <> 1").select("seq", "place", "turn", "c0", "c1", "r2", "rank"), ["c0", "c1", "r2"], "n"), zero, "n", "zeros")
+    one, two = cut(one.select("seq", "place", "turn", "rank", "n", "zeros")), cut(two.select("seq", "place", "turn", "rank", "n", "zeros"))
+    sampled = one.where("turn = 1").unionByName(two.where("turn = 2")).select("seq", "place", (F.col("rank") + F.col("zeros")).alias("rank"))
+    third = two.where("turn = 0").select("seq", "place", (F.col("n") - F.col("zeros")).alias("twos"))
+    rest = one.where("turn = 0").join(third, ["seq", "place"]).select("seq", "place", (F.col("n") + F.col("twos")).alias("rank"))
+    return sampled.unionByName(rest)

@@ -1,0 +1,14 @@
+"""Suffix ranks against sorting the suffixes."""
+
+import random
+
+from tessella.llm.difference_cover import suffix_ranks
+
+
+def test_ranks_order_all_suffixes(spark):
+    random.seed(1)
+    seqs = [(k, [random.randrange(3) for _ in range(random.randrange(1, 30))]) for k in range(8)] + [(100, [1] * 30), (101, [])]
+    got = {(r["seq"], r["place"]): r["rank"] for r in suffix_ranks(spark.createDataFrame(seqs, "seq long, names array<bigint>")).collect()}
+    suffixes = sorted((tuple(n[i:]), k, i) for k, n in seqs for i in range(len(n)))
+    assert len(got) == len(suffixes)
+    assert all(got[k, i] < got[m, j] for (a, k, i), (b, m, j) in zip(suffixes, suffixes[1:]) if a < b)
