@@ -3,6 +3,7 @@ text features, trained on labelled pages and decoded by Viterbi."""
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -106,12 +107,11 @@ def fit_crf(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, l2:
 def labelled_variants(html: str, filler: list[str], number: int) -> list[str]:
     """A page that labels itself (its text stands in <article> or <main>) as training pages, with data-main marks: as it
     is, and in another container with furniture around and inside its main text."""
-    for tag in MAIN_TAGS:
-        if f"<{tag}>" in html and f"</{tag}>" in html:
-            break
-    else:
+    opening = re.search(rf"<({'|'.join(MAIN_TAGS)})\b[^>]*>", html)
+    tag = opening[1] if opening else ""
+    if not opening or f"</{tag}>" not in html[opening.end() :]:
         return []
-    before, _, rest = html.partition(f"<{tag}>")
+    before, rest = html[: opening.start()], html[opening.end() :]
     body, _, after = rest.rpartition(f"</{tag}>")
     mark = lambda s, v: s.replace(">", f' data-main="{v}">', 1)
     out = [f"{before}<{tag} data-main=\"1\">{body}</{tag}>{after}"]
@@ -129,7 +129,7 @@ def labelled_variants(html: str, filler: list[str], number: int) -> list[str]:
 def train(pages: DataFrame, n_pages: int = 120) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights and moves, from at most n_pages pages (those of the smallest hash of page_id) whose own markup labels them;
     None if no page does. A page of the sample with over 200 blocks is left to extraction only, to bound the fit."""
-    tagged = F.col("html").rlike("<(article|main)>")
+    tagged = F.col("html").rlike(rf"<({'|'.join(MAIN_TAGS)})\b[^>]*>")
     sample = [r["html"] for r in pages.where(tagged).orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages).select("html").collect()]
     filler = [b.text[:200].replace("<", " ").replace("&", " ") for h in sample[:20] for b in leaf_blocks(h) if 20 < len(b.text)]
     chains = []
