@@ -47,14 +47,15 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, pr
     """Expectation-maximisation over counted vote patterns: (log prior odds, per rule the log odds that a vote adds).
 
     Classes are conditionally independent (Dawid and Skene). Start: every vote is right four times in five. `smooth`
-    pseudo-votes keep a rule that never fires harmless, and a vote's sign can't turn: its log odds are held at the side
+    pseudo-votes, shared as the classes are, keep a rule that never fires harmless, and a vote's sign can't turn: its log odds are held at the side
     that the rule names, so that "good" stays the class that the rules call good.
     """
     n_rules = len(patterns[0][0]) if patterns else 0
     odds, add = math.log(prior / (1 - prior)), [{-1: -math.log(4), 0: 0.0, 1: math.log(4)} for _ in range(n_rules)]
     for _ in range(rounds):
         good_all, bad_all = smooth * prior, smooth * (1 - prior)
-        tally = [{v: [smooth, smooth] for v in (-1, 0, 1)} for _ in range(n_rules)]
+        share = 1 / (1 + math.exp(-odds))
+        tally = [{v: [smooth * share, smooth * (1 - share)] for v in (-1, 0, 1)} for _ in range(n_rules)]
         for votes, n in patterns:
             z = odds + sum(a[v] for a, v in zip(add, votes, strict=True))
             g = n / (1 + math.exp(-max(-60.0, min(60.0, z))))
