@@ -48,7 +48,7 @@ class TokenIds:
     def piece(self, piece: str) -> bytes:
         found = self.known.get(piece)
         if found is None:
-            mapped = piece if piece.isascii() else "".join([ALPHABET[b] for b in piece.encode()])
+            mapped = piece if piece.isascii() and piece.isprintable() else "".join([ALPHABET[b] for b in piece.encode()])
             found = self.known[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
         return found
 
