@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import function_queries, group_queries, shape_queries  # noqa: F401  (they register themselves)
+from tessella.plans import function_queries, group_queries, shape_queries, text_queries  # noqa: F401  (they register themselves)
 from tessella.plans.registry import QUERIES, SQL
 
 
