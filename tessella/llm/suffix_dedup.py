@@ -28,40 +28,45 @@ TUPLE = 32
 #: Multiplier of the rolling hash; any odd number serves.
 MUL = 0x9E3779B97F4A7C15
 #: Bytes whose suffixes a task sorts at once, and bytes of a group beyond which it is dealt out anew.
-CHUNK, HOT = 4 << 20, 24 << 20
+CHUNK, HOT = 1 << 20, 6 << 20
+#: Bytes that are hashed at a time.
+SPAN = 1 << 17
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, MUL, np.uint64), np.full(n + 1, pow(MUL, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+class Hasher:
+    """64-bit hashes of substrings of a byte array of at most SPAN + 4096 bytes; equal strings have equal hashes wherever
+    they stand. One per task: its tables are made there and don't travel."""
 
+    def __init__(self) -> None:
+        up, down = np.full(SPAN + 4096, MUL, np.uint64), np.full(SPAN + 4096, pow(MUL, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        self.up, self.down = np.cumprod(up), np.cumprod(down)
+        self.code = np.random.default_rng(8).integers(1, 1 << 63, 256).astype(np.uint64)
 
-class Rolling:
-    """64-bit hashes of substrings of a byte array; equal strings have equal hashes wherever they stand."""
-
-    kept = powers(1 << 16)
-    code = np.random.default_rng(8).integers(1, 1 << 63, 256).astype(np.uint64)
-
-    def __init__(self, b: np.ndarray):
-        if len(b) >= len(Rolling.kept[0]):
-            Rolling.kept = powers(2 * len(b))
-        up, self.down = Rolling.kept
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(Rolling.code[b] * up[: len(b)])])
-
-    def of(self, start: np.ndarray, length: int) -> np.ndarray:
-        h = (self.sums[start + length] - self.sums[start]) * self.down[start]
+    def of(self, b: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.code[b] * self.up[: len(b)])])
+        h = (sums[start + length] - sums[start]) * self.down[start]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(29))
 
 
-def sampled(b: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sampled(hasher: Hasher, b: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions, first window, tuple hash): of every `window` bytes of b the tuple with the least hash, leftmost on a tie,
-    is sampled. first[i] is the first window start that takes positions[i]; both increase."""
+    is sampled. first[i] is the first window start that takes positions[i]; both increase. A long text goes span by span."""
+    found = []
+    for i in range(0, len(b) - window + 1, SPAN):
+        at, first, h = sampled_span(hasher, b[i : i + SPAN + window - 1], window)
+        if found and found[-1][0][-1] == at[0] + i:  # the span before has it already
+            at, first, h = at[1:], first[1:], h[1:]
+        if len(at):
+            found.append((at + i, first + i, h))
     none = np.zeros(0, np.int64)
-    if len(b) < window:
-        return none, none, none.astype(np.uint64)
-    h = Rolling(b).of(np.arange(len(b) - TUPLE + 1), TUPLE)
+    at, first, h = map(np.concatenate, zip(*found, strict=True)) if found else (none, none, none.astype(np.uint64))
+    return at, first, h
+
+
+def sampled_span(hasher: Hasher, b: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h = hasher.of(b, np.arange(len(b) - TUPLE + 1), TUPLE)
     m = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
     width, size = window - TUPLE + 1, 1
     while size * 2 <= width:
@@ -81,10 +86,11 @@ def repeated_samples(docs: DataFrame, window: int) -> DataFrame:
     """(_k, sample): numbers of the sampled positions, by document key, whose tuple occurs twice or more."""
 
     def tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                names = [sampled(np.frombuffer(as_bytes(t), np.uint8), window)[2] for t in part.column("text").to_pylist()]
+                names = [sampled(hasher, np.frombuffer(as_bytes(t), np.uint8), window)[2] for t in part.column("text").to_pylist()]
                 n = [len(x) for x in names]
                 key = np.repeat(part.column("_k").to_numpy(), n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(key), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in n]))], ["name", "_k", "sample"])
@@ -118,26 +124,27 @@ def surroundings(docs: DataFrame, samples: DataFrame, window: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
             for i in range(0, batch.num_rows, 32):
                 part = batch.slice(i, 32)
                 of, names, starts, bodies = [], [], [], []
                 for r, (text, chosen) in enumerate(zip(part.column("text").to_pylist(), part.column("samples").to_pylist(), strict=True)):
                     b = as_bytes(text)
-                    _, first, name = sampled(np.frombuffer(b, np.uint8), window)
+                    _, first, name = sampled(hasher, np.frombuffer(b, np.uint8), window)
                     ends = np.append(first[1:], len(b) - window + 1) - 1 + window
                     for s in sorted(c for c in chosen if c < len(first)):
                         of.append(r)
                         names.append(name[s])
                         starts.append(first[s])
                         bodies.append(b[first[s] : ends[s]])
-                took = part.take(pa.array(of, pa.int64()))
+                took = part.select(["doc_id", "_h"]).take(pa.array(of, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), took.column("doc_id"), took.column("_h"), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary())], ["name", "doc_id", "_h", "start", "body"])
 
     return docs.join(lists, "_k").select("doc_id", "_h", "text", "samples").mapInArrow(run, f"name long, doc_id {kind}, _h long, start int, body binary")
 
 
-def same_windows(bodies: list[bytes], window: int) -> list[np.ndarray]:
+def same_windows(hasher: Hasher, bodies: list[bytes], window: int) -> list[np.ndarray]:
     """For each body, which of its windows occur elsewhere in the bodies: all suffixes are sorted by the hash of their
     first `window` bytes, and adjacent ones with equal hashes are compared byte by byte."""
     sizes = np.array([len(x) for x in bodies])
@@ -145,7 +152,14 @@ def same_windows(bodies: list[bytes], window: int) -> list[np.ndarray]:
     at = np.cumsum(sizes) - sizes
     n = sizes - window + 1
     starts = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    h = Rolling(b).of(starts, window)
+    whole, hashes = np.append(at, len(b)), []
+    i = 0
+    while i < len(bodies):
+        j = max(i + 1, int(np.searchsorted(whole, whole[i] + SPAN, "right")) - 1)
+        inside = starts[(np.cumsum(n) - n)[i] : np.cumsum(n)[j - 1]] - whole[i]
+        hashes.append(hasher.of(b[whole[i] : whole[j]], inside, window))
+        i = j
+    h = np.concatenate(hashes)
     order = np.argsort(h)
     pair = np.flatnonzero(h[order][1:] == h[order][:-1])
     hit = np.zeros(len(starts), bool)
@@ -168,7 +182,7 @@ def matched_spans(bodies: DataFrame, window: int) -> DataFrame:
     schema = f"doc_id {kind}, _h long, start int, stop int, window binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_type = None
+        doc_type, hasher = None, Hasher()
         fields = ["doc_id", "_h", "start", "stop", "window"]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -177,7 +191,7 @@ def matched_spans(bodies: DataFrame, window: int) -> DataFrame:
 
         def resolve(groups: list[tuple[bytes, list[tuple]]]) -> Iterator[pa.RecordBatch]:
             rows = []
-            for (body, members), hit in zip(groups, same_windows([g[0] for g in groups], window), strict=True):
+            for (body, members), hit in zip(groups, same_windows(hasher, [g[0] for g in groups], window), strict=True):
                 if len(members) > 1:
                     rows += [(doc, h, start, start + len(body), None) for doc, h, start in members]
                     continue
@@ -188,7 +202,7 @@ def matched_spans(bodies: DataFrame, window: int) -> DataFrame:
 
         def dealt(groups: list[tuple[bytes, list[tuple]]]) -> Iterator[pa.RecordBatch]:
             for body, members in groups:
-                yield out([(doc, h, start + i, None, body[i : i + window]) for doc, h, start in members for i in range(len(body) - window + 1)])
+                yield out([(doc, h, start + i, None, hashlib.blake2b(body[i : i + window], digest_size=32).digest()) for doc, h, start in members for i in range(len(body) - window + 1)])
 
         done: list[tuple[bytes, list[tuple]]] = []  # groups that are complete
         group: list[tuple[bytes, list[tuple]]] = []  # the group that rows still arrive for
@@ -225,7 +239,7 @@ def matched_spans(bodies: DataFrame, window: int) -> DataFrame:
 
     found = stored(bodies.repartition("name").sortWithinPartitions("name", "body").mapInArrow(run, schema))
     plain = found.where(F.col("stop").isNotNull()).drop("window")
-    dealt = found.where(F.col("stop").isNull()).withColumn("_w", F.sha2("window", 256)).drop("window", "stop")
+    dealt = found.where(F.col("stop").isNull()).withColumnRenamed("window", "_w").drop("stop")
     again = dealt.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return plain.unionByName(dealt.join(again, "_w").select("doc_id", "_h", "start", (F.col("start") + window).alias("stop")))
 
