@@ -46,8 +46,8 @@ def default_rules() -> dict[str, Column]:
 def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior: float = 0.85, smooth: float = 5.0) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over counted vote patterns: (log prior odds, per rule the log odds that a vote adds).
 
-    Classes are conditionally independent (Dawid and Skene). Start: every vote is right four times in five. `smooth`
-    pseudo-votes, shared as the classes are, keep a rule that never fires harmless, and a vote's sign can't turn: its log odds are held at the side
+    Classes are conditionally independent (Dawid and Skene). Start: every vote is right four times in five, and
+    `smooth` pseudo-votes of each kind hold that belief against few rows. A vote's sign can't turn: its log odds are held at the side
     that the rule names, so that "good" stays the class that the rules call good.
     """
     n_rules = len(patterns[0][0]) if patterns else 0
@@ -55,7 +55,8 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, pr
     for _ in range(rounds):
         good_all, bad_all = smooth * prior, smooth * (1 - prior)
         share = 1 / (1 + math.exp(-odds))
-        tally = [{v: [smooth * share, smooth * (1 - share)] for v in (-1, 0, 1)} for _ in range(n_rules)]
+        held = {-1: [0.2 * smooth, 0.8 * smooth], 0: [share * smooth, (1 - share) * smooth], 1: [0.8 * smooth, 0.2 * smooth]}
+        tally = [{v: list(n) for v, n in held.items()} for _ in range(n_rules)]
         for votes, n in patterns:
             z = odds + sum(a[v] for a, v in zip(add, votes, strict=True))
             g = n / (1 + math.exp(-max(-60.0, min(60.0, z))))

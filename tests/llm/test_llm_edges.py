@@ -56,7 +56,8 @@ def test_stats_and_rules(odd, empty):
 
 def test_em_ignores_rules_that_never_vote_and_finds_the_rare_class():
     odds, add = quality_rules.fit_votes([((1, 0, 0, 0), 900), ((0, -1, -1, 0), 60), ((0, -1, 0, 0), 40)])
-    assert abs(add[3][1]) + abs(add[3][-1]) < 0.1
+    without = quality_rules.fit_votes([((1, 0, 0), 900), ((0, -1, -1), 60), ((0, -1, 0), 40)])
+    assert np.isclose(odds, without[0]) and all(np.isclose(a[v], b[v]) for a, b in zip(add, without[1]) for v in (-1, 1))
     assert odds + add[0][1] > 0 > odds + add[1][-1] + add[2][-1]
     assert quality_rules.fit_votes([])[1] == []
 
