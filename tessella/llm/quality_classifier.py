@@ -33,7 +33,7 @@ def features() -> dict[str, Column]:
     }
 
 
-def tree_rules(x: np.ndarray, y: np.ndarray, names: list[str], depth: int, rng: np.random.Generator, least: int = 10) -> list[Rule]:
+def tree_rules(x: np.ndarray, y: np.ndarray, names: list[str], depth: int, rng: np.random.Generator, least: int) -> list[Rule]:
     """Every path from the root of a regression tree on residuals y; each split sees a random half of the features."""
     rules: list[Rule] = []
 
@@ -82,10 +82,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], n_trees: int = 24,
     """(rules with their weights, intercept). Trees are boosted: each is grown on what those before leave, over a random
     half of the rows, so that the rules differ."""
     rng, rules, fitted = np.random.default_rng(seed), {}, np.full(len(y), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    least = min(10, max(2, len(y) // 40))  # rows of a leaf
     for _ in range(n_trees):
         rest = y - 1 / (1 + np.exp(-fitted))
         rows = rng.choice(len(y), max(1, len(y) // 2), replace=False)
-        for rule in tree_rules(x[rows], rest[rows], names, depth, rng):
+        for rule in tree_rules(x[rows], rest[rows], names, depth, rng, least):
             rules.setdefault(rule, None)
             on = covers(rule, x, names)
             fitted[on] += 0.5 * rest[on].mean() if on.any() else 0
