@@ -85,7 +85,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     """Columns of docs plus n_words, n_hit, n_items, items_sha256, contaminated, hits (start and length of each match).
 
     A document word inside any occurrence of a benchmark window is hit. Null and empty texts have no words; a repeated
-    row gets the same result each time; an empty benchmark contaminates nothing; other columns pass through.
+    row gets the same result each time; an empty benchmark contaminates nothing; other columns pass through (columns of
+    the result replace those of the same name, and names with a leading underscore are reserved).
     """
     windows = cut(benchmark_windows(items, size))
     rare = cut(rarest_terms(windows, docs))

@@ -23,11 +23,11 @@ def ordered_number(df: DataFrame, name: str) -> Column:
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> tuple[DataFrame, list[str]]:
-    """Adds q0, q1, ...: how many of the 2^bits - 1 inner quantiles of a dimension lie below the value; null is 0.
+    """Adds _q0, _q1, ...: how many of the 2^bits - 1 inner quantiles of a dimension lie below the value; null is 0.
     The quantiles are approximate and are the only values that reach the driver (dims x 2^bits numbers)."""
     steps = [i / 2**bits for i in range(1, 2**bits)]
     found = df.select(*[F.percentile_approx(ordered_number(df, d), steps, 1000).alias(f"b{i}") for i, d in enumerate(dims)]).first()
-    names = [f"q{i}" for i in range(len(dims))]
+    names = [f"_q{i}" for i in range(len(dims))]
     for i, d in enumerate(dims):
         value = ordered_number(df, d)
         above = [F.coalesce(value > F.lit(b), F.lit(False)).cast("int") for b in sorted(set(found[i] or []))]
@@ -61,9 +61,10 @@ def hilbert_shards(df: DataFrame, dims: list[str], order_by: list[str], n_shards
     Shards are consecutive runs of the curve whose row counts are at most one apart. A cell with many rows (a hot
     source, say) is dealt by a hash of `order_by` into runs of about rows_per_run rows that are numbered apart from each
     other, so no task sorts a whole cell. Null dimensions rank lowest; rows equal in `order_by` are interchangeable;
-    an empty table gives an empty table; other columns pass through.
+    an empty table gives an empty table; other columns pass through (hilbert, shard and slot are
+    replaced, and names with a leading underscore are reserved).
     """
-    names = df.columns
+    names = [c for c in df.columns if c not in ("hilbert", "shard", "slot")]
     df, axes = quantised(df, dims, bits)
     cell = axes
     # At most 2^(bits x dims) cells, whatever the size of the table: safe to broadcast.

@@ -249,15 +249,16 @@ def remove_repeats(docs: DataFrame, window: int = 200, with_text: bool = True) -
     where a character that was cut in two is gone (the hash is that of the remaining bytes).
 
     A null text is empty; a text of fewer bytes than `window` is kept whole; two equal rows count as two documents, so both
-    lose all their text. Matches do not cross rows and are judged on the input. Other columns pass through.
+    lose all their text. Matches do not cross rows and are judged on the input. Other columns pass through; columns of the
+    result replace those of the same name, and names with a leading underscore are reserved.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     keyed = docs.withColumns({"_h": F.xxhash64("text"), "_k": F.xxhash64("doc_id", "text")})
     few = keyed.select("doc_id", "_h", "_k", "text")
     spans = matched_spans(surroundings(few, repeated_samples(few, window), window), window)
     spans = spans.groupBy(F.col("doc_id").alias("_d2"), F.col("_h").alias("_h2")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
     joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left").select(*names, "_spans")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
 
     def cut_out(text: str | None, spans: list[dict] | None) -> tuple[int, int, int, str, str | None]:
         b, parts, end, removed, runs = as_bytes(text), [], 0, 0, 0

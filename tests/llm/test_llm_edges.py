@@ -213,6 +213,14 @@ def test_repeats(spark, monkeypatch, hot, span):
     assert all(len(r["kept"].encode()) <= r["n_bytes"] - r["n_removed"] for r in got)
 
 
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "x", "old", "s"), (2, None, "old", None)], "doc_id long, text string, n_bytes string, shard string")
+    assert {r["n_bytes"] for r in suffix_dedup.remove_repeats(df).collect()} == {0, 1}
+    assert {r["shard"] for r in sharding.hilbert_shards(df, ["shard"], ["doc_id"], 2).collect()} == {0, 1}
+    items = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    assert {r["n_words"] for r in decontamination.contamination(df.withColumnRenamed("shard", "n_words"), items).collect()} == {0, 1}
+
+
 def test_repeats_of_an_empty_table(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
