@@ -61,7 +61,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, m: int, held
     train = train.select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
     picks = [train.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for k in (0, 1)]
     chosen = picks[0].unionByName(picks[1])
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
 def text_slices(texts: pa.Array, most: int):
