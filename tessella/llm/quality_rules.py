@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import stored, table
 from tessella.llm.text_stats import with_text_stats
 
 
@@ -95,7 +95,8 @@ def rule_verdicts(docs: DataFrame, keep_at: float = 0.5, carry: list[str] | None
     that no name of theirs clashes."""
     row = [F.struct(*carry).alias("row")] if carry else []
     stats = with_text_stats(docs.select("doc_id", "text", *row)).withColumn("base_failed", base_failed())
-    judged = judge_quality(stats, default_rules())
+    # Counts are a few numbers a row: they are written once and serve both the fit and the scores. Carried rows are not.
+    judged = judge_quality(stats if carry else stored(stats), default_rules())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= keep_at))
 
 
