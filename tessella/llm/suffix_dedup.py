@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ from tessella.llm.common import stored, table
 TUPLE = 32
 #: Multiplier of the rolling hash; any odd number serves.
 MUL = 0x9E3779B97F4A7C15
-#: Bytes whose suffixes a task sorts at once, and bytes of a group beyond which it is dealt out anew.
+#: Bytes whose suffixes a task sorts at once, and bytes of a group beyond which it is dealt as single windows.
 CHUNK, HOT = 1 << 20, 6 << 20
+#: Bytes of bodies, and number of samples, among which a task looks for equal ones before they are dealt.
+MEET, MEET_SAMPLES = 16 << 20, 1 << 19
 #: Bytes that are hashed at a time.
 SPAN = 1 << 17
 
@@ -83,65 +86,149 @@ def as_bytes(text: str | None) -> bytes:
 
 
 def repeated_samples(docs: DataFrame, window: int) -> DataFrame:
-    """(_k, sample): numbers of the sampled positions, by document key, whose tuple occurs twice or more."""
+    """(_k, sample, name): numbers of the sampled positions, by document key, whose tuple occurs twice or more. Rows with a
+    name and nulls besides tell tuples that occur so often that their surroundings may hold more than HOT bytes.
+
+    Rows of a tuple that meet in a task are known to be repeated; one of them, with their number, goes to the tuple's own
+    partition (n above 1), the others (n = 0) anywhere, so a tuple costs its partition one row per MEET_SAMPLES samples.
+    """
+    most = HOT // (2 * window - TUPLE)
 
     def tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, held, size = Hasher(), [], 0
+
+        def met() -> pa.RecordBatch:
+            name, key, at = map(np.concatenate, zip(*held, strict=True))
+            _, first, inverse, counts = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+            n = (counts[inverse] == 1).astype(np.int64)
+            n[first] = counts
+            return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key), pa.array(at), pa.array(n)], ["name", "_k", "sample", "n"])
+
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 names = [sampled(hasher, np.frombuffer(as_bytes(t), np.uint8), window)[2] for t in part.column("text").to_pylist()]
                 n = [len(x) for x in names]
-                key = np.repeat(part.column("_k").to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(key), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in n]))], ["name", "_k", "sample"])
+                held.append((np.concatenate(names), np.repeat(part.column("_k").to_numpy(), n), np.concatenate([np.arange(x, dtype=np.int32) for x in n])))
+                size += sum(n)
+                if size > MEET_SAMPLES:
+                    yield met()
+                    held, size = [], 0
+        if size:
+            yield met()
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # of the batches before: the last row, and whether its tuple was seen before it
+        def found(key: np.ndarray, at: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+            cols = [pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(key), pa.int64())]
+            more = [pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int32()), pa.array(often, pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(cols, more, strict=True)], ["_k", "sample", "name"])
+
+        none = np.zeros(0, np.int64)
+        name, key, at, n = last = [none] * 4  # of the batches before: the last row, with the number of its tuple so far
         for batch in batches:
-            name, key, at = (batch.column(i).to_numpy() for i in range(3))
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            sent = cols[3] > 0
+            yield found(cols[1][~sent], cols[2][~sent], none)
+            name, key, at, n = (np.concatenate([x, y[sent]]) for x, y in zip(last, cols, strict=True))
             if not len(name):
                 continue
-            same = name[1:] == name[:-1]
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            if last is not None:
-                if last[0] == name[0]:
-                    keep[0] = True
-                if last[0] == name[0] or last[3]:
-                    yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int32())], ["_k", "sample"])
-            last = (name[-1], key[-1], at[-1], keep[-1])
+            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            total = np.add.reduceat(n, starts)
+            keep = np.repeat(total > 1, np.diff(np.append(starts, len(name))))
             keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(at[keep])], ["_k", "sample"])
-        if last is not None and last[3]:
-            yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int32())], ["_k", "sample"])
+            yield found(key[keep], at[keep], name[starts[:-1]][total[:-1] > most])
+            last = [name[-1:], key[-1:], at[-1:], total[-1:]]
+        name, key, at, n = last
+        yield found(key[n > 1], at[n > 1], name[n > most])
 
-    rows = docs.where(F.octet_length("text") >= window).select("_k", "text").mapInArrow(tuples, "name long, _k long, sample int")
-    return rows.repartition("name").sortWithinPartitions("name").mapInArrow(twice, "_k long, sample int")
+    rows = docs.where(F.octet_length("text") >= window).select("_k", "text").mapInArrow(tuples, "name long, _k long, sample int, n long")
+    place = F.when(F.col("n") > 0, F.col("name")).otherwise(F.xxhash64("_k", "sample"))
+    return rows.repartition(place).sortWithinPartitions("name").mapInArrow(twice, "_k long, sample int, name long")
 
 
 def surroundings(docs: DataFrame, samples: DataFrame, window: int) -> DataFrame:
-    """(name, doc_id, _h, start, body): for each sample, the bytes of all windows that take it."""
-    lists = samples.groupBy("_k").agg(F.collect_set("sample").alias("samples"))
+    """(name, doc_id, _h, start, stop, known, body): for each sample, the bytes of all windows that take it, from stored
+    rows of repeated_samples().
+
+    Equal bodies that meet in a task are covered: each leaves as a span without a body, and one body goes to its tuple's
+    group, known to be covered. Tuples that repeated_samples() tells to be frequent have no group: their bodies leave as
+    windows, each a digest that stands for its own group, and windows that meet in a task are treated as bodies are.
+    """
+    lists = samples.where("_k is not null").groupBy("_k").agg(F.collect_set("sample").alias("samples"))
+    often = np.array([r["name"] for r in samples.where("name is not null").select("name").collect()], np.int64)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = ["name", "doc_id", "_h", "start", "stop", "known", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        held, names, starts, bodies, size = [], [], [], [], 0
+
+        def out(rows: pa.RecordBatch, of: np.ndarray, name: np.ndarray, start: np.ndarray, length: np.ndarray, known: np.ndarray, body: pa.Array) -> pa.RecordBatch:
+            took = rows.take(pa.array(of, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), took.column("doc_id"), took.column("_h"), pa.array(start, pa.int32()), pa.array(start + length, pa.int32()), pa.array(known), body], fields)
+
+        def spans(rows: pa.RecordBatch, of: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+            away = (rows.column("_h").to_numpy()[of].view(np.uint64) + start.astype(np.uint64) * np.uint64(MUL)).view(np.int64)
+            return out(rows, of, away, start, length, np.ones(len(of), bool), pa.nulls(len(of), pa.binary()))
+
+        def met() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            name, start, length = np.array(names, np.uint64).view(np.int64), np.array(starts, np.int64), np.array([len(x) for x in bodies])
+            seen: dict[tuple[int, bytes], int] = {}
+            first = np.array([seen.setdefault(x, i) for i, x in enumerate(zip(names, bodies, strict=True))])
+            known = np.bincount(first, minlength=len(first))[first] > 1
+            yield spans(rows, np.flatnonzero(known), start[known], length[known])
+            one, hot = first == np.arange(len(first)), np.isin(name, often)
+            of = np.flatnonzero(one & ~hot)
+            yield out(rows, of, name[of], start[of], length[of], known[of], pa.array([bodies[i] for i in of], pa.binary()))
+            of = np.flatnonzero(one & hot)
+            cuts = np.flatnonzero(np.diff(np.cumsum(length[of]) // CHUNK)) + 1
+            for part in np.split(of, cuts):
+                yield from windows(rows, part, start, known) if len(part) else ()
+
+        def windows(rows: pa.RecordBatch, of: np.ndarray, start: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+            n = np.array([len(bodies[i]) - window + 1 for i in of])
+            digests = [hashlib.blake2b(bodies[i][k : k + window], digest_size=24).digest() for i in of for k in range(len(bodies[i]) - window + 1)]
+            seen: dict[bytes, int] = {}
+            group = np.array([seen.setdefault(x, len(seen)) for x in digests])
+            body = np.repeat(np.arange(len(of)), n)
+            place = np.arange(len(body)) - np.repeat(np.cumsum(n) - n, n)
+            covered = np.bincount(group) > 1
+            covered[group[known[of][body]]] = True
+            hit = covered[group] & ~known[of][body]  # bodies that are known have left as spans
+            begins = hit & ~(np.append(False, hit[:-1]) & (place > 0))
+            ends = hit & ~(np.append(hit[1:], False) & (np.append(place[1:], 0) > 0))
+            a, z = np.flatnonzero(begins), np.flatnonzero(ends)
+            yield spans(rows, of[body[a]], start[of[body[a]]] + place[a], place[z] - place[a] + window)
+            _, lead = np.unique(group, return_index=True)
+            sent = [digests[i] for i in lead]
+            at = of[body[lead]]
+            yield out(rows, at, np.frombuffer(b"".join(x[:8] for x in sent), np.int64), start[at] + place[lead], np.full(len(lead), window), covered[group[lead]], pa.array(sent, pa.binary()))
+
         for batch in batches:
             for i in range(0, batch.num_rows, 32):
                 part = batch.slice(i, 32)
-                of, names, starts, bodies = [], [], [], []
+                of = []
                 for r, (text, chosen) in enumerate(zip(part.column("text").to_pylist(), part.column("samples").to_pylist(), strict=True)):
                     b = as_bytes(text)
                     _, first, name = sampled(hasher, np.frombuffer(b, np.uint8), window)
                     ends = np.append(first[1:], len(b) - window + 1) - 1 + window
                     for s in sorted(c for c in chosen if c < len(first)):
                         of.append(r)
-                        names.append(name[s])
-                        starts.append(first[s])
+                        names.append(int(name[s]))
+                        starts.append(int(first[s]))
                         bodies.append(b[first[s] : ends[s]])
-                took = part.select(["doc_id", "_h"]).take(pa.array(of, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), took.column("doc_id"), took.column("_h"), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary())], ["name", "doc_id", "_h", "start", "body"])
+                        size += len(bodies[-1])
+                held.append(part.select(["doc_id", "_h"]).take(pa.array(of, pa.int64())))
+                if size > MEET:
+                    yield from met()
+                    for x in (held, names, starts, bodies):
+                        x.clear()
+                    size = 0
+        if bodies:
+            yield from met()
 
-    return docs.join(lists, "_k").select("doc_id", "_h", "text", "samples").mapInArrow(run, f"name long, doc_id {kind}, _h long, start int, body binary")
+    return docs.join(lists, "_k").select("doc_id", "_h", "text", "samples").mapInArrow(run, f"name long, doc_id {kind}, _h long, start int, stop int, known boolean, body binary")
 
 
 def same_windows(hasher: Hasher, bodies: list[bytes], window: int) -> list[np.ndarray]:
@@ -175,73 +262,58 @@ def same_windows(hasher: Hasher, bodies: list[bytes], window: int) -> list[np.nd
 def matched_spans(bodies: DataFrame, window: int) -> DataFrame:
     """(doc_id, _h, start, stop) of bytes that are covered, from rows of surroundings().
 
-    Rows arrive sorted by tuple. Equal bodies next to each other are compared once. A group whose different bodies hold
-    more than HOT bytes is not resolved in its task: it leaves as single windows that are dealt anew by their content.
+    Rows arrive sorted by tuple and body. Equal bodies are covered and leave at once but for one, so no task holds all rows
+    that share one; the different bodies of a tuple hold HOT bytes at most. A digest matches equal digests only.
     """
     kind = bodies.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _h long, start int, stop int, window binary"
+    fields = ["doc_id", "_h", "start", "stop"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_type, hasher = None, Hasher()
-        fields = ["doc_id", "_h", "start", "stop", "window"]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], doc_type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], fields)
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], doc_type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], fields)
 
-        def resolve(groups: list[tuple[bytes, list[tuple]]]) -> Iterator[pa.RecordBatch]:
+        def resolve(groups: list[list]) -> pa.RecordBatch:
             rows = []
-            for (body, members), hit in zip(groups, same_windows(hasher, [g[0] for g in groups], window), strict=True):
-                if len(members) > 1:
-                    rows += [(doc, h, start, start + len(body), None) for doc, h, start in members]
-                    continue
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                doc, h, start = members[0]
-                rows += [(doc, h, start + int(a), start + int(z) - 1 + window, None) for a, z in zip(edge[::2], edge[1::2], strict=True)]
-            yield out(rows)
-
-        def dealt(groups: list[tuple[bytes, list[tuple]]]) -> Iterator[pa.RecordBatch]:
-            for body, members in groups:
-                yield out([(doc, h, start + i, None, hashlib.blake2b(body[i : i + window], digest_size=32).digest()) for doc, h, start in members for i in range(len(body) - window + 1)])
-
-        done: list[tuple[bytes, list[tuple]]] = []  # groups that are complete
-        group: list[tuple[bytes, list[tuple]]] = []  # the group that rows still arrive for
+            for (_, known, (doc, h, start, _)), hit in zip(groups, same_windows(hasher, [g[0] for g in groups], window), strict=True):
+                if not known:
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                    rows += [(doc, h, start + int(a), start + int(z) - 1 + window) for a, z in zip(edge[::2], edge[1::2], strict=True)]
+            return out(rows)
+
+        done: list[list] = []  # [body, whether its span has left, span] of groups that are complete
+        group: list[list] = []  # those of the group that rows still arrive for
         done_size = group_size = 0
-        name, hot = None, False
+        name, last = None, None
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            for key, doc, h, start, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            bare = pc.is_null(batch.column("body"))
+            yield batch.filter(bare).select(fields)
+            rest, spans = batch.filter(pc.invert(bare)), []
+            for key, doc, h, start, stop, known, body in zip(*(rest.column(i).to_pylist() for i in range(7)), strict=True):
                 if key != name:
-                    if hot:
-                        yield from dealt(group)
-                    else:
-                        done.extend(group)
-                        done_size += group_size
-                    name, group, group_size, hot = key, [], 0, False
+                    done += group
+                    done_size += group_size
+                    name, group, group_size, last = key, [], 0, None
                     if done_size > CHUNK:
-                        yield from resolve(done)
+                        yield resolve(done)
                         done, done_size = [], 0
-                if group and group[-1][0] == body:
-                    group[-1][1].append((doc, h, start))
-                else:
-                    group.append((body, [(doc, h, start)]))
+                if last and last[0] == body:
+                    spans += [(doc, h, start, stop)] * (not known) + [last[2]] * (not last[1])
+                    last[1] = True
+                    continue
+                last = [body, known, (doc, h, start, stop)]
+                if len(body) >= window:
+                    group.append(last)
                     group_size += len(body)
-                if hot or group_size > HOT:
-                    hot = True
-                    yield from dealt(group[:-1])
-                    group, group_size = group[-1:], len(body)
-        if hot:
-            yield from dealt(group)
-        else:
-            done += group
+            yield out(spans)
+        done += group
         if done:
-            yield from resolve(done)
+            yield resolve(done)
 
-    found = stored(bodies.repartition("name").sortWithinPartitions("name", "body").mapInArrow(run, schema))
-    plain = found.where(F.col("stop").isNotNull()).drop("window")
-    dealt = found.where(F.col("stop").isNull()).withColumnRenamed("window", "_w").drop("stop")
-    again = dealt.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return plain.unionByName(dealt.join(again, "_w").select("doc_id", "_h", "start", (F.col("start") + window).alias("stop")))
+    return bodies.repartition("name").sortWithinPartitions("name", "body").mapInArrow(run, f"doc_id {kind}, _h long, start int, stop int")
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, with_text: bool = True) -> DataFrame:
@@ -255,7 +327,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, with_text: bool = True) -
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     keyed = docs.withColumns({"_h": F.xxhash64("text"), "_k": F.xxhash64("doc_id", "text")})
     few = keyed.select("doc_id", "_h", "_k", "text")
-    spans = matched_spans(surroundings(few, repeated_samples(few, window), window), window)
+    spans = matched_spans(surroundings(few, stored(repeated_samples(few, window)), window), window)
     spans = spans.groupBy(F.col("doc_id").alias("_d2"), F.col("_h").alias("_h2")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
     joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left").select(*names, "_spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)

@@ -213,6 +213,19 @@ def test_repeats(spark, monkeypatch, hot, span):
     assert all(len(r["kept"].encode()) <= r["n_bytes"] - r["n_removed"] for r in got)
 
 
+def test_no_task_gets_all_rows_of_a_passage(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    page, line = noise(400), noise(210)
+    docs = [(i, page if i % 3 == 0 else noise(90) + line + noise(90) if i % 3 == 1 else noise(300)) for i in range(900)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 20000)
+    few = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumns({"_h": F.xxhash64("text"), "_k": F.xxhash64("doc_id", "text")})
+    bodies = suffix_dedup.surroundings(few, suffix_dedup.stored(suffix_dedup.repeated_samples(few, 200)), 200)
+    assert bodies.where("body is not null").groupBy("name").count().agg(F.max("count")).first()[0] <= 3
+    got = suffix_dedup.remove_repeats(few.select("doc_id", "text")).collect()
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in got) == brute_removed(docs, 200)
+
+
 def test_clashing_columns_are_replaced(spark):
     df = spark.createDataFrame([(1, "x", "old", "s"), (2, None, "old", None)], "doc_id long, text string, n_bytes string, shard string")
     assert {r["n_bytes"] for r in suffix_dedup.remove_repeats(df).collect()} == {0, 1}
