@@ -12,7 +12,11 @@ HIDDEN = set("script style noscript template head title svg math iframe object c
 #: Tags without an end tag (fixed values: HTML's void elements).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An open tag of the key closes when one of the values begins (fixed values, from HTML's optional end tags).
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
+#: Tags that may stand in a head; any other ends it (fixed values: HTML's metadata content).
+IN_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
+#: Tags that end a hidden element whose own end tag is missing (fixed values: HTML's flow content that breaks a block).
+FLOW = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
 TOKEN = re.compile(r"[a-z]+")
 
 
@@ -26,11 +30,16 @@ class Block:
 
 
 class Blocks(HTMLParser):
-    """Collects leaf blocks. `mark_by` names an attribute whose innermost value a block carries as its label."""
+    """Collects leaf blocks. `mark_by` names an attribute whose innermost value a block carries as its label.
 
-    def __init__(self, mark_by: str | None = None):
+    `unclosed` receives the numbers (in page order) of start tags of hidden elements whose own end tag is missing. A second
+    pass that is given them as `endless` ends these elements where a tag of FLOW starts; others hide all up to their end tag.
+    """
+
+    def __init__(self, mark_by: str | None = None, endless: set[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.mark_by, self.stack, self.parts, self.linked, self.found, self.hidden = mark_by, [], [], 0, [], 0
+        self.endless, self.unclosed, self.numbers, self.n_hidden = endless, set(), [], 0
 
     def flush(self) -> None:
         if self.parts:
@@ -41,11 +50,33 @@ class Blocks(HTMLParser):
                 self.found.append(Block(text, path, self.linked, mark))
             self.parts, self.linked = [], 0
 
-    def pop(self, to: int) -> None:
-        self.hidden -= sum(t in HIDDEN for t, _, _ in self.stack[to:])
+    def pop(self, to: int, ended: bool = False) -> None:
+        """Leave the elements from place `to` on; `ended` if the first of them has its end tag here."""
+        n = sum(t in HIDDEN for t, _, _ in self.stack[to:])
+        if n:
+            if not (ended and self.stack[to][0] in HIDDEN):
+                self.unclosed.update(self.numbers[-n:])
+            self.hidden -= n
+            del self.numbers[-n:]
         del self.stack[to:]
 
+    def end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self.pop(len(self.stack) - 1, ended=True)
+
+    def end_endless(self) -> None:
+        """End the outermost endless element, unless an element that has its end tag stands inside it."""
+        inner = 0
+        while inner < len(self.numbers) and self.numbers[-1 - inner] in self.endless:
+            inner += 1
+        if inner:
+            self.pop([i for i, (t, _, _) in enumerate(self.stack) if t in HIDDEN][-inner])
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            if tag in FLOW and self.hidden:
+                self.end_endless()
+            self.end_head()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -66,19 +97,24 @@ class Blocks(HTMLParser):
         named = dict(attrs)
         names = tuple(TOKEN.findall(f"{named.get('class') or ''} {named.get('id') or ''} {named.get('role') or ''}".lower()))
         self.stack.append((tag, names, named.get(self.mark_by) if self.mark_by else None))
-        self.hidden += tag in HIDDEN
+        if tag in HIDDEN:
+            self.numbers.append(self.n_hidden)
+            self.hidden += 1
+            self.n_hidden += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                self.pop(i)
+                self.pop(i, ended=True)
                 return
             if tag in INLINE and self.stack[i][0] not in INLINE:
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and data.strip():
+            self.end_head()
         if not self.hidden:
             self.parts.append(data)
             if any(t == "a" for t, _, _ in self.stack):
@@ -86,8 +122,14 @@ class Blocks(HTMLParser):
 
 
 def leaf_blocks(html: str | None, mark_by: str | None = None) -> list[Block]:
-    parser = Blocks(mark_by)
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
+    endless: set[int] = set()
+    for _ in range(2):
+        parser = Blocks(mark_by, endless)
+        parser.feed(html or "")
+        parser.close()
+        parser.flush()
+        parser.pop(0)
+        if not parser.unclosed:
+            break
+        endless = parser.unclosed
     return parser.found

@@ -252,6 +252,18 @@ def test_pages(spark):
     assert html_extraction.extract(pages.limit(0), None).count() == 0
 
 
+def test_pages_without_end_tags_keep_their_text():
+    blocks = lambda h: [b.text for b in html_blocks.leaf_blocks(h)]
+    assert blocks("<html><head><title>t</title><meta charset=utf-8><body><p>a</html>") == ["a"]
+    assert blocks("<head><title>t</title><p>a<p>b") == ["a", "b"] and blocks("<head><title>t</title>a") == ["a"]
+    assert blocks("<head><title>t</title></head><body>a") == ["a"]
+    for tag in ("button", "select", "object", "video", "noscript", "template"):
+        assert blocks(f"<body><div><{tag}>x<section><p>a</p></section></div><p>b") == ["a", "b"], tag
+        assert blocks(f"<body><div><{tag}><section><p>x</p></section></{tag}>a</div>") == ["a"], tag
+    assert blocks("<div><select><option>x<option>y<p>a</p><template><p>z</p></template><p>b") == ["a", "b"]
+    assert blocks("<div><button>x<template><p>z</p></template><p>a") == ["a"]
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
