@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import table
 from tessella.llm.html_blocks import Block, leaf_blocks
 
-#: Size of the hashed feature space, and features kept of a block.
-DIM, WIDTH = 1 << 14, 32
+#: Size of the hashed feature space.
+DIM = 1 << 14
 #: Tags whose content is main text, and tags whose content never is (fixed values: HTML's sectioning semantics).
 MAIN_TAGS = ("article", "main")
 #: Furniture that the labelled variants of pages hold besides what pages have themselves: (markup before, markup after).
@@ -45,16 +45,19 @@ def block_features(block: Block, at: int, n: int) -> list[int]:
     out = {"own " + (next((t for t in reversed(tags) if t not in ("b", "i", "a", "span", "em", "strong")), "none")), f"words {min(words.bit_length(), 8)}", f"link {min(4, 4 * block.linked // max(1, len(text)))}", f"end {text[-1] in '.!?:'}", f"first {at == 0}", f"last {at == n - 1}", "bias"}
     out |= {"in " + t for t in tags if t not in ("html", "body", "b", "br")}
     out |= {"name " + x for _, names in block.path for x in names}
-    return sorted(zlib.crc32(f.encode()) % (DIM - 1) + 1 for f in sorted(out)[:WIDTH])
+    return sorted(zlib.crc32(f.encode()) % (DIM - 1) + 1 for f in out)
 
 
-def feature_rows(blocks: list[Block]) -> np.ndarray:
-    """(blocks, WIDTH) feature numbers; 0 fills up and weighs nothing."""
-    out = np.zeros((len(blocks), WIDTH), np.int32)
-    for i, b in enumerate(blocks):
-        f = block_features(b, i, len(blocks))
-        out[i, : len(f)] = f
-    return out
+def feature_rows(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all blocks in one array, and where each block's begin; every block has some."""
+    rows = [block_features(b, i, len(blocks)) for i, b in enumerate(blocks)]
+    sizes = np.array([len(r) for r in rows])
+    return np.concatenate(rows).astype(np.int32), np.cumsum(sizes) - sizes
+
+
+def emissions(w: np.ndarray, features: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(blocks, 2): the sum of the weights of each block's features."""
+    return np.add.reduceat(w[features[0]], features[1], axis=0)
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -71,13 +74,16 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def fit_crf(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_crf(chains: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], rounds: int = 120, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights (DIM, 2) and moves (2, 2) by maximum likelihood: gradients from forward and backward sums over all chains
     at once (chains are padded to the longest), Adam steps."""
     n, long = len(chains), max(len(y) for _, y in chains)
-    f, y, on = np.zeros((n, long, WIDTH), np.int32), np.zeros((n, long), np.int64), np.zeros((n, long))
-    for i, (x, labels) in enumerate(chains):
-        f[i, : len(labels)], y[i, : len(labels)], on[i, : len(labels)] = x, labels, 1
+    y, on = np.zeros((n, long), np.int64), np.zeros((n, long))
+    for i, (_, labels) in enumerate(chains):
+        y[i, : len(labels)], on[i, : len(labels)] = labels, 1
+    sizes = np.concatenate([np.diff(np.append(first, len(flat))) for (flat, first), _ in chains])
+    features = np.concatenate([flat for (flat, _), _ in chains]), np.cumsum(sizes) - sizes
+    there = on > 0
     w = [np.zeros((DIM, 2)), np.zeros((2, 2))]
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
     true = np.eye(2)[y] * on[..., None]
@@ -85,7 +91,8 @@ def fit_crf(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, l2:
     true_moves = np.einsum("nta,ntb,nt->ab", true[:, :-1], true[:, 1:], pair)
     total = on.sum()
     for k in range(1, rounds + 1):
-        emit = w[0][f].sum(2) * on[..., None]
+        emit = np.zeros((n, long, 2))
+        emit[there] = emissions(w[0], features)
         a, b = np.zeros((n, long, 2)), np.zeros((n, long, 2))
         a[:, 0] = emit[:, 0]
         for t in range(1, long):
@@ -95,9 +102,8 @@ def fit_crf(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, l2:
         z = np.logaddexp.reduce(a[:, -1], axis=1)
         one = np.exp(np.clip(a + b - z[:, None, None], -60, 0)) * on[..., None]
         two = np.exp(np.clip(a[:, :-1, :, None] + w[1] + (emit + b)[:, 1:, None, :] - z[:, None, None, None], -60, 0)) * pair[..., None, None]
-        g = np.zeros_like(w[0])
-        np.add.at(g, f.reshape(-1, WIDTH), ((one - true) / total).reshape(-1, 1, 2))
-        g[0] = 0
+        off = np.repeat(((one - true) / total)[there], sizes, axis=0)
+        g = np.stack([np.bincount(features[0], off[:, k], DIM) for k in (0, 1)], axis=1)
         for i, grad in enumerate((g + l2 * w[0], (two.sum((0, 1)) - true_moves) / total + l2 * w[1])):
             m[i], v[i] = 0.9 * m[i] + 0.1 * grad, 0.999 * v[i] + 0.001 * grad**2
             w[i] = w[i] - rate * (m[i] / (1 - 0.9**k)) / (np.sqrt(v[i] / (1 - 0.999**k)) + 1e-9)
@@ -151,7 +157,7 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> Da
     def main_text(html: str | None, w: np.ndarray | None) -> str:
         blocks = leaf_blocks(html)
         if w is not None and blocks:
-            keep = viterbi(w[feature_rows(blocks)].sum(1), move)
+            keep = viterbi(emissions(w, feature_rows(blocks)), move)
             blocks = [b for b, k in zip(blocks, keep, strict=True) if k]
         return "\n\n".join(b.text for b in blocks)
 

@@ -264,6 +264,17 @@ def test_pages_without_end_tags_keep_their_text():
     assert blocks("<div><button>x<template><p>z</p></template><p>a") == ["a"]
 
 
+def test_blocks_with_many_names_keep_all_features(spark):
+    many = " ".join("".join(x) for x in zip("abcdefghijklmnopqrst" * 2, "b" * 20 + "c" * 20))
+    block = lambda names: html_blocks.leaf_blocks(f"<body class='{many}'><div class='{names}'><p>some words here</p></div>")[0]
+    one, other = (set(html_extraction.block_features(block(x), 1, 3)) for x in ("sidebar", "widget"))
+    assert len(one) > 45 and one - other and other - one
+    page = "<html><body class='{}'><div class='menu'><a href='/'>home</a></div><article><h1>T</h1><p>Long enough text of the article, here.</p></article><footer>f</footer></body></html>"
+    pages = spark.createDataFrame([(i, "u", page.format(many)) for i in range(5)], "page_id long, url string, html string")
+    got = html_extraction.extract(pages, html_extraction.train(pages)).select("text").distinct().collect()
+    assert [r["text"] for r in got] == ["T\n\nLong enough text of the article, here."]
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
