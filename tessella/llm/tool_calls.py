@@ -28,41 +28,89 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
 
 
 def topological_depth(calls: DataFrame) -> DataFrame:
-    """(call_id, depth) for (call_id, after), call_id unique: how many calls come before on the chain of `after`.
+    """(call_id, depth) for the edge table (call_id, after), a row per call and predecessor: how many calls come before on
+    the longest chain of `after`.
 
-    Pointers are doubled, so a chain of n calls takes log2(n) joins and no task holds a chain. An `after` that names no
-    call starts a chain; a call on or behind a cycle has a null depth.
+    Pointers are doubled along calls of one predecessor, so a chain of n calls takes log2(n) joins and no task holds a
+    chain; calls of several predecessors then settle in rounds, one per level of such calls. An `after` that names no call
+    starts a chain; a call on or behind a cycle has a null depth.
     """
-    known = calls.select(F.col("call_id").alias("_id"))
-    state = calls.join(known, F.col("after") == F.col("_id"), "left").select("call_id", F.col("_id").alias("up"), F.col("_id").isNotNull().cast("long").alias("depth"))
+    known = calls.select("call_id").distinct()
+    edges = cut(calls.join(known.select(F.col("call_id").alias("_id")), F.col("after") == F.col("_id")).select("call_id", F.col("_id").alias("up")).distinct())
+    fan = edges.groupBy(F.col("call_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("up").alias("_up"))
+    one = F.coalesce(F.col("_n") == 1, F.lit(False))
+    state = known.join(fan, F.col("call_id") == F.col("_id"), "left").select("call_id", F.when(one, F.col("_up")).alias("up"), F.when(one, F.col("_up")).otherwise(F.col("call_id")).alias("root"), one.cast("long").alias("depth"))
     state = cut(state)
     rounds = max(1, state.count()).bit_length() + 1
     for _ in range(rounds):
         if state.where("up is not null").isEmpty():
-            return state.select("call_id", "depth")
-        above = state.select(F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+            break
+        above = state.select(F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
         joined = state.join(above, F.col("up") == F.col("_id"), "left")
-        state = cut(joined.select("call_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
-    return state.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
-
-
-def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call identifier, and one per identifier of results without a call: call_id, name, depth, status
-    (answered, unanswered, orphan), n_calls, n_results, errors, json (canonical: sorted keys, no white space).
-
-    calls: call_id, after, name, arguments (JSON text). results: call_id, content. Of calls or results that share an
-    identifier the least (by name and arguments, or content) stands for all and the counts say how many there were; both
-    sides are aggregated before the join, so an identifier with very many rows costs one row. Null identifiers are left
-    out; null arguments are no JSON object; empty tables give empty tables.
+        state = cut(joined.select("call_id", F.col("_up").alias("up"), F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+    depth = F.when(F.col("up").isNull(), F.col("depth"))
+    several = cut(fan.where("_n > 1").select(F.col("_id").alias("_j"), F.lit(None).cast("long").alias("_d")))
+    if several.isEmpty():
+        return state.select("call_id", depth.alias("depth"))
+    ends = state.select(F.col("call_id").alias("_id"), "root", (depth + 1).alias("steps"))
+    parts = edges.join(several.select("_j"), F.col("call_id") == F.col("_j"), "left_semi").join(ends, F.col("up") == F.col("_id"))
+    parts = cut(parts.join(several.select("_j"), F.col("root") == F.col("_j"), "left").select(F.col("call_id").alias("_j"), F.col("_j").isNull().alias("free"), "root", "steps"))
+    settled = 0
+    while True:
+        values = several.select(F.col("_j").alias("root"), "_d")
+        far = F.when(F.col("free"), F.col("steps")).otherwise(F.col("steps") + F.col("_d"))
+        several = cut(parts.join(values, "root", "left").groupBy("_j").agg(F.when(F.count(far) == F.count(F.lit(1)), F.max(far)).alias("_d")))
+        now = several.where("_d is not null").count()
+        if now == settled:
+            break
+        settled = now
+    joined = state.join(several, F.col("root") == F.col("_j"), "left")
+    return joined.select("call_id", F.when(F.col("_j").isNull(), depth).otherwise(depth + F.col("_d")).alias("depth"))
+
+
+#: Parts that the rows of one identifier are dealt to.
+SALTS = 64
+
+
+def different(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of rows with a call_id: the different ones, each with its part _s; and a row per identifier: call_id, n (rows), kinds
+    (different rows), least (struct of columns) and the parts that its different rows are in."""
+    rows = rows.where(F.col("call_id").isNotNull()).select("call_id", *columns)
+    each = rows.groupBy("call_id", *columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.pmod(F.xxhash64(*columns), F.lit(SALTS)))
+    part = each.groupBy("call_id", "_s").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_k"), F.min(F.struct(*columns)).alias("_least"))
+    ident = part.groupBy("call_id").agg(F.sum("_n").alias("n"), F.sum("_k").alias("kinds"), F.min("_least").alias("least"), F.collect_set("_s").alias("parts"))
+    return each.drop("_n"), ident
+
+
+def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, edges: DataFrame | None = None) -> DataFrame:
+    """Calls and results that share an identifier: call_id, name, depth, status (answered, unanswered, orphan, ambiguous),
+    n_calls, n_results, errors, json (canonical: sorted keys, no white space).
+
+    calls: call_id, after, name, arguments (JSON text). results: call_id, content. Predecessors are those of the calls'
+    `after`, or of edges (call_id, after). Every different call (name, arguments) and every different result is kept with
+    its own errors and json: where an identifier has one different call, each of its results is a row with it; where it has
+    one different result, each of its calls is a row with it. Where it has several of both, nothing says which result is
+    whose, so each call and each result is a row of its own, with the status ambiguous. n_calls and n_results count the rows
+    of the identifier. Rows grow with calls and results, not their product, and an identifier's are dealt to SALTS parts.
+    Null identifiers are left out; null arguments are no JSON object; empty tables give empty tables.
     """
-    one = calls.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.struct("name", "arguments", "after")).alias("c"), F.count(F.lit(1)).alias("n_calls"))
-    one = one.select("call_id", "c.*", "n_calls")
-    got = results.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_results"))
-    deep = topological_depth(one.select("call_id", "after"))
-    out = one.join(deep, "call_id").join(got, "call_id", "full")
-    status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "unanswered").otherwise("answered")
-    out = out.withColumns({"status": status, "n_calls": F.coalesce("n_calls", F.lit(0)), "n_results": F.coalesce("n_results", F.lit(0))})
-    errors = F.when(F.col("status") == "orphan", F.array().cast("array<string>")).otherwise(argument_errors(F.coalesce("name", F.lit("")), F.col("arguments"), schemas))
+    each_call, call_of = different(calls, ["name", "arguments"])
+    each_result, result_of = different(results, ["content"])
+    after = (calls if edges is None else calls.select("call_id", F.lit(None).cast("string").alias("after")).unionByName(edges.join(calls.select("call_id"), "call_id", "left_semi").select("call_id", "after"))).where(F.col("call_id").isNotNull())
+    one = call_of.select("call_id", F.col("n").alias("n_calls"), F.col("kinds").alias("_calls"), F.col("least.name").alias("name"), F.col("least.arguments").alias("arguments"), F.col("parts").alias("_in"))
+    got = result_of.select("call_id", F.col("n").alias("n_results"), F.col("kinds").alias("_results"), F.col("least.content").alias("content"), F.col("parts").alias("_out"))
+    ident = one.join(topological_depth(after.select("call_id", "after")), "call_id").join(got, "call_id", "full")
+    ident = ident.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_calls", "n_results", "_calls", "_results")})
+    status = F.when(F.col("n_calls") == 0, "orphan").when(F.col("n_results") == 0, "unanswered").when((F.col("_calls") > 1) & (F.col("_results") > 1), "ambiguous").otherwise("answered")
+    ident = ident.withColumn("status", status)
+    fields = ["call_id", "name", "depth", "status", "n_calls", "n_results", "arguments", "content"]
+    plain = ident.where("_calls <= 1 and _results <= 1").select(*fields)
+    both = F.col("status") == "ambiguous"
+    of_calls = ident.where("_calls > 1").withColumn("content", F.when(~both, F.col("content"))).withColumn("_s", F.explode("_in")).drop("name", "arguments")
+    of_results = ident.where("_results > 1").withColumns({"name": F.when(~both, F.col("name")), "arguments": F.when(~both, F.col("arguments")), "_alone": both | (F.col("n_calls") == 0)}).withColumn("_s", F.explode("_out")).drop("content")
+    out = plain.withColumn("_alone", F.col("n_calls") == 0).unionByName(of_calls.join(each_call, ["call_id", "_s"]).select(*fields, F.lit(False).alias("_alone")))
+    out = out.unionByName(of_results.join(each_result, ["call_id", "_s"]).select(*fields, "_alone"))
+    errors = F.when(F.col("_alone"), F.array().cast("array<string>")).otherwise(argument_errors(F.coalesce("name", F.lit("")), F.col("arguments"), schemas))
     out = out.withColumn("errors", errors)
     message = F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("call"), "depth", "name", F.col("content").alias("result"), "status")
     return out.withColumn("json", F.to_json(message)).select("call_id", "name", "depth", "status", "n_calls", "n_results", "errors", "json")
@@ -70,8 +118,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
 
 #: What a turn of a conversation is called with. "open" starts a chain, "continue" follows the call two turns before.
 TURN_SCHEMAS: Schemas = {
-    "open": {"chars": ("BIGINT", True), "digest": ("STRING", True), "turn": ("BIGINT", True)},
-    "continue": {"chars": ("BIGINT", True), "digest": ("STRING", True), "previous": ("BIGINT", True), "turn": ("BIGINT", True)},
+    "open": {"text": ("STRING", True), "turn": ("BIGINT", True)},
+    "continue": {"previous": ("BIGINT", True), "text": ("STRING", True), "turn": ("BIGINT", True)},
 }
 
 
@@ -79,11 +127,19 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a conversation table: a user's turn calls, the assistant's next turn is the result."""
     ident = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
     users, first = turns.where("role = 'user'"), F.col("turn") < 2
-    given = F.struct("turn", F.when(~first, F.col("turn") - 2).alias("previous"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+    given = F.struct("turn", F.when(~first, F.col("turn") - 2).alias("previous"), F.coalesce("text", F.lit("")).alias("text"))
     calls = users.select(ident(0).alias("call_id"), F.when(~first, ident(2)).alias("after"), F.when(first, "open").otherwise("continue").alias("name"), F.to_json(given).alias("arguments"))
-    return calls, turns.where("role = 'assistant'").select(ident(1).alias("call_id"), F.md5(F.coalesce("text", F.lit(""))).alias("content"))
+    return calls, turns.where("role = 'assistant'").select(ident(1).alias("call_id"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def digested(json: Column) -> Column:
+    """The JSON of a turn's call with the length and MD5 of its text, and the MD5 of its result, in place of the texts."""
+    m = F.from_json(json, "arguments struct<previous:bigint,text:string,turn:bigint>, call string, depth bigint, name string, result string, status string", {"mode": "FAILFAST"})
+    a = m["arguments"]
+    short = F.struct(F.length(a["text"]).cast("long").alias("chars"), F.md5(a["text"]).alias("digest"), a["previous"].alias("previous"), a["turn"].alias("turn"))
+    return F.to_json(F.struct(F.when(a.isNotNull(), short).alias("arguments"), m["call"].alias("call"), m["depth"].alias("depth"), m["name"].alias("name"), F.md5(m["result"]).alias("result"), m["status"].alias("status")))
 
 
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
-    return link_calls(calls, results, TURN_SCHEMAS).withColumn("errors", F.array_join("errors", ";"))
+    return link_calls(calls, results, TURN_SCHEMAS).withColumns({"errors": F.array_join("errors", ";"), "json": digested(F.col("json"))})

@@ -302,6 +302,30 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(df.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_different_calls_and_results_are_all_kept(spark):
+    odd = 'line\n"quoted" \\ é\u2028'
+    calls = [("a", None, "say", '{"t": "x"}'), ("b", "a", "say", '{"t": "x"}'), ("b", "a", "say", '{"t": 1}'), ("c", "a", "say", json.dumps({"t": odd})), ("c", "b", "say", "{}")]
+    results = [("a", odd), ("a", "2"), ("a", "2"), ("b", "3"), ("c", "4"), ("c", "5"), ("z", "6"), ("z", "7")]
+    df = spark.createDataFrame(calls, "call_id string, after string, name string, arguments string")
+    out = tool_calls.link_calls(df, spark.createDataFrame(results, "call_id string, content string"), {"say": {"t": ("STRING", True)}}).collect()
+    rows = [(r["call_id"], r["depth"], r["status"], r["n_calls"], r["n_results"], tuple(r["errors"]), json.loads(r["json"]).get("arguments", {}).get("t"), json.loads(r["json"]).get("result")) for r in out]
+    want = [("a", 0, "answered", 1, 3, (), "x", odd), ("a", 0, "answered", 1, 3, (), "x", "2"), ("b", 1, "answered", 2, 1, (), "x", "3"), ("b", 1, "answered", 2, 1, ("type of t",), 1, "3")]
+    want += [("c", 2, "ambiguous", 2, 2, (), odd, None), ("c", 2, "ambiguous", 2, 2, ("missing t",), None, None), ("c", 2, "ambiguous", 2, 2, (), None, "4"), ("c", 2, "ambiguous", 2, 2, (), None, "5"), ("z", None, "orphan", 0, 2, (), None, "6"), ("z", None, "orphan", 0, 2, (), None, "7")]
+    assert sorted(map(repr, rows)) == sorted(map(repr, want))
+
+
+def test_depth_by_several_predecessors(spark):
+    edges = [("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("d", "c"), ("e", "d"), ("f", "e"), ("f", "b"), ("g", "f"), ("g", "x"), ("x", "y"), ("y", "x"), ("h", "g")]
+    got = tool_calls.topological_depth(spark.createDataFrame(edges, "call_id string, after string")).collect()
+    assert {r["call_id"]: r["depth"] for r in got} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5, "g": None, "x": None, "y": None, "h": None}
+
+
+def test_turns_are_linked_with_their_whole_texts(spark):
+    turns = spark.createDataFrame([(1, 0, "user", 'say "hi"\n'), (1, 1, "assistant", "hi")], "conv_id long, turn int, role string, text string")
+    row = tool_calls.link_calls(*tool_calls.conversation_calls(turns), tool_calls.TURN_SCHEMAS).first()
+    assert row["errors"] == [] and row["json"] == '{"arguments":{"text":"say \\"hi\\"\\n","turn":0},"call":"1:0","depth":0,"name":"open","result":"hi","status":"answered"}'
+
+
 def test_deep_chain(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("call_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"))
     assert tool_calls.topological_depth(df).where("depth <> cast(call_id as long)").count() == 0
