@@ -1,14 +1,13 @@
 """Operator 8. Suffix-array dedup: every byte covered by a 200-byte string that starts anywhere else is removed.
 
-Suffixes are sampled, sorted by a tuple of their first bytes, the remaining suffixes are merged in through the sampled
-one that they run into, and adjacent prefixes are compared. Matches are bounded (200 bytes), so two things differ from
-a textbook difference cover: the sample is drawn by content - the position with the least hash of 32 bytes in every
-stretch of 200 bytes, which equal strings share by construction - and no recursion on names is needed, because the tuple
-that a stretch holds already fixes its group. README.md says why the textbook form is out of reach.
-
-1. Every document lists its sampled positions; tuples that occur once are dropped in one sorted pass.
-2. What is left is cut out with its surroundings, dealt by its tuple, and all suffixes of a group are sorted.
-3. Adjacent suffixes are compared byte by byte over 200 bytes; matches become spans of their documents.
+Content-defined sampling with exact hash grouping stands in place of the suffix array: no suffix is ranked or ordered.
+Positions are sampled by content - that with the least hash of 32 bytes in every stretch of 200 bytes, which equal
+strings share by construction - and the tuple of 32 bytes fixes the group in which a stretch can have its like.
+README.md says why a suffix array by difference cover is out of reach.
+
+1. Every document lists its sampled positions; tuples that occur once are dropped in one pass sorted by tuple hash.
+2. What is left is cut out with its surroundings and dealt by its tuple; a group's windows are grouped by a 64-bit hash.
+3. Windows of equal hash are compared byte by byte over 200 bytes; matches become spans of their documents.
 """
 
 from __future__ import annotations
@@ -232,8 +231,8 @@ def surroundings(docs: DataFrame, samples: DataFrame, window: int) -> DataFrame:
 
 
 def same_windows(hasher: Hasher, bodies: list[bytes], window: int) -> list[np.ndarray]:
-    """For each body, which of its windows occur elsewhere in the bodies: all suffixes are sorted by the hash of their
-    first `window` bytes, and adjacent ones with equal hashes are compared byte by byte."""
+    """For each body, which of its windows occur elsewhere in the bodies: windows are grouped by their hash, and
+    those of equal hashes are compared byte by byte."""
     sizes = np.array([len(x) for x in bodies])
     b = np.frombuffer(b"".join(bodies), np.uint8)
     at = np.cumsum(sizes) - sizes
