@@ -23,10 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies, once. Rows without a doc_id can't stand for a
-    group and stay."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest doc_id of each group of near copies, once; of several texts with that doc_id the one of
+    the least hash. Rows without a doc_id can't stand for a group and stay."""
+    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    keep = near_duplicates(keyed, carry=["_th"]).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "_th")).alias("least")).select("least.*")
+    kept = keyed.join(keep, ["doc_id", "_th"], "left_semi").dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

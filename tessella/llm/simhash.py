@@ -46,18 +46,19 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp) and columns to carry: fp is the fingerprint as a signed long."""
+    names = ["doc_id", *(carry or [])]
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 fp = np.fromiter((simhash(t) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}fp long")
 
 
 def embedded(fp: np.ndarray) -> np.ndarray:
@@ -134,15 +135,17 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs. Texts without words have fingerprint 0 and link like any other; equal
-    fingerprints are compared once; component_id is the smallest doc_id of the component (null doc_ids don't count)."""
-    fps = stored(fingerprints(docs))
+    fingerprints are compared once; component_id is the smallest doc_id of the component (null doc_ids don't count).
+    With columns to carry, these follow, and root, which tells components of the same smallest doc_id apart."""
+    fps = stored(fingerprints(docs, carry))
     each = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(each.select("fp")))
     each = each.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(each.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    more = [*carry, "root"] if carry else []
+    return fps.join(each.join(least, "root").select("fp", "component_id", *more[-1:]), "fp").select("doc_id", "fp", "component_id", *more)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

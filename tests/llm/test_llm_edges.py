@@ -147,6 +147,15 @@ def test_simhash(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_keeps_one_text_of_each_component(spark):
+    import corpus_pipeline
+
+    one, other = "one text about rivers and the mills that stand along them " * 4, "quite different words on ships, harbours and their cranes " * 4
+    docs = spark.createDataFrame([(1, one), (1, other), (2, one), (3, other), (1, one), (None, one)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([(0, one), (1, one), (1, other)])
+
+
 def test_links_connect_all_that_3_bits_connect(spark):
     rng = np.random.default_rng(5)
     seeds = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
