@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and the
+    master is local. On a cluster an unset folder is an error."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tessella-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+#: Folders that stored() writes to, innermost last.
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes inside are deleted at the end: what is made from them has to be written before."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,7 +59,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """As cut(), but written as a Parquet table in the shared folder: compressed, and pruned by column when it is read."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    folder = _SCRATCH[-1] if _SCRATCH else shared_dir(df.sparkSession)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,28 +80,19 @@ def crc_mod(doc_id: Column, m: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, m: int, held: int, limit: int) -> DataFrame:
-    """(text, label) of a bounded training sample: per class at most `limit` rows, those of the smallest hash of
-    doc_id, from rows whose crc32(doc_id as text) mod `m` is not `held`. A doc_id with several rows counts once."""
+    """(doc_id, text, label) of a bounded training sample: per class at most `limit` rows, those of the smallest hash of
+    doc_id, from rows whose crc32(doc_id as text) mod `m` is not `held`. A doc_id counts once: with several texts it stands
+    for that of the least hash, and with both labels it is left out."""
     train = labels.where(crc_mod(F.col("doc_id"), m) != held).where(F.col(label).isin(0, 1))
-    train = train.select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
+    train = train.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("_most")).where("label = _most").drop("_most")
     picks = [train.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for k in (0, 1)]
     chosen = picks[0].unionByName(picks[1])
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-
-
-def text_slices(texts: pa.Array, most: int):
-    """Split an Arrow string array into runs of rows of about `most` bytes: (first row, rows)."""
-    texts = texts.cast(pa.large_string())
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
-        yield i, texts.slice(i, j - i)
-        i = j
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("label").alias("label"))
 
 
-def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as one run of code points, and where each begins (one more entry than texts). Nulls are empty."""
-    strings = ["" if t is None else t for t in texts.to_pylist()]
-    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, np.concatenate([[0], np.cumsum([len(t) for t in strings], dtype=np.int64)]).astype(np.int64)
+def class_log_odds(labels: DataFrame, label: str, m: int, held: int) -> float:
+    """Log odds of label 1 among all labelled rows that may be learnt from."""
+    rows = labels.where(crc_mod(F.col("doc_id"), m) != held).where(F.col(label).isin(0, 1))
+    n = {r["k"]: r["count"] for r in rows.groupBy(F.col(label).alias("k")).count().collect()}
+    return float(np.log(n[1] / n[0]))

@@ -1,5 +1,9 @@
 """Operator 2. Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count
-ratios, trained on labelled text."""
+ratios, trained on labelled text.
+
+An n-gram is a hash bucket. The feature of a bucket is its log-count ratio times its count in the text, and a text's
+features have length 1 together. Every bucket that two texts of the sample hold has a weight: none is selected away.
+"""
 
 from __future__ import annotations
 
@@ -10,113 +14,118 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import codepoints, crc_mod, labelled_sample, stored, table, text_slices
-
-NGRAMS, BITS = (3, 4, 5, 6), 22
-#: Bytes of text and characters that are worked on at a time.
-SLICE, SPAN = 1 << 20, 1 << 19
-
-
-def buckets(points: np.ndarray, n: int) -> np.ndarray:
-    """Bucket (below 2^BITS) of each run of n code points."""
-    h = points[: len(points) - n + 1].astype(np.uint64)
-    for k in range(1, n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + points[k : len(points) - n + 1 + k]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def gram_sets(texts: pa.Array, wanted: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per slice of rows: how many rows, and the different (row, bucket) of their lower-cased whole texts; of the wanted
-    buckets (a mask) only, if given. A long text is worked on in overlapping spans, which gives the same set."""
-    for _, part in text_slices(texts, SLICE):
-        points, at = codepoints(pa.array([(t or "").lower() for t in part.to_pylist()], pa.large_string()))
-        row = np.repeat(np.arange(len(part)), np.diff(at))
-        found = [np.zeros(0, np.int64)]
-        for i in range(0, len(points), SPAN):
-            for n in NGRAMS:
-                p, r = points[i : i + SPAN + n - 1], row[i : i + SPAN + n - 1]
-                if len(p) < n:
-                    continue
-                b = buckets(p, n)
-                ok = r[: len(b)] == r[n - 1 :]
-                if wanted is not None:
-                    ok &= wanted[b]
-                found.append(np.unique((r[: len(b)][ok] << BITS) | b[ok]))
-        keys = np.unique(np.concatenate(found))
-        yield len(part), keys >> BITS, keys & ((1 << BITS) - 1)
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by accelerated gradient steps."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    step = 1 / (0.25 * np.linalg.norm(x1, 2) ** 2 / len(y) + l2)
-    w = v = np.zeros(x1.shape[1])
-    for t in range(rounds):
-        g = x1.T @ (1 / (1 + np.exp(-np.clip(x1 @ v, -50, 50))) - y) / len(y)
-        g[:-1] += l2 * v[:-1]
-        new = v - step * g
-        v, w = new + t / (t + 3) * (new - w), new
-    return w[:-1], float(w[-1])
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str, m: int, held: int, per_class: int = 1500, n_features: int = 4096, l2: float = 1e-3) -> dict | None:
-    """Weights by bucket and an intercept; None without rows of both classes.
-
-    Bound on the training sample: `per_class` rows a class, whole texts. The n-grams of the sample are counted by class
-    in an aggregation; n_features buckets, those that tell the classes apart best, reach the driver. The intercept is
-    corrected from the even sample to the classes' shares of all labelled training rows.
+from tessella.llm.common import class_log_odds, crc_mod, labelled_sample, table
+
+NGRAMS, BITS = (3, 4, 5, 6), 20
+#: Characters that are worked on at a time.
+SPAN = 1 << 19
+
+
+def buckets(points: np.ndarray) -> np.ndarray:
+    """Bucket (below 2^BITS) of every n-gram that begins among the code points, for each n of NGRAMS."""
+    out, h = [], points
+    for n in range(2, NGRAMS[-1] + 1):
+        if len(points) < n:
+            break
+        h = h[:-1] * np.uint32(0x9E3779B1) + points[n - 1 :]
+        if n in NGRAMS:
+            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            out.append(mixed >> np.uint32(32 - BITS))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Different buckets of the lower-cased whole text and how often each comes. A long text is counted span by span."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) <= SPAN:
+        found = np.sort(buckets(points))
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+        return found[first], np.diff(np.append(first, len(found)))
+    counts = np.zeros(1 << BITS, np.int64)
+    for i in range(0, len(points), SPAN):
+        part = points[i : i + SPAN + NGRAMS[-1] - 1]
+        counts += np.bincount(buckets(part), minlength=1 << BITS)
+        if i + SPAN < len(points):  # what begins in the part's overlap is the next span's
+            counts -= np.bincount(buckets(part[SPAN:]), minlength=1 << BITS)
+    found = np.flatnonzero(counts)
+    return found.astype(np.uint32), counts[found]
+
+
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: float, epochs: int = 10, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression over sparse rows (buckets, values) by stochastic dual coordinate ascent."""
+    rng, w, b0, n = np.random.default_rng(seed), np.zeros(1 << BITS), 0.0, len(rows)
+    dual, signs = np.zeros(n), np.where(y == 1, 1.0, -1.0)
+    width = [float(v @ v) + 1 for _, v in rows]
+    for _ in range(epochs):
+        for i in rng.permutation(n):
+            at, v = rows[i]
+            margin = signs[i] * (w[at] @ v + b0)
+            step = (signs[i] / (1 + np.exp(np.clip(margin, -50, 50))) - dual[i]) / max(1.0, 0.25 + width[i] / (l2 * n))
+            dual[i] += step
+            w[at] += step / (l2 * n) * v
+            b0 += step / (l2 * n)
+    return w, b0
+
+
+def scaled(found: np.ndarray, counts: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's features: counts times log-count ratios, scaled to length 1. Buckets without a ratio go."""
+    v = ratio[found] * counts
+    known = v != 0
+    found, v = found[known], v[known].astype(np.float64)
+    return found, v / max(1e-12, float(np.sqrt(v @ v)))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, m: int, held: int, per_class: int = 800, l2: float = 1e-5) -> dict | None:
+    """Log-count ratios and weights by bucket, and an intercept; None without rows of both classes.
+
+    Bound on the training sample: `per_class` rows a class, whole texts. Their n-grams are counted on the executors; the
+    counts (at most 2^BITS a row) reach the driver. The ratio of a bucket compares in how many texts of each class it is,
+    one added to each. The intercept is corrected from the sample's to the classes' shares of all labelled training rows.
     """
-    sample = labelled_sample(docs, labels, label, m, held, per_class).repartition(32, "doc_id")
+    sample = labelled_sample(docs, labels, label, m, held, per_class)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = 0
-            for n, row, bucket in gram_sets(batch.column("text"), None):
-                sets = np.split(bucket.astype(np.int32), np.searchsorted(row, np.arange(1, n)))
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("label").to_numpy()[done : done + n].astype(np.int32)), pa.array(sets, pa.list_(pa.int32()))], ["label", "buckets"])
-                done += n
-
-    seen = stored(sample.select("text", "label").mapInArrow(grams, "label int, buckets array<int>"))
-    sizes = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
-    if len(sizes) < 2:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                got = [gram_counts(t) for t in part.column("text").to_pylist()]
+                cols = [pa.array([b.astype("<u4").tobytes() for b, _ in got], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), *cols], ["doc_id", "label", "buckets", "counts"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    got = sample.select("doc_id", "label", "text").mapInArrow(grams, f"doc_id {kind}, label int, buckets binary, counts binary").toPandas().sort_values("doc_id")
+    y = got["label"].to_numpy()
+    if not 0 < y.sum() < len(y):
         return None
-    counts = seen.select("label", F.explode("buckets").alias("b")).groupBy("b").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    p, q, rest = (F.col("pos") + 1) / (sizes[1] + 2), (F.col("neg") + 1) / (sizes[0] + 2), (F.col("pos") + F.col("neg") + 2) / (sizes[0] + sizes[1] + 4)
-    best = counts.select("b", F.log(p / q).alias("r"), ((p - q) * (p - q) / (rest * (1 - rest))).alias("gain")).orderBy(F.desc("gain"), "b").limit(n_features).toPandas()
-    ids, ratio = best["b"].to_numpy(), best["r"].to_numpy()
-    order = np.argsort(ids)
-    ids, ratio = ids[order], ratio[order]
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.intersect1d(b, ids, assume_unique=True) for b in batch.column("buckets").to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["label", "buckets"])
+    rows = [(np.frombuffer(b, "<u4"), np.frombuffer(c, "<u2")) for b, c in zip(got["buckets"], got["counts"], strict=True)]
+    texts = np.zeros((2, 1 << BITS))
+    for k, (found, _) in zip(y, rows, strict=True):
+        texts[k, found] += 1
+    share = (texts + 1) / (np.array([[(y == 0).sum()], [(y == 1).sum()]]) + 2)
+    ratio = np.where(texts.sum(0) > 1, np.log(share[1] / share[0]), 0).astype(np.float32)
+    w, b0 = fit_logistic([scaled(*r, ratio) for r in rows], y, l2)
+    b0 += class_log_odds(labels, label, m, held) - np.log(y.sum() / (len(y) - y.sum()))
+    return {"ratio": ratio, "weight": w.astype(np.float32), "intercept": float(b0)}
+
 
-    rows = seen.mapInArrow(only, "label int, buckets array<int>").toPandas()
-    x = np.zeros((len(rows), len(ids)), np.float32)
-    for i, b in enumerate(rows["buckets"]):
-        at = np.searchsorted(ids, b)
-        x[i, at] = ratio[at]
-    w, b0 = fit_logistic(x, rows["label"].to_numpy().astype(np.float64), l2)
-    all_rows = {r["k"]: r["count"] for r in labels.where(crc_mod(F.col("doc_id"), m) != held).where(F.col(label).isin(0, 1)).groupBy(F.col(label).alias("k")).count().collect()}
-    b0 += np.log(all_rows[1] / all_rows[0]) - np.log(sizes[1] / sizes[0])
-    return {"bucket": ids.astype(np.int64), "weight": w * ratio, "intercept": float(b0)}
+def text_score(text: str | None, model: dict) -> float:
+    found, v = scaled(*gram_counts(text), model["ratio"])
+    z = float(model["weight"][found] @ v) + model["intercept"]
+    return float(1 / (1 + np.exp(-min(50.0, max(-50.0, z)))))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """(doc_id, score) per row. A null or empty text has no n-gram and gets the intercept's score; without a model 0.5."""
+    """(doc_id, score) per row, over the whole text. A null, empty or very short text has no n-gram and gets the
+    intercept's score; repeated rows score alike; without a model every score is 0.5; columns of docs other than doc_id
+    and text are not read."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.zeros(1 << BITS, np.float32)
-        if model is not None:
-            weight[model["bucket"]] = model["weight"]
-        wanted = weight != 0
         for batch in batches:
-            z = np.concatenate([np.zeros(0), *[np.bincount(row, weight[bucket], n) for n, row, bucket in gram_sets(batch.column("text"), wanted)]])
-            z += model["intercept"] if model is not None else 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                scores = [text_score(t, model) if model is not None else 0.5 for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, html_blocks, html_extraction, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, text_stats, tool_calls, toxicity
+from tessella.llm import common, decontamination, html_blocks, html_extraction, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, text_stats, tool_calls, toxicity
 from tessella.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, n_words string, _h string"
@@ -37,6 +37,13 @@ def test_sharding(spark, odd, empty):
     assert sharding.hilbert_shards(empty, ["n_words", "doc_id"], ["doc_id"], 8).count() == 0
 
 
+def test_texts_are_cut_by_their_whole_length(spark):
+    df = spark.createDataFrame([(f"https://an.example.org/a/long/shared/beginning/site{i % 5}.org", i) for i in range(500)] + [(None, 1)], "source string, k int")
+    rows = sharding.quantised(df, ["source"], 3)[0].select("source", "_q0").distinct().collect()
+    assert len(rows) == 6 and len({r["_q0"] for r in rows if r["source"]}) == 5
+    assert [r["source"] for r in sorted(rows, key=lambda r: r["_q0"]) if r["source"]] == sorted(r["source"] for r in rows if r["source"])
+
+
 def test_hilbert_curve_visits_neighbours(spark):
     side = range(8)
     df = spark.createDataFrame([(a, b, c) for a in side for b in side for c in side], "a int, b int, c int")
@@ -72,12 +79,36 @@ def test_classifiers(odd, empty, labels, module, label):
 
 
 def test_long_texts_have_the_same_grams_in_spans(monkeypatch):
-    import pyarrow as pa
-
-    texts = pa.array(["abcabcabd" * 30, None, "", "xyz"])
-    whole = [tuple(map(tuple, x[1:])) for x in toxicity.gram_sets(texts, None)]
+    texts = ["abcabcabd" * 30, None, "", "xyz", "ab", "é" * 40]
+    whole = [toxicity.gram_counts(t) for t in texts]
+    assert whole[0][1].sum() == sum(270 - n + 1 for n in toxicity.NGRAMS) and len(whole[3][0]) == 1 and not len(whole[4][0])
     monkeypatch.setattr(toxicity, "SPAN", 17)
-    assert [tuple(map(tuple, x[1:])) for x in toxicity.gram_sets(texts, None)] == whole
+    for (a, n), (b, m) in zip(whole, map(toxicity.gram_counts, texts)):
+        assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+
+
+def test_scores_are_the_linear_form_of_scaled_counts(spark, odd):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, ("you utter fool " if i % 3 == 0 else "a pleasant walk ") * 3 + f"number {i}") for i in range(40)], "doc_id long, text string")
+    model = toxicity.train(docs, labels, "toxic", 5, 0)
+    for r in toxicity.score(odd, model).join(odd.select("doc_id", "text"), "doc_id").collect():
+        counts = {}
+        low = (r["text"] or "").lower()
+        for n in toxicity.NGRAMS:
+            for i in range(len(low) - n + 1):
+                b = int(toxicity.gram_counts(low[i : i + n])[0][-1]) if n == 3 else int(toxicity.buckets(np.array([ord(c) for c in low[i : i + n]], np.uint32))[-1])
+                counts[b] = counts.get(b, 0) + 1
+        v = {b: float(model["ratio"][b]) * k for b, k in counts.items() if model["ratio"][b] != 0}
+        z = model["intercept"] + sum(float(model["weight"][b]) * x for b, x in v.items()) / max(1e-12, sum(x * x for x in v.values()) ** 0.5)
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-6
+    assert (model["ratio"] != 0).sum() > 100
+
+
+def test_training_rows_of_a_repeated_doc_id_are_defined(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    got = {tuple(sorted((r["doc_id"], r["text"], r["label"]) for r in common.labelled_sample(docs.repartition(n), labels, "toxic", 1000003, 0, 10).collect())) for n in (1, 3)}
+    assert len(got) == 1 and {r[0] for r in got.pop()} == {1, 3}
 
 
 def test_rules_compile_to_what_they_say(spark):
@@ -137,14 +168,36 @@ def test_crossover_keeps_every_piece():
     a, b = (packing.fresh(sizes, rng.permutation(300), 100) for _ in range(2))
     child = packing.crossover(sizes, a, b, 100, rng)
     assert (child >= 0).all() and np.bincount(child, sizes).max() <= 100
-    best = packing.evolve(sizes, [a, b], 100, 3, 10)
-    assert best.max() + 1 <= min(a.max(), b.max()) + 1
+    best, crossed = packing.evolve(sizes, [a, b], 100, 3, 10)
+    assert crossed and best.max() < min(a.max(), b.max())
+
+
+def test_the_genetic_algorithm_packs(spark, monkeypatch):
+    sizes = np.random.default_rng(1).integers(600, 1100, 2500)
+    down = packing.fresh(sizes, np.argsort(-sizes, kind="stable"), 2048).max() + 1
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "doc_id long, length long").withColumn("offset", F.lit("old"))
+
+    def packed():
+        rows = packing.pack(df, 2048, block_items=1000).collect()
+        places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+        assert len(rows) == 2500 and all(o == (p + n if q == s else 0) for (q, p, n), (s, o, _) in zip([(None, 0, 0), *places], places))
+        assert all(o + n <= 2048 for _, o, n in places)
+        return len({s for s, _, _ in places})
+
+    assert packed() < down
+    blocks = packing.evolved_blocks(df.select(F.col("doc_id").alias("uid"), "length"), 2048, 1000, 2, 2, 4).collect()
+    assert len(blocks) == 3 and all(r["crossovers"] >= 16 and r["bins"] >= r["bound"] for r in blocks)
+    monkeypatch.setattr(packing, "crossover", lambda sizes, a, b, *_: a)
+    assert packed() > down
 
 
 def test_simhash(odd, empty):
     rows = {(r["doc_id"], r["component_id"], r["fp"] == 0) for r in simhash.near_duplicates(odd).collect()}
     assert {(1, 1, True), (2, 1, True), (5, 5, False), (None, None, False)} <= rows
     assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(odd, carry=["n_words"]).columns == ["doc_id", "fp", "component_id", "n_words", "root"]
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(odd.withColumnRenamed("n_words", "root"), carry=["root"])
 
 
 def test_near_dedup_keeps_one_text_of_each_component(spark):
@@ -156,7 +209,8 @@ def test_near_dedup_keeps_one_text_of_each_component(spark):
     assert got == sorted([(0, one), (1, one), (1, other)])
 
 
-def test_links_connect_all_that_3_bits_connect(spark):
+@pytest.mark.parametrize("big", [4096, 3])
+def test_links_connect_all_that_3_bits_connect(spark, big):
     rng = np.random.default_rng(5)
     seeds = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     fps = {int(s) for s in seeds}
@@ -180,7 +234,7 @@ def test_links_connect_all_that_3_bits_connect(spark):
                 root[find(a)] = find(b)
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    got = {r["v"]: r["root"] for r in connected_components(simhash.links(df)).collect()}
+    got = {r["v"]: r["root"] for r in connected_components(simhash.links(df, big=big)).collect()}
     group = lambda key: sorted(sorted(f for f in fps if key(f) == k) for k in {key(f) for f in fps})
     assert group(find) == group(lambda f: got.get(signed(f), signed(f)))
 

@@ -44,13 +44,16 @@ def test_op1_law_and_slots(spark, documents):
 
 @pytest.mark.parametrize("name, label, m, held", [("op2_toxicity", "toxic", 5, 0), ("op7_quality_classifier", "quality", 3, 1)])
 def test_classifiers_on_held_out_rows(spark, name, label, m, held):
-    rows = run(spark, name).collect()
-    labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    larger = "/root/testdata/sf0.01"
+    rows = llm.queries()[name](spark, larger).collect()
+    labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % m == held) for r in rows)
     known = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
-    good = np.mean([(s >= 0.5) == bool(y) for s, y in known])
-    assert good >= 0.85
+    share = np.mean([y for _, y in known])
+    assert np.mean([(s >= 0.5) == bool(y) for s, y in known]) > max(share, 1 - share)
+    ranked = np.mean([(a > b) + (a == b) / 2 for a, y in known if y == 1 for b, z in known if z == 0])
+    assert ranked >= 0.95
 
 
 def test_op5_sequences(spark, documents):
