@@ -11,26 +11,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, table
+from tessella.llm.common import cut, stored, table
 
 
-def ordered_number(df: DataFrame, name: str) -> Column:
-    """A long that orders as the column does: numbers as they are, text by its first 7 bytes."""
-    kind = dict(df.dtypes)[name]
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return F.col(name).cast("double")
+def text_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
+    """At most cells - 1 texts that cut the rows, in the order of the whole texts, into runs of about equal counts. The
+    different texts are counted and sorted by range; running counts go by partition, and only the cuts reach the driver."""
+    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = cut(values.orderBy("v").withColumn("pid", F.spark_partition_id()))
+    parts = values.groupBy("pid").agg(F.sum("n").alias("m"))
+    # One row per partition: its size does not follow the rows.
+    parts = parts.select("pid", F.coalesce(F.sum("m").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy()).alias("all"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = values.withColumn("at", inside).join(F.broadcast(parts), "pid").withColumn("cell", F.expr(f"((before + at) * {cells}) div all"))
+    return sorted((r["v"] for r in placed.where("cell > 0").groupBy("cell").agg(F.min("v").alias("v")).collect()), key=lambda v: v.encode("utf-8", "surrogatepass"))
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> tuple[DataFrame, list[str]]:
     """Adds _q0, _q1, ...: how many of the 2^bits - 1 inner quantiles of a dimension lie below the value; null is 0.
-    The quantiles are approximate and are the only values that reach the driver (dims x 2^bits numbers)."""
+    Numbers are cut at approximate quantiles; texts are compared whole with text_cuts, so that a shared beginning of any
+    length tells nothing away. The cuts are the only values that reach the driver (dims x 2^bits)."""
     steps = [i / 2**bits for i in range(1, 2**bits)]
-    found = df.select(*[F.percentile_approx(ordered_number(df, d), steps, 1000).alias(f"b{i}") for i, d in enumerate(dims)]).first()
+    kinds = dict(df.dtypes)
+    numbers = [d for d in dims if kinds[d] != "string"]
+    found = df.select(*[F.percentile_approx(F.col(d).cast("double"), steps, 1000).alias(f"b{i}") for i, d in enumerate(numbers)]).first() if numbers else []
+    cuts = {d: sorted(set(c or [])) for d, c in zip(numbers, found, strict=True)}
     names = [f"_q{i}" for i in range(len(dims))]
     for i, d in enumerate(dims):
-        value = ordered_number(df, d)
-        above = [F.coalesce(value > F.lit(b), F.lit(False)).cast("int") for b in sorted(set(found[i] or []))]
+        if d in cuts:
+            above = [F.coalesce(F.col(d).cast("double") > F.lit(b), F.lit(False)).cast("int") for b in cuts[d]]
+        else:
+            above = [F.coalesce(F.col(d) >= F.lit(b), F.lit(False)).cast("int") for b in text_cuts(df, d, 2**bits)]
         df = df.withColumn(names[i], reduce(lambda a, b: a + b, above, F.lit(0)))
     return df, names
 
@@ -84,6 +95,7 @@ def hilbert_shards(df: DataFrame, dims: list[str], order_by: list[str], n_shards
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    docs = docs.select("doc_id", "source", "lang", "n_chars", size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"))
+    # The keys are a few numbers a row; written once, they spare the later passes the texts.
+    docs = stored(docs.select("doc_id", "source", "lang", "n_chars", size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32")))
     out = hilbert_shards(docs, ["source", "lang", "n_chars"], ["doc_id", "size", "text_crc32"], n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
