@@ -92,21 +92,38 @@ def forest(fp: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
-def links(fps: DataFrame, distance: int = 3) -> DataFrame:
+def signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def links(fps: DataFrame, distance: int = 3, big: int = 4096) -> DataFrame:
     """Edges (a, b) between different fingerprints of `fps` (fp, each once) whose components are those of all links
-    within `distance` (3 at most: more would need more groups)."""
+    within `distance` (3 at most: more would need more groups).
+
+    A cell of more than `big` fingerprints is dealt once more, by each quarter of the fingerprint: at most 3 differing bits
+    leave one of four quarters equal, so no link is lost and no task searches a crowded cell as a whole.
+    """
     if distance > 3:
-        raise ValueError("six groups serve distances up to 3")
+        raise ValueError("six groups, and four quarters, serve distances up to 3")
     low, high = F.col("fp").bitwiseAND(F.lit(EVEN)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(EVEN))
     twos = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
     masks = [sum(((1 << 2 * (hi - lo)) - 1) << 2 * lo for lo, hi in chosen) for chosen in combinations(GROUPS, 3)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
     cells = F.array(*[F.struct(F.lit(k).cast("byte").alias("grid"), F.col("_e").bitwiseAND(F.lit(signed(m))).alias("cell")) for k, m in enumerate(masks)])
     keyed = fps.select("fp", twos.alias("_e")).select("fp", F.explode(cells).alias("c")).select("c.grid", "c.cell", "fp")
-    keyed = keyed.repartition("grid", "cell").sortWithinPartitions("grid", "cell")
-
-    def edges(grid: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero((grid[1:] != grid[:-1]) | (cell[1:] != cell[:-1])) + 1
+    crowded = stored(keyed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > big).select("grid", "cell"))
+    quarter = F.lit(None).cast("long")
+    if not crowded.isEmpty():
+        keyed = keyed.join(crowded.withColumn("_big", F.lit(True)), ["grid", "cell"], "left")
+        quarters = F.array(*[F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) + (k << 16) for k in range(4)])
+        keyed = keyed.withColumn("quarter", F.explode(F.when(F.col("_big"), quarters).otherwise(F.array(quarter))))
+    else:
+        keyed = keyed.withColumn("quarter", quarter)
+    keyed = keyed.select("grid", "cell", F.coalesce("quarter", F.lit(-1)).cast("int").alias("quarter"), "fp")
+    keyed = keyed.repartition("grid", "cell", "quarter").sortWithinPartitions("grid", "cell", "quarter")
+
+    def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
+        *key, fp = cols
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
         first, last = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
         pairs = first[last - first == 2]
         a, b = fp[pairs], fp[pairs + 1]
@@ -114,31 +131,41 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
         found = [(a[near], b[near])]
         for i, j in zip(*(x[last - first > 2].tolist() for x in (first, last)), strict=True):
             found += forest(fp[i:j], distance)
-        cols = [np.concatenate(x).view(np.int64) for x in zip(*found, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b"])
+        made = [np.concatenate(x).view(np.int64) for x in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # parts of a run whose last cell may go on; joined once, when it ends
+        last = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            cols[2] = cols[2].view(np.uint64)
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            grid, cell, _ = held
-            if not len(grid) or (grid[0], cell[0]) == (grid[-1], cell[-1]):
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols[3] = cols[3].view(np.uint64)
+            if last is not None and last == tuple(int(c[-1]) for c in cols[:3]):
+                held.append(cols)
                 continue
-            cut_at = int(np.flatnonzero((grid != grid[-1]) | (cell != cell[-1]))[-1]) + 1
-            yield edges(*[x[:cut_at] for x in held])
-            held = [x[cut_at:] for x in held]
-        if held is not None and len(held[0]):
-            yield edges(*held)
+            last = tuple(int(c[-1]) for c in cols[:3])
+            at = int(np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in cols[:3]]))[-1]) + 1 if any(c[0] != c[-1] for c in cols[:3]) else 0
+            held.append([c[:at] for c in cols])
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            if len(whole[3]):
+                yield edges(whole)
+            held = [[c[at:] for c in cols]]
+        if held:
+            yield edges([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) per row of docs. Texts without words have fingerprint 0 and link like any other; equal
-    fingerprints are compared once; component_id is the smallest doc_id of the component (null doc_ids don't count).
-    With columns to carry, these follow, and root, which tells components of the same smallest doc_id apart."""
+    """(doc_id, fp, component_id) per row of docs. Texts without words (null ones too) have fingerprint 0 and link like any
+    other; a text is hashed whole, however long; repeated rows and equal fingerprints are compared once and are rows of
+    one component each; component_id is the smallest doc_id of the component (null doc_ids don't count). With columns to
+    carry, these follow (a name of the result can't be carried), and root, which tells components of the same smallest
+    doc_id apart; other columns of docs are not read."""
+    if clash := {"doc_id", "fp", "component_id", "root"} & set(carry or []):
+        raise ValueError(f"these names are the result's: {sorted(clash)}")
     fps = stored(fingerprints(docs, carry))
     each = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(each.select("fp")))
