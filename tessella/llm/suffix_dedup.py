@@ -167,8 +167,7 @@ def surroundings(docs: DataFrame, samples: DataFrame, window: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), took.column("doc_id"), took.column("_h"), pa.array(start, pa.int32()), pa.array(start + length, pa.int32()), pa.array(known), body], fields)
 
         def spans(rows: pa.RecordBatch, of: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-            away = (rows.column("_h").to_numpy()[of].view(np.uint64) + start.astype(np.uint64) * np.uint64(MUL)).view(np.int64)
-            return out(rows, of, away, start, length, np.ones(len(of), bool), pa.nulls(len(of), pa.binary()))
+            return out(rows, of, np.zeros(len(of), np.int64), start, length, np.ones(len(of), bool), pa.nulls(len(of), pa.binary()))
 
         def met() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -261,7 +260,7 @@ def same_windows(hasher: Hasher, bodies: list[bytes], window: int) -> list[np.nd
 def matched_spans(bodies: DataFrame, window: int) -> DataFrame:
     """(doc_id, _h, start, stop) of bytes that are covered, from rows of surroundings().
 
-    Rows arrive sorted by tuple and body. Equal bodies are covered and leave at once but for one, so no task holds all rows
+    Rows without a body are spans already and go anywhere. The others arrive sorted by tuple and body. Equal bodies are covered and leave at once but for one, so no task holds all rows
     that share one; the different bodies of a tuple hold HOT bytes at most. A digest matches equal digests only.
     """
     kind = bodies.schema["doc_id"].dataType.simpleString()
@@ -312,7 +311,8 @@ def matched_spans(bodies: DataFrame, window: int) -> DataFrame:
         if done:
             yield resolve(done)
 
-    return bodies.repartition("name").sortWithinPartitions("name", "body").mapInArrow(run, f"doc_id {kind}, _h long, start int, stop int")
+    place = F.when(F.col("body").isNull(), F.xxhash64("doc_id", "_h", "start")).otherwise(F.col("name"))
+    return bodies.repartition(place).sortWithinPartitions("name", "body").mapInArrow(run, f"doc_id {kind}, _h long, start int, stop int")
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, with_text: bool = True) -> DataFrame:
