@@ -1,9 +1,9 @@
 """Operator 5. Best-fit packing by a grouping genetic algorithm on islands.
 
 Documents become token counts inside Arrow batches. Pieces are dealt by a hash into blocks of bounded size; every block
-is evolved on several islands, whose elites migrate between epochs; the best packing of each block is kept. A crossover
-injects whole well-filled bins of one parent into the other, drops the bins that hold a duplicate, and best-fits the
-displaced pieces.
+is evolved on several islands, whose elites migrate between epochs; the best packing of each block is kept. Islands start
+from random orders. A crossover injects the whole well-filled bins of one parent, drops the other's bins that hold a
+duplicate and those that are not well filled, and best-fits the displaced pieces. What the blocks leave is packed again.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -78,12 +79,14 @@ class TokenIds:
             return b"".join(map(self.known.__getitem__, units))
 
 
-def token_ids(path: str) -> TokenIds:
-    """One per worker process: what it has learnt outlives the task, in the namespace of the tokenizer library."""
-    import tokenizers
+#: What a worker process has learnt about each tokenizer file; it outlives the task.
+_LEARNT: dict[str, TokenIds] = {}
+
 
-    kept = tokenizers.__dict__.setdefault("_token_ids", {})
-    return kept.get(path) or kept.setdefault(path, TokenIds(path))
+def token_ids(path: str) -> TokenIds:
+    if path not in _LEARNT:
+        _LEARNT[path] = TokenIds(path)
+    return _LEARNT[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
@@ -124,6 +127,7 @@ def best_fit(sizes: np.ndarray, items: list[int], room: list[int], bins: np.ndar
 
 
 def fresh(sizes: np.ndarray, order: np.ndarray, capacity: int) -> np.ndarray:
+    """A packing that takes the items in the given order."""
     bins = np.full(len(sizes), -1, np.int32)
     best_fit(sizes, order.tolist(), [], bins, capacity)
     return bins
@@ -135,83 +139,118 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, fl
     return -len(fill), float((fill**2).mean())
 
 
-def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rng: np.random.Generator, share: float = 0.3, full: float = 0.97) -> np.ndarray:
-    fill = np.bincount(b, sizes) / capacity
-    chosen = (fill >= min(full, float(np.median(fill)))) & (rng.random(len(fill)) < share)
-    moved = chosen[b]
-    hit = np.zeros(int(a.max()) + 1, bool)
-    hit[a[moved]] = True
-    stay = ~hit[a]
+def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rng: np.random.Generator, share: float = 0.3, full: float = 0.999) -> np.ndarray:
+    """A child of two packings: a random share of b's well-filled bins goes in whole; a's bins that share an item with them
+    go, and so do those of a that are not well filled; the items displaced are best-fitted, large ones first."""
+    of_b, of_a = np.bincount(b, sizes), np.bincount(a, sizes)
+    moved = ((of_b >= full * capacity) & (rng.random(len(of_b)) < share))[b]
+    gone = of_a < full * capacity
+    gone[a[moved]] = True
+    stay = ~gone[a]
     child = np.full(len(sizes), -1, np.int32)
-    _, kept = np.unique(a[stay], return_inverse=True)
-    n = int(kept.max()) + 1 if len(kept) else 0
-    child[stay] = kept
-    if moved.any():
-        child[moved] = np.unique(b[moved], return_inverse=True)[1] + n
-        n = int(child.max()) + 1
+    n = 0
+    for chosen, parent in ((stay, a), (moved, b)):
+        if chosen.any():
+            child[chosen] = np.unique(parent[chosen], return_inverse=True)[1] + n
+            n = int(child.max()) + 1
     placed = child >= 0
     room = (capacity - np.bincount(child[placed], sizes[placed], n)).astype(int).tolist()
     out = np.flatnonzero(~placed)
-    best_fit(sizes, out[np.argsort(-sizes[out], kind="stable")].tolist(), room, child, capacity)
+    # Large ones first, in an order that differs a little from child to child.
+    best_fit(sizes, out[np.argsort(-sizes[out] * rng.uniform(0.98, 1.02, len(out)), kind="stable")].tolist(), room, child, capacity)
     return child
 
 
-def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int, children: int = 4, population: int = 6) -> np.ndarray:
-    """The best packing of an island after some generations; stops at the lower bound on bins."""
-    rng, down = np.random.default_rng(seed), np.argsort(-sizes, kind="stable")
-    least = -(-int(sizes.sum()) // capacity)
+def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int, children: int = 4, population: int = 6) -> tuple[np.ndarray, int]:
+    """The best packing of an island after some generations, and how many crossovers it took. An island without elites
+    starts from random orders; it stops at the lower bound on bins."""
+    rng, least, crossed = np.random.default_rng(seed), -(-int(sizes.sum()) // capacity), 0
     key = lambda x: fitness(sizes, x, capacity)
-    pool = list(elites) or [fresh(sizes, down, capacity)]
-    while len(pool) < population // 2 and -key(pool[0])[0] > least:
-        pool.append(fresh(sizes, np.argsort(-sizes * rng.uniform(0.9, 1.1, len(sizes)), kind="stable"), capacity))
+    pool = list(elites)
+    while len(pool) < 2 or (not elites and len(pool) < population):
+        pool.append(fresh(sizes, rng.permutation(len(sizes)), capacity))
     pool.sort(key=key, reverse=True)
     for _ in range(generations):
         if -key(pool[0])[0] <= least:
             break
         for _ in range(children):
-            i, j = rng.choice(len(pool), 2, replace=len(pool) < 2)
-            pool.append(crossover(sizes, pool[min(i, j)], pool[max(i, j)], capacity, rng))
+            i, j = rng.choice(len(pool), 2, replace=False)
+            pool.append(crossover(sizes, pool[i], pool[j], capacity, rng))
+            crossed += 1
         pool = sorted(pool, key=key, reverse=True)[:population]
-    return pool[0]
-
+    return pool[0], crossed
 
-def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 5) -> DataFrame:
-    """Adds sequence_id and offset to a stored table of pieces with a `length` of 1 to capacity.
 
-    A piece of full length is a sequence of its own. Blocks are dealt by a hash of the row, so no key can make one
-    large; a block costs at most one partly filled sequence more than packing it with the others would. Order of rows
-    with equal lengths is of no weight; an empty table gives an empty table; other columns pass through.
-    """
-    rows = stored(pieces.withColumn("_uid", F.monotonically_increasing_id()))
-    n_blocks = max(1, -(-rows.where(F.col("length") < capacity).count() // block_items))
-    blocks = rows.where(F.col("length") < capacity).groupBy(F.pmod(F.xxhash64("_uid"), F.lit(n_blocks)).alias("block"))
-    blocks = blocks.agg(F.sort_array(F.collect_list(F.struct(F.col("_uid").alias("uid"), F.col("length").alias("length")))).alias("items"))
+def evolved_blocks(rows: DataFrame, capacity: int, block_items: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """(block, uids, lengths, elite, bins, bound, crossovers) per block of rows (uid, length): elite is the bin of each item
+    in the best packing of all islands, bound the least number of bins that the lengths allow."""
+    n_blocks = max(1, -(-rows.count() // block_items))
+    blocks = rows.groupBy(F.pmod(F.xxhash64("uid"), F.lit(n_blocks)).alias("block"))
+    blocks = blocks.agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("items"))
     state = stored(blocks.select("block", F.col("items.uid").alias("uids"), F.col("items.length").alias("lengths")))
-    elites = state.select("block", "uids", "lengths", F.array().cast("array<array<int>>").alias("elites"))
+    elites = state.select("block", "lengths", F.array().cast("array<array<int>>").alias("elites"), F.lit(0).alias("crossovers"))
+    fields = [("block", pa.int64()), ("island", pa.int32()), ("bins", pa.int32()), ("fill", pa.float64()), ("crossovers", pa.int32()), ("elite", pa.list_(pa.int32()))]
 
     def epoch(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     sizes, seed = np.asarray(row["lengths"], np.int64), (row["block"] * islands + row["island"]) * epochs + number
-                    best = evolve(sizes, [np.asarray(e, np.int32) for e in row["elites"]], capacity, seed, generations)
-                    score = fitness(sizes, best, capacity)
-                    yield pa.RecordBatch.from_pylist([{"block": row["block"], "island": row["island"], "bins": -score[0], "fill": score[1], "elite": best.tolist()}], schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("bins", pa.int32()), ("fill", pa.float64()), ("elite", pa.list_(pa.int32()))]))
+                    best, crossed = evolve(sizes, [np.asarray(e, np.int32) for e in row["elites"]], capacity, seed, generations)
+                    bins, fill = fitness(sizes, best, capacity)
+                    made = {"block": row["block"], "island": row["island"], "bins": -bins, "fill": fill, "crossovers": crossed + row["crossovers"], "elite": best.tolist()}
+                    yield pa.RecordBatch.from_pylist([made], schema=pa.schema(fields))
 
         return run
 
     for e in range(epochs):
         dealt = elites.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)]))).repartition(F.col("block"), F.col("island"))
-        ran = dealt.mapInArrow(epoch(e), "block long, island int, bins int, fill double, elite array<int>")
+        ran = dealt.mapInArrow(epoch(e), "block long, island int, bins int, fill double, crossovers int, elite array<int>")
         if e + 1 < epochs:  # migration: each island of a block starts the next epoch from the elites of all of them
-            elites = stored(state.join(ran.groupBy("block").agg(F.collect_list("elite").alias("elites")), "block").select("block", "uids", "lengths", "elites"))
-    best = stored(ran.groupBy("block").agg(F.max_by("elite", F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("elite")))
-    placed = state.join(best, "block").select("block", F.explode(F.arrays_zip("uids", "lengths", "elite")).alias("p"))
-    placed = placed.groupBy("block", F.col("p.elite").alias("bin")).agg(F.sort_array(F.collect_list(F.struct(F.col("p.uids").alias("uid"), F.col("p.lengths").alias("length")))).alias("in_bin"))
-    before = F.transform("in_bin", lambda x, i: F.struct(x["uid"].alias("uid"), F.aggregate(F.slice("in_bin", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["length"]).alias("at")))
-    placed = placed.select((F.col("block") * 2 * block_items + F.col("bin")).alias("_seq"), F.explode(before).alias("x")).select(F.col("x.uid").alias("_uid"), "_seq", F.col("x.at").alias("_at"))
+            met = ran.groupBy("block").agg(F.collect_list("elite").alias("elites"), F.sum("crossovers").cast("int").alias("crossovers"))
+            elites = stored(state.select("block", "lengths").join(met, "block").select("block", "lengths", "elites", F.col("crossovers")))
+    best = ran.groupBy("block").agg(F.max_by("elite", F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("elite"), F.min("bins").alias("bins"), F.max("crossovers").alias("crossovers"))
+    bound = F.ceil(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x) / capacity).alias("bound")
+    return stored(state.join(best, "block").select("block", "uids", "lengths", "elite", "bins", bound, "crossovers"))
+
+
+def placed_items(blocks: DataFrame, block_items: int, number: int) -> DataFrame:
+    """(uid, length, block, seq, at) of the items of evolved_blocks(): the sequence of each, and where in it it begins.
+    number: that of the round; sequences of different rounds have different numbers."""
+    each = blocks.select("block", F.explode(F.arrays_zip("uids", "lengths", "elite")).alias("p"))
+    each = each.groupBy("block", F.col("p.elite").alias("bin")).agg(F.sort_array(F.collect_list(F.struct(F.col("p.uids").alias("uid"), F.col("p.lengths").alias("length")))).alias("in_bin"))
+    before = F.transform("in_bin", lambda x, i: F.struct(x["uid"].alias("uid"), x["length"].alias("length"), F.aggregate(F.slice("in_bin", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["length"]).alias("at")))
+    seq = (F.lit(number << 56) + F.col("block") * 2 * block_items + F.col("bin")).alias("seq")
+    return each.select("block", seq, F.explode(before).alias("x")).select("x.uid", "x.length", "block", "seq", "x.at")
+
+
+def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 8) -> DataFrame:
+    """Adds sequence_id and offset to a table of pieces with a `length` of 1 to capacity.
+
+    A piece of full length is a sequence of its own. Blocks are dealt by a hash of the row, so no key can make one large.
+    The least filled sequence of each block is a piece of a second round, and so on until one block is left: blocks leave
+    one partly filled sequence in all where they reach their bounds. Order of rows with equal lengths is of no weight; an
+    empty table gives an empty table; other columns pass through (those of the result are replaced).
+    """
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = stored(pieces.select(*names, F.monotonically_increasing_id().alias("_uid")))
+    todo, found = rows.where(F.col("length") < capacity).select(F.col("_uid").alias("uid"), "length"), None
+    for number in count():
+        blocks = evolved_blocks(todo, capacity, block_items, islands, epochs, generations)
+        here = placed_items(blocks, block_items, number)
+        if found is None:
+            found = here.select("uid", "seq", "at")
+        else:  # what was a sequence of the round before is an item of this one: its items move along with it
+            moved = here.select(F.col("uid").alias("_old"), F.col("seq").alias("_new"), F.col("at").alias("_by"))
+            found = found.join(moved, F.col("seq") == F.col("_old"), "left").select("uid", F.coalesce("_new", "seq").alias("seq"), (F.col("at") + F.coalesce("_by", F.lit(0))).alias("at"))
+        if blocks.limit(2).count() < 2:
+            break
+        fill = here.groupBy("block", "seq").agg(F.sum("length").alias("fill")).groupBy("block").agg(F.min_by(F.struct("seq", "fill"), F.struct("fill", "seq")).alias("x"))
+        todo = stored(fill.select(F.col("x.seq").alias("uid"), F.col("x.fill").alias("length")))
+        found = stored(found)
+    placed = found.select(F.col("uid").alias("_uid"), F.col("seq").alias("_seq"), F.col("at").alias("_at"))
     out = rows.join(placed, "_uid", "left")
-    return out.select(*pieces.columns, F.coalesce("_seq", -1 - F.col("_uid")).alias("sequence_id"), F.coalesce("_at", F.lit(0)).cast("long").alias("offset"))
+    return out.select(*names, F.coalesce("_seq", -1 - F.col("_uid")).alias("sequence_id"), F.coalesce("_at", F.lit(0)).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
