@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-#: Tags that do not break a block (fixed values: HTML's phrasing content).
+#: Tags that do not break a block (fixed values: HTML's phrasing content, and MathML's elements).
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
-#: Tags whose content is never text of the page (fixed values).
-HIDDEN = set("script style noscript template head title svg math iframe object canvas audio video select option textarea button".split())
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
+#: Tags whose content is never text of the page (fixed values); those of the second line stand inside a block.
+HIDDEN = set("head title option".split())
+HIDDEN_INLINE = set("script style noscript template svg iframe object canvas audio video select textarea button annotation annotation-xml".split())
+HIDDEN |= HIDDEN_INLINE
+INLINE |= HIDDEN_INLINE
 #: Tags without an end tag (fixed values: HTML's void elements).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An open tag of the key closes when one of the values begins (fixed values, from HTML's optional end tags).
@@ -77,22 +81,23 @@ class Blocks(HTMLParser):
             if tag in FLOW and self.hidden:
                 self.end_endless()
             self.end_head()
-        if tag == "br":
+        if tag == "br" and not self.hidden:
             self.parts.append(" ")
         if tag in VOID:
-            if tag not in INLINE:
+            if tag not in INLINE and not self.hidden:
                 self.flush()
             return
         if tag not in INLINE:
-            self.flush()
+            if not self.hidden:
+                self.flush()
             for i in range(len(self.stack) - 1, -1, -1):
                 t = self.stack[i][0]
                 if t == "p" or tag in CLOSED_BY.get(t, ()):
                     self.pop(i)
                     break
-                if t not in INLINE:
+                if t not in INLINE or t in HIDDEN:
                     break
-            while self.stack and self.stack[-1][0] in INLINE and self.stack[-1][0] != "a":
+            while self.stack and self.stack[-1][0] in INLINE and self.stack[-1][0] != "a" and self.stack[-1][0] not in HIDDEN:
                 self.pop(len(self.stack) - 1)  # left open before a block: it ends with the block it stood in
         named = dict(attrs)
         names = tuple(TOKEN.findall(f"{named.get('class') or ''} {named.get('id') or ''} {named.get('role') or ''}".lower()))
@@ -103,13 +108,13 @@ class Blocks(HTMLParser):
             self.n_hidden += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag not in INLINE and not self.hidden:
             self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self.pop(i, ended=True)
                 return
-            if tag in INLINE and self.stack[i][0] not in INLINE:
+            if tag in INLINE and tag not in HIDDEN and self.stack[i][0] not in INLINE:
                 return
 
     def handle_data(self, data: str) -> None:

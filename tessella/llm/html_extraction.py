@@ -13,37 +13,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import table
-from tessella.llm.html_blocks import Block, leaf_blocks
+from tessella.llm.html_blocks import INLINE, Block, leaf_blocks
 
 #: Size of the hashed feature space.
 DIM = 1 << 14
-#: Tags whose content is main text, and tags whose content never is (fixed values: HTML's sectioning semantics).
+#: Tags that mark main text in pages that label themselves (fixed values: HTML's sectioning semantics). They are never
+#: features, so the model has to know main text by all else.
 MAIN_TAGS = ("article", "main")
-#: Furniture that the labelled variants of pages hold besides what pages have themselves: (markup before, markup after).
+#: Tags and names of what is no main text even inside those (fixed values).
+ASIDE_TAGS, ASIDE_NAMES = {"nav", "aside", "footer", "form"}, {"comment", "comments", "respond", "replies"}
+#: Furniture that training pages hold besides what pages have themselves: (markup before, markup after).
 FURNITURE = [
     ('<aside class="sidebar"><p>', "</p></aside>"),
     ('<div class="sidebar related"><ul><li><a href="/r">', "</a></li></ul></div>"),
     ('<div class="cookie notice" role="alert"><p>', "</p></div>"),
     ('<div class="banner consent">', "</div>"),
     ('<section class="comments" id="comments"><h3>Comments</h3><div class="comment"><p>', "</p></div></section>"),
-    ('<div id="comments"><ol class="comment-list"><li class="comment"><p>', "</p></li></ol></div>"),
+    ('<div id="comments"><ol class="comment-list"><li class="comment"><div class="comment-body"><p>', "</p></div></li></ol></div>"),
     ('<form action="/s"><label>', '</label><input name="q"></form>'),
+    ('<form><p>', '</p><input name="mail"></form>'),
+    ('<div class="cookie consent gdpr"><p>', "</p></div>"),
+    ('<div class="advert ad-slot"><p>', "</p></div>"),
+    ('<div class="bottom footer"><p>', "</p></div>"),
+    ('<table><tr><td class="sidebar nav"><p>', "</p></td></tr></table>"),
     ('<div class="ad advert sponsored"><p>', "</p></div>"),
     ('<header class="site-header"><a href="/">', "</a></header>"),
-    ('<div class="menu navbar"><a href="/a">', "</a></div>"),
-    ('<div class="footer copyright">', "</div>"),
+    ('<nav class="menu navbar"><ul><li><a href="/a">', '</a></li><li><a href="/b">more</a></li></ul></nav>'),
+    ('<div class="footer copyright"><p>', "</p></div>"),
     ('<div class="share social newsletter subscribe"><p>', "</p></div>"),
+    ('<div id="sidebar" class="widget promo"><h3>Related</h3><p>', "</p></div>"),
+    ('<div class="replies user-comments"><p>', '</p><p>I agree.</p></div>'),
+    ('<footer><p>', "</p></footer>"),
+    ('<div class="menu"><a href="/">Home</a> <a href="/b">', "</a></div>"),
+    ('<div class="ads" id="advertisement">', "</div>"),
+    ('<div class="breadcrumb navigation"><a href="/">', "</a></div>"),
 ]
+#: Further training pages that are made of each page.
+VARIANTS = 4
 #: Containers that stand in for <article> in the variants.
-CONTAINERS = [("<main>", "</main>"), ('<div class="content post-body">', "</div>"), ('<div id="article-text" class="entry">', "</div>"), ('<section class="story main">', "</section>")]
+CONTAINERS = [("<main>", "</main>"), ("<div>", "</div>"), ('<div class="content post-body">', "</div>"), ('<div id="article-text" class="entry">', "</div>"), ('<section class="story main">', "</section>"), ("<table><tr><td>", "</td></tr></table>"), ('<div class="c inner wrap">', "</div>"), ('<div class="col row"><div id="content">', "</div></div>"), ('<div class="page"><div class="text">', "</div></div>")]
+#: Sentences of the pages that training always has, so that a table without any page that labels itself has a model too.
+SEED = ["The river rose over its banks in the spring and the mill stood under water for a week.", "Nobody in the village had seen such a flood before; the oldest spoke of one in their childhood.", "When the water fell, the road to the harbour was gone, and the bridge with it.", "What is to be done about it was argued all summer.", "A new bridge came two years later.", "It stands today, though the mill does not, and boats pass below it from May to October."]
+
+
+def seed_pages() -> list[str]:
+    out = []
+    for k in range(12):
+        text = "".join(f"<p>{' '.join((SEED * 3)[(k + 2 * i) % 6 :][: 1 + (k + i) % 4])}</p>" for i in range(3 + k % 5))
+        extra = f"<h2>{SEED[(k + 3) % 6][:24]}</h2><ul><li>{SEED[k % 6]}</li><li>{SEED[(k + 1) % 6]}</li></ul><p>{SEED[(k + 2) % 6]}</p>" if k % 2 else f"<blockquote><p>{SEED[k % 6]}</p></blockquote><p>{SEED[(k + 4) % 6]}</p>"
+        out.append(f'<html><body><nav><ul><li><a href="/1">Home</a></li><li><a href="/2">News</a></li></ul></nav><article><h1>{SEED[k % 6][:30]}</h1>{text}{extra}</article><footer>All rights kept</footer></body></html>')
+    return out
 
 
 def block_features(block: Block, at: int, n: int) -> list[int]:
     """Hashed features of a block: the tags and names around it, and the shape of its text."""
-    text, tags = block.text, [t for t, _ in block.path]
+    text, tags = block.text, [t for t, _ in block.path if t not in MAIN_TAGS]
     words = text.count(" ") + 1
-    out = {"own " + (next((t for t in reversed(tags) if t not in ("b", "i", "a", "span", "em", "strong")), "none")), f"words {min(words.bit_length(), 8)}", f"link {min(4, 4 * block.linked // max(1, len(text)))}", f"end {text[-1] in '.!?:'}", f"first {at == 0}", f"last {at == n - 1}", "bias"}
-    out |= {"in " + t for t in tags if t not in ("html", "body", "b", "br")}
+    marks = text.count(".") + text.count(",") + text.count("!") + text.count("?")
+    size = min(words.bit_length(), 8)
+    own = next((t for t in reversed(tags) if t not in INLINE), "none")
+    out = {"own " + own, f"words {size}", f"link {min(4, 4 * block.linked // max(1, len(text)))}", f"end {text[-1] in '.!?:'}", f"marks {min(marks.bit_length(), 5)}", f"{own} {size}", f"first {at == 0}", f"last {at == n - 1}", "bias"}
+    out |= {"in " + t for t in tags if t not in ("html", "body", "b", "br", "div")}
     out |= {"name " + x for _, names in block.path for x in names}
     return sorted(zlib.crc32(f.encode()) % (DIM - 1) + 1 for f in out)
 
@@ -74,7 +104,7 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def fit_crf(chains: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], rounds: int = 120, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_crf(chains: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], rounds: int = 80, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights (DIM, 2) and moves (2, 2) by maximum likelihood: gradients from forward and backward sums over all chains
     at once (chains are padded to the longest), Adam steps."""
     n, long = len(chains), max(len(y) for _, y in chains)
@@ -112,7 +142,7 @@ def fit_crf(chains: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], roun
 
 def labelled_variants(html: str, filler: list[str], number: int) -> list[str]:
     """A page that labels itself (its text stands in <article> or <main>) as training pages, with data-main marks: as it
-    is, and in another container with furniture around and inside its main text."""
+    is, and in other containers with furniture around and inside its main text."""
     opening = re.search(rf"<({'|'.join(MAIN_TAGS)})\b[^>]*>", html)
     tag = opening[1] if opening else ""
     if not opening or f"</{tag}>" not in html[opening.end() :]:
@@ -120,56 +150,72 @@ def labelled_variants(html: str, filler: list[str], number: int) -> list[str]:
     before, rest = html[: opening.start()], html[opening.end() :]
     body, _, after = rest.rpartition(f"</{tag}>")
     mark = lambda s, v: s.replace(">", f' data-main="{v}">', 1)
-    out = [f"{before}<{tag} data-main=\"1\">{body}</{tag}>{after}"]
-    opened, closed = CONTAINERS[number % len(CONTAINERS)]
-    extra = [mark(a, 0) + filler[(number + i) % len(filler)] + b for i, (a, b) in enumerate(FURNITURE)] if filler else []
-    k = number % max(1, len(extra))
-    extra = extra[k:] + extra[:k]
-    cut = body.rfind("<p>")
-    inside = body[:cut] + extra[0] + body[cut:] if cut > 0 and extra else body
-    out.append(before + "".join(extra[1:4]) + mark(opened, 1) + inside + "".join(extra[4:6]) + closed + "".join(extra[6:9]) + after)
-    out.append(f"{before}{''.join(extra[9:11])}<{tag} data-main=\"1\">{inside}{''.join(extra[11:])}</{tag}>{after}")
+    out = [before + mark(opening[0], 1) + body + f"</{tag}>{after}"]
+    rng = np.random.default_rng(number)
+    for turn in range(VARIANTS):
+        opened, closed = CONTAINERS[(VARIANTS * number + turn) % len(CONTAINERS)]
+        extra = [mark(a, 0) + filler[rng.integers(len(filler))] + b for a, b in (FURNITURE[k] for k in rng.permutation(len(FURNITURE))[:9])]
+        cuts = [m.start() for m in re.finditer("<p>", body)][1:] + [len(body)]
+        one, two = sorted(cuts[i] for i in rng.integers(len(cuts), size=2))
+        inside = body[:one] + extra[0] + body[one:two] + extra[1] + body[two:]
+        k = rng.integers(2, 9)
+        out.append(before + "".join(extra[2:k]) + mark(opened, 1) + inside + closed + "".join(extra[k:]) + after)
     return out
 
 
-def train(pages: DataFrame, n_pages: int = 120) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights and moves, from at most n_pages pages (those of the smallest hash of page_id) whose own markup labels them;
-    None if no page does. A page of the sample with over 200 blocks is left to extraction only, to bound the fit."""
-    tagged = F.col("html").rlike(rf"<({'|'.join(MAIN_TAGS)})\b[^>]*>")
-    sample = [r["html"] for r in pages.where(tagged).orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages).select("html").collect()]
-    filler = [b.text[:200].replace("<", " ").replace("&", " ") for h in sample[:20] for b in leaf_blocks(h) if 20 < len(b.text)]
+def main_label(block: Block) -> int:
+    aside = any(t in ASIDE_TAGS or not ASIDE_NAMES.isdisjoint(names) for t, names in block.path)
+    return int(block.mark == "1" and not aside)
+
+
+def train(pages: DataFrame, n_pages: int = 80, run: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves.
+
+    Bound on the training sample: n_pages pages, whole, of those whose own markup labels them - the ones of the smallest
+    hash of page_id; where an id has several pages, that of the least hash. Only ids are sorted for it, and only the chosen
+    pages reach the driver. A chain of more than `run` blocks trains as several. SEED pages are always in the sample.
+    """
+    tagged = pages.where(F.col("html").rlike(rf"<({'|'.join(MAIN_TAGS)})\b[^>]*>") & F.col("page_id").isNotNull())
+    chosen = tagged.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages)
+    got = tagged.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html"))
+    sample = [r["html"] for r in sorted(got.collect(), key=lambda r: str(r["page_id"]))] + seed_pages()
+    filler = [b.text.replace("&", "&amp;").replace("<", "&lt;") for h in sample[:20] + seed_pages()[:2] for b in leaf_blocks(h)]
     chains = []
     for i, html in enumerate(sample):
         for page in labelled_variants(html, filler, i):
             blocks = leaf_blocks(page, "data-main")
-            if 0 < len(blocks) <= 200:
-                chains.append((feature_rows(blocks), np.array([int(b.mark == "1") for b in blocks])))
-    return fit_crf(chains) if chains else None
+            if blocks:
+                (flat, first), labels = feature_rows(blocks), np.array([main_label(b) for b in blocks])
+                for k in range(0, len(blocks), run):
+                    ends = np.append(first, len(flat))
+                    part = slice(ends[k], ends[min(k + run, len(blocks))])
+                    chains.append(((flat[part], first[k : k + run] - ends[k]), labels[k : k + run]))
+    return fit_crf(chains)
 
 
-def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(page_id, url, text) per row: the blocks that Viterbi labels main, in page order, joined by blank lines; empty if
-    there are none. Null and empty pages have no blocks; without a model every block is kept."""
+    there are none. Null and empty pages have no blocks; a page is read whole, however long; repeated rows are extracted
+    once each; other columns of pages are not read."""
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    known = np.flatnonzero(np.abs(model[0]).sum(1)) if model is not None else None
-    weights, move = (model[0][known], model[1]) if model is not None else (None, None)
+    known = np.flatnonzero(np.abs(model[0]).sum(1))
+    weights, move = model[0][known], model[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.zeros((DIM, 2))
+        w[known] = weights
 
-    def main_text(html: str | None, w: np.ndarray | None) -> str:
-        blocks = leaf_blocks(html)
-        if w is not None and blocks:
+        def main_text(html: str | None) -> str:
+            blocks = leaf_blocks(html)
+            if not blocks:
+                return ""
             keep = viterbi(emissions(w, feature_rows(blocks)), move)
-            blocks = [b for b, k in zip(blocks, keep, strict=True) if k]
-        return "\n\n".join(b.text for b in blocks)
+            return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = None
-        if weights is not None:
-            w = np.zeros((DIM, 2))
-            w[known] = weights
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = [main_text(h, w) for h in part.column("html").to_pylist()]
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts = [main_text(h) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string")

@@ -1,6 +1,7 @@
 """Nulls, empty and odd texts, ties, repeated rows, empty tables and clashing columns."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -311,8 +312,42 @@ def test_pages(spark):
     model = html_extraction.train(pages)
     rows = {r["page_id"]: r["text"] for r in html_extraction.extract(pages, model).collect()}
     assert rows[0] == "T\n\nLong enough text of the article, here." and rows[6] == rows[7] == ""
-    assert html_extraction.train(pages.where("page_id > 5")) is None
-    assert html_extraction.extract(pages.limit(0), None).count() == 0
+    assert html_extraction.extract(pages.limit(0), html_extraction.train(pages.limit(0))).count() == 0
+
+
+def test_hidden_elements_do_not_break_a_block():
+    blocks = lambda h: [b.text for b in html_blocks.leaf_blocks(h)]
+    assert blocks("<p>Here <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x</annotation></math> holds, as <svg><text>no</text></svg>all know.") == ["Here x=1 holds, as all know."]
+    assert blocks("<p>a <script>if (1) {}</script>b <button><div>x</div></button>c</p>") == ["a b c"]
+
+
+PART = "<p>The council met on Monday to discuss the plan, and most members spoke for it.</p>"
+REST = "<p>Work is to begin in March. The cost is not yet known, but it will be high.</p>"
+TEXT = [re.sub("<.*?>", "", x) for x in (PART, REST)]
+#: Layouts that training doesn't hold, without <article> or <main> or with comments inside: (page, blocks of its main text).
+LAYOUTS = [
+    (f"<html><body><div class='top menu'><a href='/'>Start</a> <a href='/n'>News</a></div><div class='c1'><h1>Plan agreed</h1>{PART}{REST}<ul><li>First, the road is closed.</li><li>Then the bridge is built.</li></ul></div><div class='bottom footer'><p>Copyright 2024 by the paper.</p></div></body></html>", ["Plan agreed", *TEXT, "First, the road is closed.", "Then the bridge is built."]),
+    (f"<html><body><article><h1>Plan agreed</h1>{PART}{REST}<section class='comments'><h2>Comments</h2><p>I think this is a bad idea, and so does my neighbour.</p><p>Well, I like it.</p></section></article></body></html>", ["Plan agreed", *TEXT]),
+    (f"<html><body><table><tr><td class='nav'><a href=1>One</a><br><a href=2>Two</a></td><td><h2>Plan agreed</h2>{PART}{REST}{PART}</td><td class='sidebar'><p>Read also our other stories, they are good.</p></td></tr></table></body></html>", ["Plan agreed", *TEXT, TEXT[0]]),
+    (f"<html><body><div class='cookie-banner'><p>We use cookies to make this site better, please accept them.</p><button>OK</button></div><div id='content'>{PART}{REST}{PART}</div><form><p>Sign up for our letter.</p><input></form></body></html>", [*TEXT, TEXT[0]]),
+    (f"<html><body><nav><a href='/'>Home</a></nav>{PART}<footer>Foot</footer></body></html>", TEXT[:1]),
+    ("<html><body><nav><a href='/'>Home</a></nav><div>" + PART * 500 + "</div><footer>Foot</footer></body></html>", TEXT[:1] * 500),
+]
+
+
+def test_layouts_that_training_does_not_hold(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [(i, page, "x") for i, (page, _) in enumerate(LAYOUTS)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string").withColumn("url", F.lit("u"))
+    got = html_extraction.extract(pages, html_extraction.train(table)).collect()
+    assert len(got) == 2 * len(LAYOUTS)
+    for r in got:
+        assert r["text"].split("\n\n") == LAYOUTS[r["page_id"]][1]
+
+
+def test_article_tags_are_no_features():
+    block = lambda t: html_blocks.leaf_blocks(f"<{t}><p>some words here</p></{t}>")[0]
+    assert html_extraction.block_features(block("article"), 1, 3) == html_extraction.block_features(block("main"), 1, 3) == html_extraction.block_features(block("div"), 1, 3)
 
 
 def test_pages_without_end_tags_keep_their_text():
