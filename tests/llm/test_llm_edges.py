@@ -63,13 +63,35 @@ def test_stats_and_rules(odd, empty):
 
 
 def test_em_ignores_rules_that_never_vote_and_finds_the_rare_class():
-    odds, add = quality_rules.fit_votes([((1, 0, 0, 0), 900), ((0, -1, -1, 0), 60), ((0, -1, 0, 0), 40)])
-    without = quality_rules.fit_votes([((1, 0, 0), 900), ((0, -1, -1), 60), ((0, -1, 0), 40)])
-    assert np.isclose(odds, without[0]) and all(np.isclose(a[v], b[v]) for a, b in zip(add, without[1]) for v in (-1, 1))
-    assert odds + add[0][1] > 0 > odds + add[1][-1] + add[2][-1]
+    odds, add = quality_rules.fit_votes([((1, 1, 1, 0), 900), ((1, -1, -1, 0), 60), ((1, -1, 0, 0), 40)])
+    assert abs(add[3][1]) + abs(add[3][-1]) < abs(add[2][-1])
+    assert odds + add[0][1] + add[1][1] + add[2][1] > 0 > odds + add[0][1] + add[1][-1] + add[2][-1]
     assert quality_rules.fit_votes([])[1] == []
 
 
+def test_em_learns_which_rules_to_trust():
+    """Rules 0 and 1 agree on who is bad; rule 2 votes bad at random, on a third of both. Belief alone would believe it."""
+    patterns = [((1, 1, 1, 1), 560), ((1, 1, -1, 1), 290), ((-1, -1, 1, 1), 100), ((-1, -1, -1, 1), 50)]
+    verdict = lambda odds, add, votes: odds + sum(a[v] for a, v in zip(add, votes))
+    learnt, believed = quality_rules.fit_votes(patterns), quality_rules.fit_votes(patterns, rounds=0)
+    assert verdict(*learnt, (1, 1, -1, 1)) > 2 and verdict(*learnt, (-1, -1, 1, 1)) < -2
+    assert abs(learnt[1][2][-1]) < 0.2 < abs(believed[1][2][-1])
+    assert verdict(*learnt, (1, 1, -1, 1)) > verdict(*believed, (1, 1, -1, 1))
+
+
+def test_posterior_is_that_of_the_fitted_votes(spark):
+    df = spark.createDataFrame([(i, (i % 7 > 1) * 2 - 1, (i % 7 > 2) * 2 - 1, None if i % 2 else 1) for i in range(70)], "k int, a int, b int, c int")
+    rows = quality_rules.judge_quality(df, {x: F.col(x) for x in "abc"}).collect()
+    counted = {}
+    for r in rows:
+        v = (r["a"], r["b"], r["c"] or 0)
+        counted[v] = counted.get(v, 0) + 1
+    odds, add = quality_rules.fit_votes(sorted(counted.items()))
+    for r in rows:
+        z = odds + sum(w[v] for w, v in zip(add, (r["a"], r["b"], r["c"] or 0)))
+        assert abs(r["quality_probability"] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality_classifier, "quality")])
 def test_classifiers(odd, empty, labels, module, label):
     rows = module.score(odd, module.train(odd, labels, label, 5, 0)).collect()
