@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import crc_mod, labelled_sample, table
+from tessella.llm.common import class_log_odds, crc_mod, labelled_sample, table
 from tessella.llm.quality_rules import share
 from tessella.llm.text_stats import with_text_stats
 
@@ -29,6 +29,7 @@ def features() -> dict[str, Column]:
         "exclaim": share("n_exclaim", "n_words"),
         "stops": share("n_stops", "n_words"),
         "digits": share("n_digits", "word_chars"),
+        "other": share("n_other", "word_chars"),
         "line_words": share("n_words", "n_lines"),
     }
 
@@ -107,17 +108,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str, m: int, held: int, per
     computed on the executors and only those numbers reach the driver. The intercept is corrected from the even sample to
     the classes' shares of all labelled training rows. Without labels there are no rules and the score is 0.5."""
     names = list(features())
-    got = with_text_stats(labelled_sample(docs, labels, label, m, held, per_class).repartition(32, "doc_id")).select("doc_id", "label", *[c.alias(n) for n, c in features().items()]).orderBy("doc_id").toPandas()
+    sample = with_text_stats(labelled_sample(docs, labels, label, m, held, per_class))
+    got = sample.select("doc_id", "label", *[c.alias(n) for n, c in features().items()]).toPandas().sort_values("doc_id")
     y = got["label"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return [], 0.0
     rules, b = fit_rules(got[names].to_numpy(), y, names)
-    n = {r["k"]: r["count"] for r in labels.where(crc_mod(F.col("doc_id"), m) != held).where(F.col(label).isin(0, 1)).groupBy(F.col(label).alias("k")).count().collect()}
-    return rules, float(b + np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    return rules, float(b + class_log_odds(labels, label, m, held) - np.log(y.sum() / (len(y) - y.sum())))
 
 
 def score(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float]) -> DataFrame:
-    """(doc_id, features, score) per row; null and empty texts have statistics of zero and are scored like any other."""
+    """(doc_id, features, score) per row; null and empty texts have statistics of zero and are scored like any other,
+    repeated rows score alike, and columns of docs other than doc_id and text are not read."""
     stats = with_text_stats(docs.select("doc_id", "text")).select("doc_id", *[c.alias(n) for n, c in features().items()])
     return stats.withColumn("score", compiled(*model))
 
