@@ -4,26 +4,35 @@ WORDS = r"[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDE
 
 SQL: dict[str, str] = {
     "op3_tool_call_linking": """
-WITH calls AS (
-  SELECT conv_id || ':' || turn AS call_id, CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS after, CASE WHEN turn < 2 THEN 'open' ELSE 'continue' END AS name,
-    '{"chars":' || length(coalesce(text, '')) || ',"digest":"' || md5(coalesce(text, '')) || '"' || CASE WHEN turn >= 2 THEN ',"previous":' || (turn - 2) ELSE '' END || ',"turn":' || turn || '}' AS arguments
-  FROM conversations WHERE role = 'user'),
-results AS (SELECT conv_id || ':' || (turn - 1) AS call_id, md5(coalesce(text, '')) AS content FROM conversations WHERE role = 'assistant'),
-one AS (SELECT call_id, arg_min(after, arguments) AS after, arg_min(name, arguments) AS name, min(arguments) AS arguments, count(*) AS n_calls FROM calls GROUP BY 1),
-got AS (SELECT call_id, min(content) AS content, count(*) AS n_results FROM results GROUP BY 1),
+WITH users AS (SELECT *, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'user' AND length(coalesce(text, '')) % 19 <> 0),
+calls AS (
+  SELECT conv_id || ':' || turn AS call_id, conv_id, turn, n,
+    CASE WHEN n % 17 = 0 THEN 'resume' WHEN turn < 2 THEN 'open' WHEN turn = 4 THEN 'compare' ELSE 'continue' END AS name,
+    CASE WHEN n % 31 = 0 THEN '[1]' ELSE
+      '{"meta":{"chars":' || n || ',"role":"' || CASE WHEN n % 23 = 0 THEN 'guest' ELSE 'user' END || '"}' || CASE WHEN n % 29 = 0 THEN ',"mood":"odd"' ELSE '' END
+      || CASE WHEN turn = 4 THEN ',"previous":[2,0]' WHEN turn >= 2 THEN ',"previous":' || (turn - 2) ELSE '' END || CASE WHEN n % 11 <> 0 THEN ',"text":' || to_json(coalesce(text, ''))::VARCHAR ELSE '' END
+      || ',"turn":' || CASE WHEN n % 13 = 0 THEN '"' || turn || '"' ELSE turn::VARCHAR END || '}' END AS arguments,
+    CASE WHEN n % 17 = 0 THEN ['no such tool'] WHEN n % 31 = 0 THEN ['not a JSON object'] ELSE [x for x in [
+      CASE WHEN n % 11 = 0 THEN 'missing text' END, CASE WHEN n % 13 = 0 THEN 'type of turn' END, CASE WHEN n % 23 = 0 THEN 'value of meta.role' END,
+      CASE WHEN n % 11 <> 0 AND n NOT BETWEEN 1 AND 300 THEN 'length of text' END, CASE WHEN n % 29 = 0 THEN 'unknown mood' END] if x IS NOT NULL] END AS errors
+  FROM users),
+results AS (SELECT conv_id || ':' || (turn - 1) AS call_id, coalesce(text, '') AS content FROM conversations WHERE role = 'assistant'),
+edges AS (
+  SELECT c.call_id, a.call_id AS after FROM calls c JOIN calls a ON a.conv_id = c.conv_id AND (a.turn = c.turn - 2 OR (c.turn = 4 AND a.turn = 0))),
 chain AS (
   WITH RECURSIVE c AS (
-    SELECT call_id, 0::BIGINT AS depth FROM one WHERE after IS NULL OR after NOT IN (SELECT call_id FROM one)
-    UNION ALL SELECT one.call_id, depth + 1 FROM one JOIN c ON one.after = c.call_id)
-  SELECT * FROM c),
+    SELECT call_id, 0::BIGINT AS depth FROM calls WHERE call_id NOT IN (SELECT call_id FROM edges)
+    UNION SELECT edges.call_id, depth + 1 FROM edges JOIN c ON edges.after = c.call_id)
+  SELECT call_id, max(depth) AS depth FROM c GROUP BY 1),
 linked AS (
-  SELECT coalesce(one.call_id, got.call_id) AS call_id, name, depth, arguments, content, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-    CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'answered' END AS status
-  FROM one JOIN chain USING (call_id) FULL JOIN got ON one.call_id = got.call_id)
-SELECT call_id, name, depth, status, n_calls, n_results, '' AS errors,
-  '{' || CASE WHEN arguments IS NULL THEN '' ELSE '"arguments":' || arguments || ',' END || '"call":"' || call_id || '"' || CASE WHEN depth IS NULL THEN '' ELSE ',"depth":' || depth END
-  || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END || CASE WHEN content IS NULL THEN '' ELSE ',"result":"' || content || '"' END || ',"status":"' || status || '"}' AS json
-FROM linked""",
+  SELECT coalesce(calls.call_id, results.call_id) AS call_id, name, depth, arguments, content, errors, (calls.call_id IS NOT NULL)::BIGINT AS n_calls, (results.call_id IS NOT NULL)::BIGINT AS n_results,
+    CASE WHEN calls.call_id IS NULL THEN 'orphan' WHEN results.call_id IS NULL THEN 'unanswered' ELSE 'answered' END AS status
+  FROM calls JOIN chain USING (call_id) FULL JOIN results ON calls.call_id = results.call_id),
+written AS (
+  SELECT *, '{' || CASE WHEN arguments IS NULL THEN '' ELSE '"arguments":' || arguments || ',' END || '"call":"' || call_id || '"' || CASE WHEN depth IS NULL THEN '' ELSE ',"depth":' || depth END
+  || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content)::VARCHAR END || ',"status":"' || status || '"}' AS json
+  FROM linked)
+SELECT call_id, name, depth, status, n_calls, n_results, array_to_string(list_sort(coalesce(errors, [])), ';') AS errors, length(json)::BIGINT AS json_chars, md5(json) AS json_md5 FROM written""",
     "op4_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 b AS (SELECT item_id, {WORDS} AS w FROM benchmark),

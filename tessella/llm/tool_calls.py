@@ -1,30 +1,75 @@
-"""Operator 3. Tool-call linking: join calls and results by identifier, order the calls topologically, validate their
+"""Operator 3. Tool-call linking: hash-join calls and results by identifier, order the calls topologically, validate their
 arguments against schemas, serialise canonical JSON. DataFrame functions only."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, table
-
-#: Schemas by tool: parameter -> (type as schema_of_variant names it, required).
-Schemas = dict[str, dict[str, tuple[str, bool]]]
-
-
-def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """Sorted messages about a call's argument text: no such tool, no JSON object, missing, unknown, wrong type."""
-    fields = F.from_json(arguments, "map<string,variant>", {"mode": "PERMISSIVE"})
-    known = F.lit(None).cast("array<struct<name:string,type:string,required:boolean>>")
-    for tool, params in schemas.items():
-        known = F.when(name == tool, F.array(*[F.struct(F.lit(p).alias("name"), F.lit(t).alias("type"), F.lit(r).alias("required")) for p, (t, r) in params.items()])).otherwise(known)
-    has = lambda p: F.map_contains_key(fields, p["name"])
-    missing = F.transform(F.filter(known, lambda p: p["required"] & ~has(p)), lambda p: F.concat(F.lit("missing "), p["name"]))
-    wrong = F.transform(F.filter(known, lambda p: has(p) & (F.schema_of_variant(F.element_at(fields, p["name"])) != p["type"])), lambda p: F.concat(F.lit("type of "), p["name"]))
-    unknown = F.transform(F.array_except(F.map_keys(fields), F.transform(known, lambda p: p["name"])), lambda k: F.concat(F.lit("unknown "), k))
-    checked = F.sort_array(F.concat(missing, wrong, unknown))
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(arguments)).startswith("OBJECT"), F.lit(False))
-    return F.when(known.isNull(), F.array(F.lit("no such tool"))).when(~is_object, F.array(F.lit("not a JSON object"))).otherwise(checked)
+from tessella.llm.common import cut, stored, table
+
+#: JSON schemas by tool. Known keywords: type, properties, required, additionalProperties (False), items, enum, minimum,
+#: maximum, minLength, maxLength, minItems, maxItems.
+Schemas = dict[str, dict]
+
+#: What schema_of_variant calls the values of a JSON type, by its first letters (fixed values).
+TYPE_NAMES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL", "FLOAT"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
+
+
+def value_errors(value: Column, schema: dict, at: str) -> list[Column]:
+    """Messages (null where all is well) about a variant that is present; a value that is absent has none."""
+    named = at or "arguments"
+    kind = F.schema_of_variant(value)
+    fits = reduce(lambda a, b: a | b, [kind.startswith(n) for n in TYPE_NAMES[schema["type"]]]) if "type" in schema else F.lit(True)
+    fits = value.isNotNull() & F.coalesce(fits, F.lit(False))
+    bad = lambda broken, message: F.when(fits & F.coalesce(broken, F.lit(False)), f"{message} {named}")
+    out = [F.when(value.isNotNull() & ~fits, f"type of {named}")]
+    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    items = F.try_variant_get(value, "$", "array<variant>")
+    if "enum" in schema:
+        out.append(bad(~text.isin(*[str(v) for v in schema["enum"]]), "value of"))
+    if "minimum" in schema or "maximum" in schema:
+        out.append(bad(~number.between(schema.get("minimum", float("-inf")), schema.get("maximum", float("inf"))), "range of"))
+    if "minLength" in schema or "maxLength" in schema:
+        out.append(bad(~F.length(text).between(schema.get("minLength", 0), schema.get("maxLength", 2**31 - 1)), "length of"))
+    if "minItems" in schema or "maxItems" in schema:
+        out.append(bad(~F.size(items).between(schema.get("minItems", 0), schema.get("maxItems", 2**31 - 1)), "items of"))
+    if "items" in schema:
+        wrong = lambda e: reduce(lambda a, b: a | b, [m.isNotNull() for m in value_errors(e, schema["items"], f"{at}[]")])
+        out.append(bad(F.exists(items, wrong), "an item of"))
+    inner = f"{at}." if at else ""
+    for name, child in schema.get("properties", {}).items():
+        got = F.try_variant_get(value, f"$['{name}']", "variant")
+        if name in schema.get("required", []):
+            out.append(F.when(fits & got.isNull(), f"missing {inner}{name}"))
+        out += value_errors(got, child, inner + name)
+    return out
+
+
+def unknown_keys(value: Column, schema: dict, at: str) -> list[Column]:
+    """Arrays of messages about keys that a closed object doesn't declare."""
+    inner, out = f"{at}." if at else "", []
+    if schema.get("additionalProperties") is False:
+        keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+        more = F.array_except(keys, F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>"))
+        out.append(F.transform(F.coalesce(more, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"unknown {inner}"), k)))
+    for name, child in schema.get("properties", {}).items():
+        out += unknown_keys(F.try_variant_get(value, f"$['{name}']", "variant"), child, inner + name)
+    return out
+
+
+def argument_errors(name: Column, value: Column, schemas: Schemas) -> Column:
+    """Sorted messages about a call's arguments (a variant, null if the text is no JSON): no such tool, no JSON object, or
+    what its tool's schema says."""
+    none = F.array().cast("array<string>")
+    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    out = F.array(F.lit("no such tool"))
+    for tool, schema in schemas.items():
+        found = F.concat(F.array_compact(F.array(*value_errors(value, schema, ""))), *unknown_keys(value, schema, ""), none)
+        out = F.when(name == tool, F.when(is_object, F.sort_array(found)).otherwise(F.array(F.lit("not a JSON object")))).otherwise(out)
+    return out
 
 
 def topological_depth(calls: DataFrame) -> DataFrame:
@@ -32,28 +77,30 @@ def topological_depth(calls: DataFrame) -> DataFrame:
     the longest chain of `after`.
 
     Pointers are doubled along calls of one predecessor, so a chain of n calls takes log2(n) joins and no task holds a
-    chain; calls of several predecessors then settle in rounds, one per level of such calls. An `after` that names no call
-    starts a chain; a call on or behind a cycle has a null depth.
+    chain; a call whose chain is followed to its end leaves the loop. Calls of several predecessors then settle in rounds,
+    one per level of such calls. An `after` that names no call starts a chain; a call on or behind a cycle has a null depth.
     """
-    known = calls.select("call_id").distinct()
-    edges = cut(calls.join(known.select(F.col("call_id").alias("_id")), F.col("after") == F.col("_id")).select("call_id", F.col("_id").alias("up")).distinct())
-    fan = edges.groupBy(F.col("call_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("up").alias("_up"))
+    pairs = stored(calls.where(F.col("call_id").isNotNull()).select("call_id", "after").distinct())
+    known = pairs.select("call_id").distinct()
+    edges = stored(pairs.join(known.select(F.col("call_id").alias("after")), "after").select("call_id", F.col("after").alias("up")))
+    fan = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("_n"), F.min("up").alias("_up"))
     one = F.coalesce(F.col("_n") == 1, F.lit(False))
-    state = known.join(fan, F.col("call_id") == F.col("_id"), "left").select("call_id", F.when(one, F.col("_up")).alias("up"), F.when(one, F.col("_up")).otherwise(F.col("call_id")).alias("root"), one.cast("long").alias("depth"))
-    state = cut(state)
-    rounds = max(1, state.count()).bit_length() + 1
-    for _ in range(rounds):
-        if state.where("up is not null").isEmpty():
+    state = cut(known.join(fan, "call_id", "left").select("call_id", F.when(one, F.col("_up")).alias("up"), F.when(one, F.col("_up")).otherwise(F.col("call_id")).alias("root"), one.cast("long").alias("depth"), (F.col("_n") > 1).alias("_several")))
+    several = state.where("_several").select(F.col("call_id").alias("_j"), F.lit(None).cast("long").alias("_d"))
+    state = state.drop("_several")
+    done, active = state.where("up is null"), state.where("up is not null")
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if active.isEmpty():
             break
-        above = state.select(F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        joined = state.join(above, F.col("up") == F.col("_id"), "left")
-        state = cut(joined.select("call_id", F.col("_up").alias("up"), F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
-    depth = F.when(F.col("up").isNull(), F.col("depth"))
-    several = cut(fan.where("_n > 1").select(F.col("_id").alias("_j"), F.lit(None).cast("long").alias("_d")))
+        above = done.unionByName(active).select(F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+        moved = active.join(above.hint("shuffle_hash"), F.col("up") == F.col("_id"))
+        moved = cut(moved.select("call_id", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth")))
+        done, active = done.unionByName(moved.where("up is null")), moved.where("up is not null")
+    state = done.unionByName(active.withColumn("depth", F.lit(None).cast("long")))
     if several.isEmpty():
-        return state.select("call_id", depth.alias("depth"))
-    ends = state.select(F.col("call_id").alias("_id"), "root", (depth + 1).alias("steps"))
-    parts = edges.join(several.select("_j"), F.col("call_id") == F.col("_j"), "left_semi").join(ends, F.col("up") == F.col("_id"))
+        return state.select("call_id", "depth")
+    ends = state.select(F.col("call_id").alias("up"), "root", (F.col("depth") + 1).alias("steps"))
+    parts = edges.join(several.select(F.col("_j").alias("call_id")), "call_id", "left_semi").join(ends, "up")
     parts = cut(parts.join(several.select("_j"), F.col("root") == F.col("_j"), "left").select(F.col("call_id").alias("_j"), F.col("_j").isNull().alias("free"), "root", "steps"))
     settled = 0
     while True:
@@ -65,81 +112,107 @@ def topological_depth(calls: DataFrame) -> DataFrame:
             break
         settled = now
     joined = state.join(several, F.col("root") == F.col("_j"), "left")
-    return joined.select("call_id", F.when(F.col("_j").isNull(), depth).otherwise(depth + F.col("_d")).alias("depth"))
+    return joined.select("call_id", F.when(F.col("_j").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("_d")).alias("depth"))
 
 
-#: Parts that the rows of one identifier are dealt to.
+#: Parts that the rows of an identifier with several different ones are dealt to.
 SALTS = 64
 
 
-def different(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of rows with a call_id: the different ones, each with its part _s; and a row per identifier: call_id, n (rows), kinds
-    (different rows), least (struct of columns) and the parts that its different rows are in."""
-    rows = rows.where(F.col("call_id").isNotNull()).select("call_id", *columns)
-    each = rows.groupBy("call_id", *columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.pmod(F.xxhash64(*columns), F.lit(SALTS)))
-    part = each.groupBy("call_id", "_s").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_k"), F.min(F.struct(*columns)).alias("_least"))
-    ident = part.groupBy("call_id").agg(F.sum("_n").alias("n"), F.sum("_k").alias("kinds"), F.min("_least").alias("least"), F.collect_set("_s").alias("parts"))
-    return each.drop("_n"), ident
+def summed(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """A row per identifier: n_<name> (rows), the least row (struct of columns) and whether there are different ones. Rows
+    of an identifier are combined before they are shuffled."""
+    row = F.struct(*columns)
+    out = rows.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.min(row).alias(f"_{name}"), F.max(row).alias("_most"))
+    return out.withColumn(f"_many_{name}", ~F.col(f"_{name}").eqNullSafe(F.col("_most"))).drop("_most")
+
+
+def spread(rows: DataFrame, columns: list[str], ident: DataFrame) -> DataFrame:
+    """Every different row of `rows` beside its identifier's row of ident. An identifier's rows are dealt to SALTS parts by
+    their hash, and its ident row to each of them, so no task gets all rows of an identifier."""
+    near = rows.join(ident.select("call_id"), "call_id", "left_semi").select("call_id", *columns).distinct()
+    near = near.withColumn("_s", F.pmod(F.xxhash64(*columns), F.lit(SALTS)))
+    salted = ident.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(near, ["call_id", "_s"]).drop("_s")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, edges: DataFrame | None = None) -> DataFrame:
     """Calls and results that share an identifier: call_id, name, depth, status (answered, unanswered, orphan, ambiguous),
     n_calls, n_results, errors, json (canonical: sorted keys, no white space).
 
-    calls: call_id, after, name, arguments (JSON text). results: call_id, content. Predecessors are those of the calls'
-    `after`, or of edges (call_id, after). Every different call (name, arguments) and every different result is kept with
-    its own errors and json: where an identifier has one different call, each of its results is a row with it; where it has
-    one different result, each of its calls is a row with it. Where it has several of both, nothing says which result is
-    whose, so each call and each result is a row of its own, with the status ambiguous. n_calls and n_results count the rows
-    of the identifier. Rows grow with calls and results, not their product, and an identifier's are dealt to SALTS parts.
-    Null identifiers are left out; null arguments are no JSON object; empty tables give empty tables.
+    calls: call_id, name, arguments (JSON text), and after where there are no edges. results: call_id, content. Predecessors
+    are those of `edges` (call_id, after), a row each, or of the calls' `after`. Every different call (name, arguments) and
+    every different result is kept with its own errors and json: where an identifier has one different call, each of its
+    results is a row with it; where it has one different result, each of its calls is a row with it. Where it has several of
+    both, nothing says which result is whose, so each call and each result is a row of its own, with the status ambiguous.
+    n_calls and n_results count the rows of the identifier. Rows grow with calls and results, not their product. Null
+    identifiers are left out; null arguments are no JSON object; other columns are not read; empty tables give an empty one.
     """
-    each_call, call_of = different(calls, ["name", "arguments"])
-    each_result, result_of = different(results, ["content"])
-    after = (calls if edges is None else calls.select("call_id", F.lit(None).cast("string").alias("after")).unionByName(edges.join(calls.select("call_id"), "call_id", "left_semi").select("call_id", "after"))).where(F.col("call_id").isNotNull())
-    one = call_of.select("call_id", F.col("n").alias("n_calls"), F.col("kinds").alias("_calls"), F.col("least.name").alias("name"), F.col("least.arguments").alias("arguments"), F.col("parts").alias("_in"))
-    got = result_of.select("call_id", F.col("n").alias("n_results"), F.col("kinds").alias("_results"), F.col("least.content").alias("content"), F.col("parts").alias("_out"))
-    ident = one.join(topological_depth(after.select("call_id", "after")), "call_id").join(got, "call_id", "full")
-    ident = ident.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_calls", "n_results", "_calls", "_results")})
-    status = F.when(F.col("n_calls") == 0, "orphan").when(F.col("n_results") == 0, "unanswered").when((F.col("_calls") > 1) & (F.col("_results") > 1), "ambiguous").otherwise("answered")
-    ident = ident.withColumn("status", status)
-    fields = ["call_id", "name", "depth", "status", "n_calls", "n_results", "arguments", "content"]
-    plain = ident.where("_calls <= 1 and _results <= 1").select(*fields)
+    after = calls.select("call_id", "after") if edges is None else calls.select("call_id", F.lit(None).cast("string").alias("after")).unionByName(edges.join(calls.select("call_id"), "call_id", "left_semi").select("call_id", "after"))
+    one, got = summed(calls, ["name", "arguments"], "calls"), summed(results, ["content"], "results")
+    ident = one.join(got.hint("shuffle_hash"), "call_id", "full").join(topological_depth(after), "call_id", "left")
+    ident = ident.withColumns({**{c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_calls", "n_results")}, **{c: F.coalesce(c, F.lit(False)) for c in ("_many_calls", "_many_results")}})
+    status = F.when(F.col("n_calls") == 0, "orphan").when(F.col("n_results") == 0, "unanswered").when(F.col("_many_calls") & F.col("_many_results"), "ambiguous").otherwise("answered")
+    call, result = F.col("_calls"), F.col("_results.content")
+    ident = stored(ident.select("call_id", call["name"].alias("name"), "depth", status.alias("status"), "n_calls", "n_results", call["arguments"].alias("arguments"), result.alias("content"), (F.col("n_calls") == 0).alias("_alone"), "_many_calls", "_many_results"))
+    out = ident.where("not _many_calls and not _many_results")
     both = F.col("status") == "ambiguous"
-    of_calls = ident.where("_calls > 1").withColumn("content", F.when(~both, F.col("content"))).withColumn("_s", F.explode("_in")).drop("name", "arguments")
-    of_results = ident.where("_results > 1").withColumns({"name": F.when(~both, F.col("name")), "arguments": F.when(~both, F.col("arguments")), "_alone": both | (F.col("n_calls") == 0)}).withColumn("_s", F.explode("_out")).drop("content")
-    out = plain.withColumn("_alone", F.col("n_calls") == 0).unionByName(of_calls.join(each_call, ["call_id", "_s"]).select(*fields, F.lit(False).alias("_alone")))
-    out = out.unionByName(of_results.join(each_result, ["call_id", "_s"]).select(*fields, "_alone"))
-    errors = F.when(F.col("_alone"), F.array().cast("array<string>")).otherwise(argument_errors(F.coalesce("name", F.lit("")), F.col("arguments"), schemas))
-    out = out.withColumn("errors", errors)
-    message = F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("call"), "depth", "name", F.col("content").alias("result"), "status")
-    return out.withColumn("json", F.to_json(message)).select("call_id", "name", "depth", "status", "n_calls", "n_results", "errors", "json")
-
-
-#: What a turn of a conversation is called with. "open" starts a chain, "continue" follows the call two turns before.
+    several = ident.where("_many_calls")
+    if not several.isEmpty():
+        out = out.unionByName(spread(calls, ["name", "arguments"], several.withColumn("content", F.when(~both, F.col("content"))).drop("name", "arguments")))
+    several = ident.where("_many_results")
+    if not several.isEmpty():
+        lone = several.withColumns({"name": F.when(~both, F.col("name")), "arguments": F.when(~both, F.col("arguments")), "_alone": both | F.col("_alone")})
+        out = out.unionByName(spread(results, ["content"], lone.drop("content")))
+    out = out.withColumn("_v", F.try_parse_json("arguments"))
+    errors = F.when(F.col("_alone"), F.array().cast("array<string>")).otherwise(argument_errors(F.coalesce("name", F.lit("")), F.col("_v"), schemas))
+    message = F.struct(F.col("_v").alias("arguments"), F.col("call_id").alias("call"), "depth", "name", F.col("content").alias("result"), "status")
+    return out.select("call_id", "name", "depth", "status", "n_calls", "n_results", errors.alias("errors"), F.to_json(message).alias("json"))
+
+
+_TURN = {
+    "meta": {"type": "object", "properties": {"chars": {"type": "integer", "minimum": 0}, "role": {"type": "string", "enum": ["user"]}}, "required": ["chars", "role"], "additionalProperties": False},
+    "text": {"type": "string", "minLength": 1, "maxLength": 300},
+    "turn": {"type": "integer", "minimum": 0},
+}
+#: What a turn of a conversation is called with. "open" starts a chain, "continue" follows the call two turns before, and
+#: "compare" (turn 4) those two and four turns before.
 TURN_SCHEMAS: Schemas = {
-    "open": {"text": ("STRING", True), "turn": ("BIGINT", True)},
-    "continue": {"previous": ("BIGINT", True), "text": ("STRING", True), "turn": ("BIGINT", True)},
+    "open": {"type": "object", "properties": _TURN, "required": ["meta", "text", "turn"], "additionalProperties": False},
+    "continue": {"type": "object", "properties": {**_TURN, "previous": {"type": "integer", "minimum": 0}}, "required": ["meta", "previous", "text", "turn"], "additionalProperties": False},
+    "compare": {"type": "object", "properties": {**_TURN, "previous": {"type": "array", "items": {"type": "integer"}, "minItems": 2}}, "required": ["meta", "previous", "text", "turn"], "additionalProperties": False},
 }
 
 
-def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of a conversation table: a user's turn calls, the assistant's next turn is the result."""
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, results, edges) of a conversation table: a user's turn calls, the assistant's next turn is the result.
+
+    conversations holds faultless turns, so faults are made from the length n of a turn's text: a divisor 11 leaves out the
+    text, 13 writes the turn as text, 17 names no tool, 19 makes no call, 23 names another role, 29 adds a key, 31 gives no
+    object.
+    """
     ident = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
-    users, first = turns.where("role = 'user'"), F.col("turn") < 2
-    given = F.struct("turn", F.when(~first, F.col("turn") - 2).alias("previous"), F.coalesce("text", F.lit("")).alias("text"))
-    calls = users.select(ident(0).alias("call_id"), F.when(~first, ident(2)).alias("after"), F.when(first, "open").otherwise("continue").alias("name"), F.to_json(given).alias("arguments"))
-    return calls, turns.where("role = 'assistant'").select(ident(1).alias("call_id"), F.coalesce("text", F.lit("")).alias("content"))
+    n = F.length(F.coalesce("text", F.lit("")))
+    fault = lambda d: n % d == 0
+    users = turns.where("role = 'user'").where(~fault(19))
+    name = F.when(fault(17), "resume").when(F.col("turn") < 2, "open").when(F.col("turn") == 4, "compare").otherwise("continue")
 
+    def given(turn: Column) -> Column:
+        meta = F.struct(n.alias("chars"), F.when(fault(23), "guest").otherwise("user").alias("role"))
+        many = F.when(F.col("turn") == 4, F.array(F.col("turn") - 2, F.col("turn") - 4))
+        one = F.when((F.col("turn") >= 2) & (F.col("turn") != 4), F.col("turn") - 2)
+        previous = F.coalesce(F.to_variant_object(many), one.cast("variant"))
+        return F.to_json(F.struct(meta.alias("meta"), F.when(fault(29), "odd").alias("mood"), previous.alias("previous"), F.when(~fault(11), F.coalesce("text", F.lit(""))).alias("text"), turn.alias("turn")))
 
-def digested(json: Column) -> Column:
-    """The JSON of a turn's call with the length and MD5 of its text, and the MD5 of its result, in place of the texts."""
-    m = F.from_json(json, "arguments struct<previous:bigint,text:string,turn:bigint>, call string, depth bigint, name string, result string, status string", {"mode": "FAILFAST"})
-    a = m["arguments"]
-    short = F.struct(F.length(a["text"]).cast("long").alias("chars"), F.md5(a["text"]).alias("digest"), a["previous"].alias("previous"), a["turn"].alias("turn"))
-    return F.to_json(F.struct(F.when(a.isNotNull(), short).alias("arguments"), m["call"].alias("call"), m["depth"].alias("depth"), m["name"].alias("name"), F.md5(m["result"]).alias("result"), m["status"].alias("status")))
+    arguments = F.when(fault(31), "[1]").when(fault(13), given(F.col("turn").cast("string"))).otherwise(given(F.col("turn")))
+    back = F.when(F.col("turn") == 4, F.array(F.lit(2), F.lit(4))).when(F.col("turn") >= 2, F.array(F.lit(2)))
+    edges = users.select(ident(0).alias("call_id"), F.explode(back).alias("b"), "conv_id", "turn").select("call_id", ident(F.col("b")).alias("after"))
+    calls = users.select(ident(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"))
+    return calls, turns.where("role = 'assistant'").select(ident(1).alias("call_id"), F.coalesce("text", F.lit("")).alias("content")), edges
 
 
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
-    return link_calls(calls, results, TURN_SCHEMAS).withColumns({"errors": F.array_join("errors", ";"), "json": digested(F.col("json"))})
+    """The rows of link_calls over conversation_calls, with length and MD5 of the JSON in its place."""
+    calls, results, edges = conversation_calls(table(spark, sf_dir, "conversations"))
+    out = link_calls(calls, results, TURN_SCHEMAS, edges)
+    return out.select("call_id", "name", "depth", "status", "n_calls", "n_results", F.array_join("errors", ";").alias("errors"), F.length("json").cast("long").alias("json_chars"), F.md5("json").alias("json_md5"))

@@ -409,7 +409,8 @@ def test_tool_calls(spark):
     calls = [("a", None, "add", '{"y": 2, "x": 1}'), ("b", "a", "add", '{"x": "1"}'), ("c", "b", "sub", "{}"), ("d", "gone", "add", "nonsense"), ("e", "f", "add", None), ("f", "e", "add", '{"x":1,"y":2,"z":3}'), ("a", None, "add", '{"y": 2, "x": 1}'), (None, None, "add", "{}")]
     df = spark.createDataFrame(calls, "call_id string, after string, name string, arguments string")
     results = spark.createDataFrame([("a", "3"), ("a", "3"), ("zz", "lost"), (None, "x")], "call_id string, content string")
-    schemas = {"add": {"x": ("BIGINT", True), "y": ("BIGINT", True)}}
+    number = {"type": "integer"}
+    schemas = {"add": {"type": "object", "properties": {"x": number, "y": number}, "required": ["x", "y"], "additionalProperties": False}}
     out = {r["call_id"]: r for r in tool_calls.link_calls(df, results, schemas).collect()}
     assert set(out) == {"a", "b", "c", "d", "e", "f", "zz"}
     assert [(out[k]["depth"], out[k]["status"]) for k in "abcdef"] == [(0, "answered"), (1, "unanswered"), (2, "unanswered"), (0, "unanswered"), (None, "unanswered"), (None, "unanswered")]
@@ -427,7 +428,7 @@ def test_different_calls_and_results_are_all_kept(spark):
     calls = [("a", None, "say", '{"t": "x"}'), ("b", "a", "say", '{"t": "x"}'), ("b", "a", "say", '{"t": 1}'), ("c", "a", "say", json.dumps({"t": odd})), ("c", "b", "say", "{}")]
     results = [("a", odd), ("a", "2"), ("a", "2"), ("b", "3"), ("c", "4"), ("c", "5"), ("z", "6"), ("z", "7")]
     df = spark.createDataFrame(calls, "call_id string, after string, name string, arguments string")
-    out = tool_calls.link_calls(df, spark.createDataFrame(results, "call_id string, content string"), {"say": {"t": ("STRING", True)}}).collect()
+    out = tool_calls.link_calls(df, spark.createDataFrame(results, "call_id string, content string"), {"say": {"type": "object", "properties": {"t": {"type": "string"}}, "required": ["t"]}}).collect()
     rows = [(r["call_id"], r["depth"], r["status"], r["n_calls"], r["n_results"], tuple(r["errors"]), json.loads(r["json"]).get("arguments", {}).get("t"), json.loads(r["json"]).get("result")) for r in out]
     want = [("a", 0, "answered", 1, 3, (), "x", odd), ("a", 0, "answered", 1, 3, (), "x", "2"), ("b", 1, "answered", 2, 1, (), "x", "3"), ("b", 1, "answered", 2, 1, ("type of t",), 1, "3")]
     want += [("c", 2, "ambiguous", 2, 2, (), odd, None), ("c", 2, "ambiguous", 2, 2, ("missing t",), None, None), ("c", 2, "ambiguous", 2, 2, (), None, "4"), ("c", 2, "ambiguous", 2, 2, (), None, "5"), ("z", None, "orphan", 0, 2, (), None, "6"), ("z", None, "orphan", 0, 2, (), None, "7")]
@@ -442,8 +443,33 @@ def test_depth_by_several_predecessors(spark):
 
 def test_turns_are_linked_with_their_whole_texts(spark):
     turns = spark.createDataFrame([(1, 0, "user", 'say "hi"\n'), (1, 1, "assistant", "hi")], "conv_id long, turn int, role string, text string")
-    row = tool_calls.link_calls(*tool_calls.conversation_calls(turns), tool_calls.TURN_SCHEMAS).first()
-    assert row["errors"] == [] and row["json"] == '{"arguments":{"text":"say \\"hi\\"\\n","turn":0},"call":"1:0","depth":0,"name":"open","result":"hi","status":"answered"}'
+    calls, results, edges = tool_calls.conversation_calls(turns)
+    row = tool_calls.link_calls(calls, results, tool_calls.TURN_SCHEMAS, edges).first()
+    assert row["errors"] == [] and row["json"] == '{"arguments":{"meta":{"chars":9,"role":"user"},"text":"say \\"hi\\"\\n","turn":0},"call":"1:0","depth":0,"name":"open","result":"hi","status":"answered"}'
+
+
+def test_schemas_reach_into_values(spark):
+    point = {"type": "object", "properties": {"x": {"type": "number", "minimum": 0, "maximum": 10}, "tag": {"type": "string", "enum": ["a", "b"], "maxLength": 1}}, "required": ["x"], "additionalProperties": False}
+    schemas = {"draw": {"type": "object", "properties": {"at": point, "path": {"type": "array", "items": {"type": "integer"}, "minItems": 1, "maxItems": 3}, "on": {"type": "boolean"}}, "required": ["at"]}}
+    cases = {
+        '{"at":{"x":1.5,"tag":"a"},"path":[1,2],"on":true,"more":1}': [],
+        '{"at":{"x":11,"tag":"cc"}}': ["length of at.tag", "range of at.x", "value of at.tag"],
+        '{"at":{"tag":"a","z":1},"path":[]}': ["items of path", "missing at.x", "unknown at.z"],
+        '{"at":[],"path":[1,"2"],"on":null}': ["an item of path", "type of at", "type of on"],
+        "{}": ["missing at"],
+        "[]": ["not a JSON object"],
+        "{": ["not a JSON object"],
+    }
+    df = spark.createDataFrame([(str(i), None, "draw", a) for i, a in enumerate(cases)], "call_id string, after string, name string, arguments string")
+    got = {int(r["call_id"]): r["errors"] for r in tool_calls.link_calls(df, spark.createDataFrame([], "call_id string, content string"), schemas).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_calls_and_results_meet_in_a_hash_join(spark):
+    df = spark.createDataFrame([("a", None, "say", "{}")], "call_id string, after string, name string, arguments string")
+    one, got = tool_calls.summed(df, ["name", "arguments"], "calls"), tool_calls.summed(df.withColumnRenamed("name", "content"), ["content"], "results")
+    plan = one.join(got.hint("shuffle_hash"), "call_id", "full")._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan
 
 
 def test_deep_chain(spark):

@@ -27,6 +27,15 @@ def test_against_sql(spark, name):
     assert_same(run(spark, name), llm.oracle_sql()[name], connection())
 
 
+def test_op3_has_faults_of_all_kinds(spark):
+    larger = "/root/testdata/sf0.01"
+    df = llm.queries()["op3_tool_call_linking"](spark, larger).cache()
+    assert_same(df, llm.oracle_sql()["op3_tool_call_linking"], connection(larger))
+    errors = {e.split(" ")[0] for r in df.collect() for e in r["errors"].split(";") if e}
+    assert {"missing", "type", "value", "length", "unknown", "no", "not"} <= errors
+    assert {r["status"] for r in df.select("status").distinct().collect()} == {"answered", "unanswered", "orphan"}
+
+
 def test_op1_law_and_slots(spark, documents):
     rows = run(spark, "op1_hilbert_sharding").collect()
     assert {r["doc_id"] for r in rows} == set(documents) and len(rows) == len(documents)
