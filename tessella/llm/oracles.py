@@ -44,7 +44,17 @@ grams AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
 hits AS (SELECT doc_id, i, grams.n, item_id FROM grams JOIN windows ON grams.n = windows.n AND grams.phrase = windows.phrase),
 covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY 1),
+terms AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) GROUP BY 1),
+phrases AS (SELECT DISTINCT phrase, n AS len, str_split(phrase, ' ') AS words FROM windows),
+ranked AS (
+  SELECT phrase, len, term, row_number() OVER (PARTITION BY phrase ORDER BY terms.n, term, spot) AS r, count(*) OVER (PARTITION BY phrase) AS found
+  FROM (SELECT phrase, len, unnest(words) AS term, generate_subscripts(words, 1) AS spot FROM phrases) JOIN terms USING (term)),
+pairs AS (SELECT DISTINCT a.term AS term_a, b.term AS term_b FROM ranked a JOIN ranked b ON a.phrase = b.phrase AND a.r = 1 AND b.r = 2 WHERE a.found = a.len),
+places AS (SELECT * FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS spot FROM d) WHERE term IN (SELECT term_a FROM pairs UNION SELECT term_b FROM pairs)),
+near AS (
+  SELECT a.doc_id, count(*) AS n_near FROM pairs JOIN places a ON a.term = term_a JOIN places b ON b.doc_id = a.doc_id AND b.term = term_b
+  WHERE abs(a.spot - b.spot) <= 10 AND (term_a <> term_b OR a.spot < b.spot) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY 1)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)""",
 }

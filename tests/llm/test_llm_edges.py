@@ -150,13 +150,15 @@ def test_decontamination(spark, odd, empty):
     rows = {(r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.contamination(odd.drop("n_words"), items).collect()}
     assert (5, 100, 1, True) in rows and (3, 2, 1, True) in rows and (1, 0, 0, False) in rows
     assert decontamination.contamination(empty.drop("n_words"), items).count() == 0
+    twice = decontamination.contamination(odd.drop("n_words"), items).where("doc_id = 5").collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and twice[0]["hits"][0] == (0, 10)
     assert not decontamination.contamination(odd.drop("n_words"), items.limit(0)).where("contaminated").count()
 
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b y a"), (2, "b a"), (3, "a x x x x x b")], "doc_id long, text string")
     terms = spark.createDataFrame([("a",), ("b",)], "term string")
-    index = decontamination.positional_index(docs, terms, 2)
+    index = decontamination.positional_index(decontamination.tokens_of(docs), terms)
     pairs = spark.createDataFrame([("a", "b")], "term_a string, term_b string")
     got = sorted((r["doc_id"], r["place_a"], r["place_b"]) for r in decontamination.near_matches(index, pairs, 3).collect())
     assert got == [(1, 0, 3), (1, 5, 3), (2, 1, 0)]
