@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -39,18 +39,25 @@ _SCRATCH: list[str] = []
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that stored() writes inside are deleted at the end: what is made from them has to be written before."""
-    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that stored() writes inside are deleted at the end. Gives a function that writes a table to stay."""
+    outer = _SCRATCH[-1] if _SCRATCH else shared_dir(spark)
+    folder = f"{outer}/scratch-{uuid.uuid4().hex}"
     _SCRATCH.append(folder)
     try:
-        yield
+        yield lambda df: written(df, outer)
     finally:
         _SCRATCH.remove(folder)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages, and a retry after a lost executor, read the files."""
     shared_dir(df.sparkSession)
@@ -59,10 +66,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """As cut(), but written as a Parquet table in the shared folder: compressed, and pruned by column when it is read."""
-    folder = _SCRATCH[-1] if _SCRATCH else shared_dir(df.sparkSession)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, _SCRATCH[-1] if _SCRATCH else shared_dir(df.sparkSession))
 
 
 def ascii_lower(text: Column) -> Column:
