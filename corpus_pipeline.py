@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import stored, table
+from tessella.llm.common import scratch, table
 from tessella.llm.decontamination import contamination
 from tessella.llm.packing import pack_documents
 from tessella.llm.quality_rules import rule_verdicts
@@ -17,9 +17,7 @@ from tessella.llm.suffix_dedup import remove_repeats
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Rows with a null doc_id are judged like any other."""
-    # Written before the filter: a filter is pushed through the projections below it, which would repeat all they compute.
-    judged = stored(rule_verdicts(docs, carry=docs.columns).select("row", "kept"))
-    return judged.where("kept").select("row.*")
+    return rule_verdicts(docs, carry=docs.columns).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +46,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("suffix_array_dedup", repeat_dedup), ("benchmark_decontamination", decontaminate), ("best_fit_packing", packing)]
 
-#: SQL can't express the fitted rules, fingerprint components or packing; the tests compare with brute force.
+#: SQL can't express the fitted rules, fingerprint components or packing; tests/llm compares every stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage's result is written, and what the stage wrote on its way is deleted then."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = stored(docs) if k + 1 < len(STAGES) else docs
+    for _, stage in STAGES:
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return docs
