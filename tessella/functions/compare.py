@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.text import as_column
+from tessella.functions.text import as_column, text
 
 
 def settled(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def compared(a, b, test: Callable[[Column, Column], Column]) -> Column:
+    """Numbers are widened; text beside anything else is compared as text. The types are known when the plan is made, so
+    only one of the branches is left in it."""
+    a, b = as_column(a), as_column(b)
+    worded = (F.typeof(a) == "string") | (F.typeof(b) == "string")
+    return settled(F.when(worded, test(text(a), text(b))).otherwise(test(a, b)))
+
+
 def equal(a, b) -> Column:
-    return settled(as_column(a) == as_column(b))
+    return compared(a, b, operator.eq)
 
 
 def not_equal(a, b) -> Column:
-    return settled(as_column(a) != as_column(b))
+    return compared(a, b, operator.ne)
 
 
 def less_than(a, b) -> Column:
-    return settled(as_column(a) < as_column(b))
+    return compared(a, b, operator.lt)
 
 
 def greater_than(a, b) -> Column:
-    return settled(as_column(a) > as_column(b))
+    return compared(a, b, operator.gt)
 
 
 def less_or_equal(a, b) -> Column:
-    return settled(as_column(a) <= as_column(b))
+    return compared(a, b, operator.le)
 
 
 def greater_or_equal(a, b) -> Column:
-    return settled(as_column(a) >= as_column(b))
+    return compared(a, b, operator.ge)
 
 
 def between(value, low, high) -> Column:

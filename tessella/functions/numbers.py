@@ -19,11 +19,17 @@ def is_numeric(value) -> Column:
     return F.coalesce(s.rlike(NUMERIC), F.lit(False))
 
 
-def to_number(value, strict: bool = False) -> Column:
-    """A number from text: null if it is none, or an error with strict."""
-    s = as_column(value).cast("string")
-    found = F.when(s.rlike(NUMERIC), F.trim(s).try_cast("double"))
-    return F.coalesce(found, F.when(s.isNotNull(), F.raise_error(F.concat(F.lit("not a number: "), s)).cast("double"))) if strict else found
+def to_number(value, strict: bool = False, kind: str = "double") -> Column:
+    """A number from text: null if it is none, or an error with strict. kind: "double", "long" (null, or an error, for what is
+    no whole number of that range), or "variant" (a long where that is possible, a double elsewhere)."""
+    s = F.trim(as_column(value).cast("string"))
+    known = s.rlike(NUMERIC)
+    whole = F.when(known & s.rlike(r"^[+-]?\d+$"), s.try_cast("long"))
+    found = whole if kind == "long" else F.when(known, s.try_cast("double"))
+    if kind == "variant":
+        found = F.coalesce(whole.cast("variant"), found.cast("variant"))
+    wrong = F.raise_error(F.concat(F.lit("not a number: "), s)).cast(kind if kind != "variant" else "long")
+    return F.coalesce(found, F.when(s.isNotNull(), wrong).cast(kind)) if strict else found
 
 
 def add(*values) -> Column:
@@ -34,10 +40,21 @@ def subtract(*values) -> Column:
     return reduce(lambda a, b: a - b, map(as_column, values))
 
 
+def scientific(value: Column) -> tuple[Column, Column]:
+    """(digits as a decimal, power of ten) of a number's decimal text; nulls for NaN and infinity."""
+    s = value.cast("string")
+    part = lambda i: F.regexp_extract(s, r"^(-?\d+)(?:\.(\d+))?(?:E([+-]?\d+))?$", i)
+    digits = F.concat(part(1), part(2)).try_cast("decimal(19,0)")
+    return digits, F.coalesce(part(3).try_cast("int"), F.lit(0)) - F.length(part(2))
+
+
 def multiply(a, b) -> Column:
-    """Floats are multiplied as exact decimals."""
-    exact = lambda v: as_column(v).cast("double").cast("string").cast("decimal(19,6)")
-    return (exact(a) * exact(b)).cast("double")
+    """A float: the decimal texts of both numbers are multiplied exactly and the product is rounded once, at any magnitude.
+    multiply_whole() is for whole numbers."""
+    a, b = as_column(a), as_column(b)
+    (x, i), (y, j) = scientific(a), scientific(b)
+    exact = F.concat((x * y).cast("string"), F.lit("E"), (i + j).cast("string")).try_cast("double")
+    return F.coalesce(exact, a.cast("double") * b.cast("double"))
 
 
 def multiply_whole(a, b) -> Column:
@@ -54,14 +71,19 @@ def positive(value) -> Column:
 
 
 def floor(value) -> Column:
-    """A float stays a float."""
-    return F.floor(as_column(value)).cast("double")
+    """A whole number stays as it is, a float stays a float of any size."""
+    value = as_column(value)
+    rest = value % 1  # has the sign of the value
+    return F.when(F.isnan(rest.cast("double")), value).otherwise(value - rest - F.when(rest < 0, 1).otherwise(0))
 
 
-def round_half_away(value, digits: int = 0) -> Column:
-    """Half away from zero, computed on the double."""
+def round_half_away(value, digits: int = 0, kind: str = "double") -> Column:
+    """Half away from zero, computed on the double. kind "long": a whole number, which stays as it is."""
+    if kind == "long":
+        return as_column(value)
     value, k = as_column(value).cast("double"), float(10**digits)
-    return F.signum(value) * F.floor(F.abs(value) * k + 0.5) / k
+    up = floor(F.abs(value) * k + 0.5) / k
+    return F.when(F.abs(value) * k < float(2**53), F.signum(value) * up).otherwise(value)
 
 
 def lenient_multiply(a, b) -> Column:
