@@ -88,9 +88,10 @@ def in_range(value: Column, low=None, high=None, open_low: bool = False, open_hi
 
 
 def multiple_of(value: Column, *divisors: str) -> Column:
-    """An exact decimal multiple of any of the divisors (given as text)."""
-    exact = value.cast("string").cast("decimal(30,10)")
-    return reduce(lambda a, b: a | b, [exact % F.lit(d).cast("decimal(20,10)") == 0 for d in divisors])
+    """A multiple of any of the divisors (given as text): of decimals where the value fits one, of floats elsewhere."""
+    exact = value.cast("string").try_cast("decimal(38,10)")
+    one = lambda d: F.coalesce(exact % F.lit(d).cast("decimal(20,10)") == 0, value.cast("double") % float(d) == 0)
+    return reduce(lambda a, b: a | b, [one(d) for d in divisors])
 
 
 def text_length(value: Column, low: int = 0, high: int | None = None) -> Column:

@@ -39,6 +39,22 @@ def table_function(df: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFr
     return df.transform(f)
 
 
+def parameter(values: dict[str, object], name: str, kind: str) -> Column:
+    """A parameter of the run as a column of its type; one that is not given is an error."""
+    if name not in values:
+        raise KeyError(f"parameter {name} is not given")
+    return F.lit(values[name]).cast(kind)
+
+
+def runtime_value(name: str, mapping: str | None = None) -> Column:
+    """What is known of a run: "current_datetime", or "mapping_path" (the path of the job's own definition, as given)."""
+    if name == "current_datetime":
+        return now()
+    if name != "mapping_path" or mapping is None:
+        raise KeyError(name)
+    return F.lit(mapping)
+
+
 def now() -> Column:
     """The time at which the plan is built: one literal for the whole run."""
     from datetime import datetime

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,34 @@ def item_count() -> Column:
     return F.count(F.lit(1))
 
 
-def item_sum(value) -> Column:
-    """0 without items."""
-    return F.coalesce(F.sum(value), F.lit(0))
+#: Bounds of the classes of magnitude that large floats are summed in.
+LARGE = [1e14, 1e45, 1e80]
+
+
+def float_sum(value: Column) -> Column:
+    """A sum of floats that keeps small items beside large ones that cancel: what fits a decimal is summed exactly, its rest
+    as a float, and larger items by class of magnitude; the classes are added from the largest down. All parts are plain
+    sums, so they are combined before a shuffle."""
+    size = F.abs(value)
+    exact = F.when(size < LARGE[0], value.cast("decimal(38,12)"))
+    classes = [F.sum(F.when((size >= low) & ((size < high) if high else F.lit(True)), value)) for low, high in zip(LARGE, [*LARGE[1:], None], strict=True)]
+    odd = F.sum(F.when(F.isnan(value), value))
+    parts = [odd, *reversed(classes), F.sum(exact).cast("double"), F.sum(value - exact.cast("double"))]
+    return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
+
+
+def item_sum(value, kind: str = "double") -> Column:
+    """0 without items. kind "long": exact, and an overflow is an error."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.sum(value), F.lit(0)) if kind == "long" else float_sum(value.cast("double"))
 
 
 def item_avg(value) -> Column:
-    return F.avg(value)
+    """Null without items; finite even where the sum is not."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("double")
+    n, scale = F.nullif(F.count(value), F.lit(0)), float(2**100)
+    plain, scaled = float_sum(value) / n, float_sum(value / scale) / n * scale
+    return F.when(F.abs(plain) == float("inf"), scaled).otherwise(plain)
 
 
 def string_join(value, order_by: list, sep: str = "") -> Column:
@@ -35,11 +58,25 @@ def string_join(value, order_by: list, sep: str = "") -> Column:
     return F.array_join(F.transform(items, lambda x: x["_v"]), sep)
 
 
-def item_at(value, order_by: list, n: int) -> Column:
-    """The n-th item in order, null outside the range."""
-    value = F.col(value) if isinstance(value, str) else value
-    items = F.sort_array(F.collect_list(F.struct(*order_by, value.alias("_v"))))
-    return F.get(items, F.lit(n - 1))["_v"] if n >= 1 else F.lit(None)
+def same_keys(keys: list[str], other: str = "_key_") -> Column:
+    """Equality of columns with those of the same names behind a prefix; null equals null."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(other + k)) for k in keys])
+
+
+def beside(df: DataFrame, keys: list[str], more: DataFrame) -> DataFrame:
+    """Rows of df with the other columns of `more`, a row per key; null is a key."""
+    keyed = more.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    return df.join(keyed, same_keys(keys), "left").drop(*[f"_key_{k}" for k in keys])
+
+
+def item_at(df: DataFrame, keys: list[str], value: str, order_by: list, n: int, name: str) -> DataFrame:
+    """(keys, name) per group: the n-th value in order, null outside the range. Of a group no more than its first n rows
+    are kept on the way, whatever its size."""
+    groups = df.select(*keys).distinct()
+    if n < 1:
+        return groups.withColumn(name, F.lit(None).cast(df.schema[value].dataType))
+    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))).where(F.col("_place") <= n)
+    return beside(groups, keys, placed.where(F.col("_place") == n).select(*keys, F.col(value).alias(name)))
 
 
 def group_by(df: DataFrame, keys: list[str], totals: dict[str, Column], order_by: list[str], number: str | None = None) -> DataFrame:
@@ -50,10 +87,10 @@ def group_by(df: DataFrame, keys: list[str], totals: dict[str, Column], order_by
 
 
 def with_group_total(df: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
-    """Every row beside the totals of its group, aggregated before they are joined back, so that a large group is no
+    """Every row beside the totals of its group (null is a key), aggregated before they are joined back, so that a large group is no
     window of one task."""
     sums = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return df.join(sums, keys)
+    return beside(df.drop(*totals), keys, sums)
 
 
 def boundaries(df: DataFrame, first: Column, order_by: list[str], within: list[str], name: str) -> DataFrame:
@@ -118,6 +155,18 @@ def one_mode(**modes) -> str:
     return given[0]
 
 
+def group_rows(df: DataFrame, order_by: list[str], within: list[str], name: str = "group", *, by: list[str] | None = None, adjacent: str | None = None, starting: Column | None = None, ending: Column | None = None, block: int | None = None) -> DataFrame:
+    """Numbers the groups of each partition by exactly one mode: equal keys (in the order of their first member), adjacent
+    equal keys, from a start, to an end, or blocks."""
+    mode = one_mode(by=by, adjacent=adjacent, starting=starting, ending=ending, block=block)
+    if mode == "by":
+        first = df.groupBy(*within, *by).agg(F.min(F.struct(*order_by)).alias("_first"))
+        numbered = first.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy("_first")).cast("long")).drop("_first")
+        return beside(df, [*within, *by], numbered)
+    made = {"adjacent": lambda: group_adjacent(df, adjacent, order_by, within, name), "starting": lambda: group_starting_with(df, starting, order_by, within, name), "ending": lambda: group_ending_with(df, ending, order_by, within, name), "block": lambda: group_into_blocks(df, block, order_by, within, name)}
+    return made[mode]()
+
+
 def any_member(df: DataFrame, keys: list[str], predicate: Column, totals: dict[str, Column]) -> DataFrame:
     """Groups of which any member passes."""
     out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()], F.bool_or(F.coalesce(predicate, F.lit(False))).alias("_any"))

@@ -59,10 +59,13 @@ def find_in(array, predicate, value) -> Column:
 
 
 def find(df: DataFrame, table: DataFrame, keys: list[tuple[str, str]], condition: Column, value: Column, order_by: list[str], into: str) -> DataFrame:
-    """For each row of df (identified by all its columns) the value of the first row of `table` with equal keys that also
-    meets a condition over both."""
-    pairs = df.join(table, keys_match(df, table, keys) & condition, "left")
-    return pairs.groupBy(*df.columns).agg(F.min_by(value, F.struct(*order_by)).alias(into))
+    """For each row of df the value of the first row of `table` with equal keys that also meets a condition over both.
+    Equal rows of df are looked up once, and all of them stay."""
+    names = df.columns
+    once = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = once.join(table, keys_match(once, table, keys) & condition, "left")
+    found = pairs.groupBy(*[once[c] for c in names], "_n").agg(F.min_by(value, F.struct(*order_by)).alias(into))
+    return found.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
 
 
 def with_match(df: DataFrame, table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

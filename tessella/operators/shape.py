@@ -53,8 +53,12 @@ def repeated(*values) -> Column:
     return F.array_compact(F.array(*values))
 
 
-def bind(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """The target's fields, each bound once."""
+def bind(df: DataFrame, fields: dict[str, Column] | list[tuple[str, Column]]) -> DataFrame:
+    """The target's fields, each bound once; pairs that bind a name twice are an error."""
+    pairs = list(fields.items()) if isinstance(fields, dict) else fields
+    if len({n for n, _ in pairs}) != len(pairs):
+        raise ValueError(f"a field is bound twice: {sorted(n for n, _ in pairs)}")
+    fields = dict(pairs)
     return df.select(*[c.alias(n) for n, c in fields.items()])
 
 
@@ -87,6 +91,16 @@ def dynamic_children(df: DataFrame, keys: list[str], name: Column, item: Column,
     return dynamic_object(lists, keys, F.col("_name"), F.col("_list"), into)
 
 
+def document_path(df: DataFrame, frames: list[str]) -> Column:
+    """The path of the nearest source document: that of the innermost frame that was read from one."""
+    return field(df, "_doc_path", frames)
+
+
+def surviving(df: DataFrame, predicate: Column) -> DataFrame:
+    """Rows for which the predicate is true; a null predicate is an error."""
+    return df.where(F.coalesce(predicate, F.raise_error(F.lit("the predicate of a filter is null")).cast("boolean")))
+
+
 def copied(df: DataFrame, name: str = "item") -> DataFrame:
     """The whole row as one group."""
     return df.select(F.struct("*").alias(name))
@@ -103,9 +117,19 @@ def first_of(df: DataFrame, within: list[str], order_by: list) -> DataFrame:
     return df.groupBy(*within).agg(F.min_by(item, F.struct(*order_by)).alias("_x")).select(*within, "_x.*")
 
 
+def first_or_empty(groups: DataFrame, df: DataFrame, within: list[str], order_by: list) -> DataFrame:
+    """Each group's first surviving row; a group without any stays, empty."""
+    return groups.join(first_of(df, within, order_by), within, "left")
+
+
+def mapped_sequence(groups: DataFrame, df: DataFrame, within: list[str], item: Column, order_by: list[str], name: str) -> DataFrame:
+    """Groups with the array of an expression over their surviving rows, in order; a group without any has an empty one."""
+    return nest(groups, df.withColumn(name, item), within, name, [name], order_by).withColumn(name, F.transform(name, lambda x: x[name]))
+
+
 def whole_number(value: Column) -> Column:
     """A float as a long where that is exact and fits; null where it is not."""
-    exact = (value == F.floor(value)) & (F.abs(value) < 9.0e15)
+    exact = (value % 1 == 0) & (value >= float(-(2**63))) & (value < float(2**63))
     return F.when(exact, value.cast("long"))
 
 
@@ -114,6 +138,30 @@ def exact_float(value: Column) -> Column:
     return F.when(value.cast("double").cast("decimal(38,0)") == value.cast("decimal(38,0)"), value.cast("double"))
 
 
+def adapted_number(value: Column, target: str) -> Column:
+    """A number as a variant for a target of type "long" or "double": converted where that is exact, else unchanged."""
+    made = whole_number(value.cast("double")) if target == "long" else exact_float(value)
+    of_kind = F.typeof(value).isin("double", "float") if target == "long" else ~F.typeof(value).isin("double", "float")
+    return F.coalesce(F.when(of_kind, made).cast("variant"), value.cast("variant"))
+
+
+#: What schema_of_variant calls the types that a union target can allow (fixed values).
+UNION = {"string": ["STRING"], "long": ["BIGINT"], "double": ["DOUBLE", "FLOAT", "DECIMAL"], "boolean": ["BOOLEAN"]}
+
+
+def adapted_union(value: Column, types: list[str]) -> Column:
+    """A variant for a target that allows several types: an allowed type stays, a whole number is widened to a float and a
+    float becomes a whole number only where that is needed and exact; anything else stays as it is."""
+    kind = F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
+    allowed = kind.isin(*[k for t in types for k in UNION[t]])
+    out = value
+    if "double" in types:
+        out = F.when(kind.isin(UNION["long"]), F.coalesce(exact_float(F.try_variant_get(value, "$", "long")).cast("variant"), value)).otherwise(out)
+    if "long" in types:
+        out = F.when(kind.isin(UNION["double"]), F.coalesce(whole_number(F.try_variant_get(value, "$", "double")).cast("variant"), value)).otherwise(out)
+    return F.when(allowed, value).otherwise(out)
+
+
 def mixed_content(items, replacements: dict[str, Column] | None = None, text_name: str = "") -> Column:
     """Text of an array of struct(name, text): runs of text stay, elements named in `replacements` are replaced by a
     function of their text."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.ordinal import checkpointed
 
@@ -47,22 +50,19 @@ def path_hierarchy(df: DataFrame, path: str, sep: str = "/", order_by: str | Non
     folders = split.select("_ord", F.explode(prefixes).alias("d")).groupBy("d.path", "d.parent", "d.name").agg(F.min("_ord").alias("first_seen"))
     files = split.groupBy(F.array_join(F.slice("_p", 1, F.size("_p") - 1), sep).alias("parent"), F.element_at("_p", -1).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     roots = folders.where("parent is null").limit(2).count()
-    if roots > 1:
-        raise ValueError("several roots")
+    if roots != 1:
+        raise ValueError("several roots" if roots else "no root")
     return folders, files.where("name <> ''")
 
 
-def recursive_filter(items: DataFrame, folders: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
-    """A tree as an edge table of branches and a table of items: items are filtered at every depth, branches all stay."""
-    return folders, items.where(keep)
-
-
-def nested_filter(array, keep, children: str | None = None) -> Column:
-    """The same on a nested array of structs of bounded depth: items that do not pass go, and so on in `children`."""
-    array = F.col(array) if isinstance(array, str) else array
-    if children is None:
-        return F.filter(array, keep)
-    return F.transform(array, lambda x: x.withField(children, F.filter(x[children], keep)))
+def recursive_filter(node: Column, kind: T.StructType, items: str, children: str, keep: Callable[[Column], Column]) -> Column:
+    """A tree node (struct of type kind with an array of items and an array of child nodes) with the items filtered at every
+    depth that its type has; branches stay, even when they are empty."""
+    out = node.withField(items, F.filter(node[items], keep)) if items in kind.names else node
+    if children in kind.names:
+        inner = kind[children].dataType.elementType
+        out = out.withField(children, F.transform(node[children], lambda c: recursive_filter(c, inner, items, children, keep)))
+    return out
 
 
 def recursive_collect(edges: DataFrame, leaves: DataFrame, root: str, sep: str = "/", prefix: str = "") -> DataFrame:
