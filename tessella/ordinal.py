@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir. Where that is unset, a local master gets a folder of its
-    own; on a cluster it is an error, as executors can't share such a folder."""
-    sc = df.sparkSession.sparkContext
+def with_folder(spark: SparkSession) -> None:
+    """Sets the checkpoint folder to spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own; on a
+    cluster it is an error, as executors can't share such a folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessella-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: later stages, and a retry after a lost executor, read the files."""
+    with_folder(df.sparkSession)
     return df.checkpoint()
 
 

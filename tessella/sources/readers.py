@@ -68,7 +68,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType)
 def read_file_set(spark: SparkSession, pattern: str, kind: str = "text", **options) -> DataFrame:
     """Files of a pattern, each row with its document's path; no match is an error."""
     df = spark.read.format(kind).options(**options).load(pattern)
-    return df.select("*", F.col("_metadata.file_path").alias("_doc_path"))
+    return df.select("*", given_path(F.col("_metadata.file_path")).alias("_doc_path"))
 
 
 def read_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -76,13 +76,29 @@ def read_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> Dat
     return spark.read.parquet(path).select(*[F.col(c).cast(k).alias(c) for c, k in columns.items()])
 
 
+#: Characters that a path pattern gives a meaning to (fixed value).
+PATTERN = r"([\\*?\[\]{}])"
+
+
+def plain_path(path: Column) -> Column:
+    """A path without the file scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def given_path(path: Column) -> Column:
+    """A file path as it was given, from the escaped form of _metadata.file_path."""
+    return plain_path(F.url_decode(F.regexp_replace(path, r"\+", "%2B")))
+
+
 def load_by_path(driver: DataFrame, path: str, kind: str = "text", **options) -> DataFrame:
-    """For each row the rows of the document whose path it names; null paths are skipped, every path is read once. The list
-    of distinct paths reaches the driver, as any file listing does."""
-    paths = [r[0] for r in driver.where(F.col(path).isNotNull()).select(path).distinct().collect()]
-    spark = driver.sparkSession
-    docs = spark.read.format(kind).options(**options).load(paths).select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("_doc_path"))
-    return driver.join(docs, F.regexp_replace(F.col(path), "^file:/+", "/") == F.col("_doc_path"))
+    """For each row the rows of the document whose path it names, whatever characters are in it; null paths are skipped and
+    every path is read once. The list of distinct paths reaches the driver, as any file listing does; the documents don't."""
+    found = driver.where(F.col(path).isNotNull()).select(F.regexp_replace(path, PATTERN, r"\\$1").alias("p")).distinct()
+    paths = [r["p"] for r in found.collect()]
+    if not paths:
+        raise ValueError("no path is given")
+    docs = driver.sparkSession.read.format(kind).options(**options).load(paths).select("*", given_path(F.col("_metadata.file_path")).alias("_doc_path"))
+    return driver.join(docs, plain_path(F.col(path)) == F.col("_doc_path"))
 
 
 def resolve_relation(keys: list[tuple[str, str, str, str]], parent: str, child: str, column: str | None = None) -> tuple[str, str]:

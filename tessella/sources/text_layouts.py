@@ -84,3 +84,33 @@ def compact_lexical(value: Column, kind: str) -> Column:
 def implied_decimal(value: Column, places: int) -> Column:
     """A number whose last digits are its decimals."""
     return value.cast("double") / F.lit(float(10**places))
+
+
+#: A step from a text to a part of it: ("head" or "tail", how, at) of a split_once, ("part", how, at, n) of a split_many,
+#: ("field", separator, n) of a record, ("cells", start, length), ("trim", side, characters).
+LayoutStep = tuple
+
+
+def layout_field(value: Column, steps: list[LayoutStep], kind: str = "string") -> Column:
+    """One scalar of a text that follows a layout, cast to its type: null for null, and an error where the text has no such
+    part. Places count from 1."""
+    out = value
+    for step, *args in steps:
+        if step in ("head", "tail"):
+            out = split_once(out, *args)[step]
+        elif step == "part":
+            how, at, n = args
+            out = F.get(split_many(out, how, at), F.lit(n - 1))
+        elif step == "field":
+            sep, n = args
+            out = F.get(split_many(out, "delimiter", sep), F.lit(n - 1))
+        elif step == "cells":
+            start, length = args
+            out = F.when(F.length(out) >= start, F.substring(out, start, length))
+        elif step == "trim":
+            side, chars = args
+            out = trimmed(out, "string", side, chars)
+        else:
+            raise ValueError(f"unknown step {step}")
+    missing = F.raise_error(F.lit("the text does not follow the layout")).cast("string")
+    return F.when(value.isNotNull(), F.coalesce(out, missing)).cast(kind)

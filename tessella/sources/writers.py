@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Observation
+import re
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.ordinal import with_ordinal
+from tessella.ordinal import checkpointed, with_ordinal
 
 
 def exact_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -50,7 +55,8 @@ def write_xml(df: DataFrame, path: str, root: str, row_tag: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replaces a Parquet table; if it exists, its columns and types must be the same."""
+    """Replaces a Parquet table; if it exists, its columns and types must be the same. The new table is written whole beside
+    the old one before it takes its place, so the old one may be read for it, and a job that fails leaves it as it was."""
     try:
         old = df.sparkSession.read.parquet(path).schema
     except Exception as e:
@@ -59,7 +65,14 @@ def replace_table(df: DataFrame, path: str) -> None:
         old = None
     if old is not None and [(f.name, f.dataType) for f in old] != [(f.name, f.dataType) for f in df.schema]:
         raise ValueError("the table has other columns")
-    df.write.mode("overwrite").parquet(path)
+    moved = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.write.parquet(moved)
+    jvm = df.sparkSession._jvm.org.apache.hadoop.fs
+    target = jvm.Path(path)
+    files = target.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration())
+    files.delete(target, True)
+    if not files.rename(jvm.Path(moved), target):
+        raise OSError(f"{moved} is complete but could not be renamed to {path}")
 
 
 def generated_keys(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
@@ -77,20 +90,53 @@ def split_nested(df: DataFrame, key: str, order_by: list[str], child: str, child
     return keyed.drop(child), generated_keys(rows, child_key, [key, "_at"]).drop("_at")
 
 
-def write_documents(df: DataFrame, path: str, name: str, kind: str = "json") -> None:
-    """A folder of documents per computed name; an empty or null name is an error."""
-    wrong = F.raise_error(F.lit("a document has no path")).cast("string")
-    checked = F.when(F.coalesce(F.col(name), F.lit("")) != "", F.col(name)).otherwise(wrong)
-    df.withColumn(name, checked).write.mode("overwrite").partitionBy(name).format(kind).save(path)
+def write_documents(df: DataFrame, path: str, name: str) -> int:
+    """Every row as a JSON document of its own at the path that its column `name` gives below `path`; the number of documents.
+
+    An empty, null, absolute or climbing name is an error, and so are two rows of one name; both are found before anything is
+    written. Executors write the documents themselves, each under a passing name first, so a task that is run again leaves
+    the same files.
+    """
+    shown = F.coalesce(F.col(name).cast("string"), F.lit(""))
+    wrong = df.where((shown == "") | shown.rlike(r"^/|(^|/)\.\.(/|$)")).limit(1).count()
+    if wrong:
+        raise ValueError("a document has no path below the folder")
+    twice = df.groupBy(name).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two documents have the path {twice[0][name]}")
+    rest = [c for c in df.columns if c != name]
+    folder = re.sub("^file:/+", "/", path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, base = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for at, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                place = f"{base.rstrip('/')}/{at}"
+                target.create_dir(place.rpartition("/")[0], recursive=True)
+                passing = f"{place}.{uuid.uuid4().hex}"
+                with target.open_output_stream(passing) as out:
+                    out.write(text.encode("utf-8"))
+                target.move(passing, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    written = df.select(shown.alias("name"), F.to_json(F.struct(*rest)).alias("text")).mapInArrow(write, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+#: A target: a table, or a function that makes it from the source that all targets of a job share.
+Target = DataFrame | Callable[[DataFrame], DataFrame]
 
 
-def run_outputs(targets: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """Writes every target as a Parquet table and reports the rows of each, in order."""
-    return {name: run_selected(targets, name, path) for name in targets}
+def run_outputs(targets: dict[str, Target], path: str, source: DataFrame | None = None) -> dict[str, int]:
+    """Writes every target as a Parquet table and reports the rows of each, in order. A source that targets share is made
+    once, whatever it costs, and read by each of them."""
+    shared = checkpointed(source) if source is not None and len(targets) > 1 else source
+    return {name: run_selected(targets, name, path, shared) for name in targets}
 
 
-def run_selected(targets: dict[str, DataFrame], name: str, path: str) -> int:
+def run_selected(targets: dict[str, Target], name: str, path: str, source: DataFrame | None = None) -> int:
     """Writes one target; the others are plans that never run. The rows written are counted as they pass."""
-    seen = Observation()
-    targets[name].observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/{name}")
+    seen, target = Observation(), targets[name]
+    out = target if isinstance(target, DataFrame) else target(source)
+    out.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/{name}")
     return seen.get["rows"]
