@@ -66,12 +66,26 @@ def fn_date_parts(t: Tables) -> DataFrame:
     return rows.select("event_id", D.parse_date(F.substring_index("shown", " ", 1), "[D01]/[M01]/[Y]").alias("parsed"), D.parse_time(F.substring_index("shown", " ", -1), "[H01]:[m01]:[s01]").alias("clock"), D.compact_datetime(F.col("compact"), "204").alias("edi"), D.coerce_datetime(F.to_date("ts")).alias("midnight"), D.datetime_from_parts(F.year("ts"), F.month("ts"), 1).alias("parts"), D.duration_from_parts(day=F.col("user_id") % 20 + 1).alias("duration"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '^(.*/)', 1) AS folder, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '(\\.[^.]*)$', 1) AS ext, regexp_extract(url, '^(.*/)', 1) IS NOT NULL AS has FROM pages""")
+@query("""SELECT page_id, regexp_extract(url, '^(.*/)', 1) AS folder, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '(\\.[^.]*)$', 1) AS ext, regexp_extract(url, '^(.*/)', 1) IS NOT NULL AS has, '/d' || page_id || '/x.html' AS resolved FROM pages""")
 def fn_paths(t: Tables) -> DataFrame:
     url = F.col("url")
-    return t.pages.select("page_id", U.get_folder(url).alias("folder"), U.remove_folder(url).alias("name"), U.get_fileext(url).alias("ext"), (U.resolve_filepath(F.lit("/a/b/c"), F.lit("../d")) == "/a/d").alias("has"))
+    return t.pages.select("page_id", U.get_folder(url).alias("folder"), U.remove_folder(url).alias("name"), U.get_fileext(url).alias("ext"), U.get_folder(url).isNotNull().alias("has"), U.resolve_filepath(F.concat(F.lit("/d"), "page_id", F.lit("/e/"), U.remove_folder(url)), F.lit(".././x.html")).alias("resolved"))
 
 
 @query("""SELECT event_id, '{"event":{"type":"' || event_type || '","user":' || user_id || '}}' AS json, (props->>'$.k')::BIGINT AS k FROM events""")
 def fn_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", U.json_object({"event.type": F.col("event_type"), "event.user": F.col("user_id")}).alias("json"), U.json_field(F.col("props"), "k BIGINT", "k").alias("k"))
+
+
+@query("""SELECT p_partkey, p_size::VARCHAR = '7' AS eq, p_size::VARCHAR <> '7' AS ne, p_size::VARCHAR < '7' AS lt, p_size::VARCHAR > '7' AS gt, p_size::VARCHAR <= '7' AS le, p_size::VARCHAR >= '7' AS ge, p_brand = p_size::VARCHAR AS words FROM part""")
+def fn_compare_text_with_numbers(t: Tables) -> DataFrame:
+    """A text beside a number: both are compared as texts."""
+    size, seven = F.col("p_size"), F.lit("7")
+    return t.part.select("p_partkey", C.equal(size, seven).alias("eq"), C.not_equal(size, seven).alias("ne"), C.less_than(size, seven).alias("lt"), C.greater_than(seven.cast("string"), size).alias("lt2"), C.greater_than(size, seven).alias("gt"), C.less_or_equal(size, seven).alias("le"), C.greater_or_equal(size, seven).alias("ge"), C.equal(F.col("p_brand"), size).alias("words")).drop("lt2")
+
+
+@query("""SELECT o_orderkey, o_orderkey + 9007199254740992 AS fl, o_orderkey + 9007199254740993 AS ro, o_orderkey + 9007199254740992 AS num, (o_custkey::DECIMAL(18,0) * 12345678 / 100000000)::DOUBLE AS tiny, o_orderkey::DOUBLE * 1e19 AS big FROM orders""")
+def fn_large_numbers(t: Tables) -> DataFrame:
+    """Whole numbers beyond 2^53, small and large factors, floats beyond any long."""
+    key = F.col("o_orderkey").cast("long") + 2**53
+    return t.orders.select("o_orderkey", N.floor(key).alias("fl"), N.round_half_away(key + 1, kind="long").alias("ro"), N.to_number(key.cast("string"), kind="long").alias("num"), N.multiply(F.col("o_custkey"), F.lit(0.12345678)).alias("tiny"), N.floor(N.multiply(F.col("o_orderkey"), F.lit(1e19))).alias("big"))

@@ -57,6 +57,33 @@ def j8_find(t: Tables) -> DataFrame:
     return J.find(t.orders.select("o_orderkey"), t.lineitem, [("o_orderkey", "l_orderkey")], F.col("l_quantity") > 40, F.col("l_partkey"), ["l_linenumber", "l_partkey"], "part")
 
 
+@query("SELECT o_custkey, (SELECT min(l_partkey) FROM lineitem WHERE l_orderkey = o_custkey AND l_quantity > 40 AND l_linenumber = (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = o_custkey AND l_quantity > 40)) AS part FROM orders")
+def j8_find_for_repeated_rows(t: Tables) -> DataFrame:
+    """Rows that are equal in all columns are each a row of the result."""
+    return J.find(t.orders.select("o_custkey"), t.lineitem, [("o_custkey", "l_orderkey")], F.col("l_quantity") > 40, F.col("l_partkey"), ["l_linenumber", "l_partkey"], "part")
+
+
+@query("SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k, count(*) OVER (PARTITION BY nullif(o_custkey % 7, 0)) AS n FROM orders")
+def a10_total_of_null_keys(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", F.nullif(F.col("o_custkey") % 7, F.lit(0)).alias("k"))
+    return A.with_group_total(rows, ["k"], {"n": A.item_count()})
+
+
+@query("SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY 1")
+def a2_sum_beside_large_items(t: Tables) -> DataFrame:
+    """Each order's prices beside two amounts that cancel, and a mean of amounts whose sum is no float."""
+    price, huge = F.col("l_extendedprice"), F.lit(1.5e308)
+    items = t.lineitem.select("l_orderkey", F.explode(F.array(price, F.lit(1e100), F.lit(-1e100))).alias("x"), (price / 1e4 * 1e4).alias("p"))
+    sums = items.groupBy("l_orderkey").agg(F.round(A.item_sum("x"), 2).alias("total"))
+    means = t.lineitem.withColumn("p", price + huge - huge + F.lit(0.0)).groupBy("l_orderkey").agg(A.item_avg(price * 1e303).alias("m"))
+    return sums.join(means, "l_orderkey").select("l_orderkey", "total", F.round(F.col("m") / 1e303, 6).alias("mean"))
+
+
+@query("SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS f FROM events)")
+def a20_grouped_by_one_mode(t: Tables) -> DataFrame:
+    return A.group_rows(t.events, ["event_id"], ["user_id"], "g", by=["event_type"]).select("user_id", "event_id", "g")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def j9_with_match(t: Tables) -> DataFrame:
     return J.with_match(t.customer, t.orders.where("o_orderstatus = 'F'"), [("c_custkey", "o_custkey")]).select("c_custkey")
@@ -86,7 +113,7 @@ def a6_string_join(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, max(CASE WHEN r = 2 THEN l_partkey END) AS second FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem) GROUP BY 1")
 def a7_item_at(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_orderkey").agg(A.item_at("l_partkey", ["l_linenumber", "l_partkey"], 2).alias("second"))
+    return A.item_at(t.lineitem, ["l_orderkey"], "l_partkey", ["l_linenumber", "l_partkey"], 2, "second")
 
 
 @query("SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem GROUP BY 1")
@@ -231,8 +258,11 @@ def g5_recursive_collect(t: Tables) -> DataFrame:
 def h1_recursive_filter(t: Tables) -> DataFrame:
     from tessella.plans.shape_queries import orders_with_lines
 
-    kept = orders_with_lines(t).where(F.size("lines") > 0).select("o_orderkey", H.nested_filter("lines", lambda x: x["l_quantity"] > 30).alias("l"))
-    return kept.select("o_orderkey", F.size("l").alias("large"))
+    orders = orders_with_lines(t).where(F.size("lines") > 0).select("o_orderkey", "o_custkey", "lines")
+    customers = orders.groupBy("o_custkey").agg(F.struct(F.array(F.struct(F.lit(0.0).alias("l_quantity"))).alias("lines"), F.collect_list(F.struct("o_orderkey", "lines")).alias("branches")).alias("tree"))
+    kept = customers.select(H.recursive_filter(F.col("tree"), customers.schema["tree"].dataType, "lines", "branches", lambda x: x["l_quantity"] > 30).alias("tree"))
+    kept = kept.where(F.size("tree.lines") == 0).select(F.explode("tree.branches").alias("b"))
+    return kept.select("b.o_orderkey", F.size("b.lines").alias("large"))
 
 
 @query("SELECT l_orderkey, l_linenumber, rule FROM (SELECT *, 'discount' AS rule, NOT (l_discount BETWEEN 0 AND 0.05) AS bad FROM lineitem UNION ALL SELECT *, 'flag', l_returnflag NOT IN ('A', 'N') FROM lineitem UNION ALL SELECT *, 'quantity', NOT (l_quantity % 5 = 0) FROM lineitem) WHERE bad")

@@ -146,7 +146,9 @@ def f5_dynamic_field(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
 def f6_runtime_parameter(t: Tables) -> DataFrame:
-    return t.spark.sql("SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > :least", {"least": 100000.0}, orders=t.orders)
+    from tessella.operators.functions import parameter
+
+    return t.orders.where(F.col("o_totalprice") > parameter({"least": "100000"}, "least", "double")).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey, order_position, o_custkey, l_linenumber FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT AS order_position FROM orders) JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1")
@@ -200,9 +202,30 @@ def p11_first_per_group(t: Tables) -> DataFrame:
     return P.first_of(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"])
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT END AS quantity, CASE WHEN l_tax = floor(l_tax) THEN l_tax::BIGINT END AS tax FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_quantity::BIGINT::VARCHAR AS quantity, CASE WHEN l_tax = 0 THEN '0' ELSE l_tax::VARCHAR END AS tax, (l_orderkey::HUGEINT * 1152921504606846976 % 4611686018427387904)::BIGINT::VARCHAR AS large FROM lineitem")
 def p12_numeric_adaptation(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_linenumber", P.whole_number(F.col("l_quantity")).alias("quantity"), P.whole_number(F.col("l_tax")).alias("tax"))
+    """Whole floats become whole numbers, at any size; the others stay floats."""
+    large = (F.col("l_orderkey") % 4).cast("double") * float(2**60)
+    shown = lambda c: F.try_variant_get(P.adapted_number(c, "long"), "$", "string")
+    return t.lineitem.select("l_orderkey", "l_linenumber", shown(F.col("l_quantity")).alias("quantity"), shown(F.col("l_tax")).alias("tax"), shown(large).alias("large"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderstatus WHEN 1 THEN o_orderkey::VARCHAR ELSE (o_custkey * 2)::VARCHAR END AS narrow, CASE o_orderkey % 3 WHEN 0 THEN 'STRING' WHEN 1 THEN 'BIGINT' ELSE 'BIGINT' END AS narrow_kind, CASE o_orderkey % 3 WHEN 0 THEN 'STRING' ELSE 'DOUBLE' END AS wide_kind FROM orders")
+def p13_union_adaptation(t: Tables) -> DataFrame:
+    """Text, whole numbers and whole floats for targets of text or whole number, and of text or float."""
+    key = F.col("o_orderkey") % 3
+    mixed = F.when(key == 0, F.col("o_orderstatus").cast("variant")).when(key == 1, F.col("o_orderkey").cast("variant")).otherwise((F.col("o_custkey") * 2.0).cast("variant"))
+    narrow, wide = P.adapted_union(mixed, ["string", "long"]), P.adapted_union(mixed, ["string", "double"])
+    return t.orders.select("o_orderkey", F.try_variant_get(narrow, "$", "string").alias("narrow"), F.schema_of_variant(narrow).alias("narrow_kind"), F.schema_of_variant(wide).alias("wide_kind"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) FILTER (o_orderstatus = 'F')::INT AS n, arg_min(o_orderkey, o_orderkey) FILTER (o_orderstatus = 'F') AS first_key FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def p11_cardinalities(t: Tables) -> DataFrame:
+    """Finished orders of a customer as a sequence of none or many, and the first of them or nothing."""
+    finished = t.orders.where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey").select("c_custkey", "o_orderkey")
+    all_of = P.mapped_sequence(t.customer.select("c_custkey"), finished, ["c_custkey"], F.col("o_orderkey") * 2, ["o_orderkey"], "keys")
+    out = P.first_or_empty(all_of, finished.withColumnRenamed("o_orderkey", "first_key"), ["c_custkey"], ["first_key"])
+    return out.select("c_custkey", F.size("keys").alias("n"), "first_key")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END AS size FROM orders")
@@ -236,7 +259,7 @@ def p19_project_group(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
 def x1_filter(t: Tables) -> DataFrame:
-    return t.orders.where(C.greater_than(F.col("o_totalprice"), 100000)).select("o_orderkey", "o_totalprice")
+    return P.surviving(t.orders, C.greater_than(F.col("o_totalprice"), 100000)).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey, o_custkey, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place % 2 = 1")

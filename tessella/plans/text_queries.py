@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import compare as C
 from tessella.functions import numbers as N
@@ -203,12 +206,107 @@ def x2_routed_rows(t: Tables) -> DataFrame:
     return routed.where(C.equal(F.col("route"), "finished")).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT count(*) AS rows_written, 3 AS targets FROM orders")
-def k16_counted_outputs(t: Tables) -> DataFrame:
-    """Rows of three targets from one source, counted as a report."""
-    targets = {s: t.orders.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")}
-    report = P.concatenated([df.agg(F.count(F.lit(1)).alias("n")).withColumn("target", F.lit(name)) for name, df in targets.items()])
-    return report.agg(F.sum("n").alias("rows_written"), F.count(F.lit(1)).cast("int").alias("targets"))
+@query("SELECT o_orderstatus AS target, count(*) AS rows_written, count(*) AS rows_read FROM orders GROUP BY 1")
+def k16_run_report(t: Tables) -> DataFrame:
+    """Targets of one source that is made once: the rows that the run reports, and those that are there."""
+    path, states = t.scratch("k16"), [r[0] for r in t.orders.select("o_orderstatus").distinct().limit(20).collect()]
+    targets = {s: (lambda df, s=s: df.where(F.col("o_orderstatus") == s)) for s in states}
+    report = K.run_outputs(targets, path, source=t.orders.select("o_orderkey", "o_orderstatus"))
+    parts = [t.spark.read.parquet(f"{path}/{s}").agg(F.lit(s).alias("target"), F.lit(n).cast("long").alias("rows_written"), F.count(F.lit(1)).alias("rows_read")) for s, n in report.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+CUSTOMERS = T.StructType().add("c_custkey", T.LongType()).add("c_name", T.StringType()).add("c_acctbal", T.DoubleType()).add("c_mktsegment", T.StringType())
+SAME_CUSTOMERS = "SELECT c_custkey::BIGINT AS c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"
+
+
+def customers(t: Tables) -> DataFrame:
+    return t.customer.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CUSTOMERS])
+
+
+@query(SAME_CUSTOMERS)
+def s1_csv_written_and_read(t: Tables) -> DataFrame:
+    path = t.scratch("csv")
+    K.write_csv(customers(t), path, CUSTOMERS, ";", header=True)
+    return S.read_csv(t.spark, path, CUSTOMERS, ";", header=True)
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_mktsegment FROM customer")
+def s2_fixed_width_written_and_read(t: Tables) -> DataFrame:
+    path = t.scratch("fixed")
+    K.write_fixed_width(t.customer, path, [("c_custkey", 10), ("c_mktsegment", 12)])
+    return S.read_fixed_width(t.spark, path, [("c_custkey", 10, "bigint"), ("c_mktsegment", 12, "string")])
+
+
+@query(SAME_CUSTOMERS)
+def s4_json_lines_written_and_read(t: Tables) -> DataFrame:
+    path = t.scratch("jsonl")
+    K.write_json(customers(t), path)
+    return S.read_jsonl(t.spark, path, CUSTOMERS)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def s3_json_documents_written_and_read(t: Tables) -> DataFrame:
+    """A document per nation, each at its own path; names hold spaces and folders."""
+    path = t.scratch("documents")
+    named = t.nation.select("n_nationkey", "n_name", F.concat(F.lit("region "), "n_regionkey", F.lit("/"), "n_name", F.lit(".json")).alias("name"))
+    K.write_documents(named, path, "name")
+    return S.read_json(t.spark, f"{path}/*/*.json", T.StructType.fromDDL("n_nationkey bigint, n_name string"))
+
+
+@query("SELECT n_name AS name, n_nationkey::BIGINT AS n_nationkey, n_nationkey::BIGINT AS key FROM nation WHERE n_nationkey % 5 <> 0")
+def s11_documents_by_path(t: Tables) -> DataFrame:
+    """Documents whose paths a column gives, with spaces and signs that mean something elsewhere; null paths are skipped."""
+    path = t.scratch("by-path")
+    at = F.concat(F.lit("a+b 100%/["), "n_name", F.lit("].json"))
+    K.write_documents(t.nation.select(F.col("n_nationkey").alias("key"), at.alias("at")), path, "at")
+    driver = t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("n_nationkey"), F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.lit(f"{path}/"), at)).alias("path"))
+    found = S.load_by_path(driver, "path", "text")
+    return found.select("name", "n_nationkey", F.from_json("value", "key bigint")["key"].alias("key"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def s5_xml_written_and_read(t: Tables) -> DataFrame:
+    path = t.scratch("xml")
+    K.write_xml(t.nation.select(F.col("n_nationkey").alias("_key"), "n_name"), path, "nations", "nation")
+    rows = S.read_xml(t.spark, path, "nation", T.StructType.fromDDL("_key bigint, n_name string"))
+    return rows.select(F.col("_key").alias("n_nationkey"), "n_name")
+
+
+@query("SELECT n_name AS value, n_name || '.json' AS file FROM nation")
+def s6_file_set(t: Tables) -> DataFrame:
+    """Files of a pattern, and the path of the document that a row comes from."""
+    path = t.scratch("set")
+    K.write_documents(t.nation.select(F.col("n_name").alias("v"), F.concat("n_name", F.lit(".json")).alias("at")), path, "at")
+    rows = S.read_file_set(t.spark, f"{path}/*.json")
+    return rows.select(F.from_json("value", "v string")["v"].alias("value"), F.regexp_extract(P.document_path(rows, []), "([^/]*)$", 1).alias("file"))
+
+
+@query("SELECT o_orderkey, o_custkey + 1 AS o_custkey FROM orders")
+def k6_replaced_table(t: Tables) -> DataFrame:
+    """A table that is replaced by one made from itself."""
+    path = t.scratch("table")
+    K.replace_table(t.orders.select("o_orderkey", "o_custkey"), path)
+    old = t.spark.read.parquet(path)
+    K.replace_table(old.withColumn("o_custkey", (F.col("o_custkey") + 1).cast(old.schema["o_custkey"].dataType)), path)
+    return t.spark.read.schema(old.schema).parquet(path)
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+def k11_selected_output(t: Tables) -> DataFrame:
+    path = t.scratch("k11")
+    targets = {"done": t.orders.where("o_orderstatus = 'F'"), "never": t.orders.where(F.raise_error(F.lit("never run")).cast("boolean"))}
+    K.run_selected(targets, "done", path)
+    return t.spark.read.parquet(f"{path}/done").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, c_custkey::BIGINT AS no, c_mktsegment AS segment FROM customer")
+def fn_layout_field(t: Tables) -> DataFrame:
+    """Scalars of a text that follows a layout: a head line, then records of fields."""
+    text = F.concat(F.lit("HEAD\nno;"), F.col("c_custkey").cast("string"), F.lit("\nseg; "), F.col("c_mktsegment"), F.lit("\nend;"))
+    no = L.layout_field(text, [("tail", "lines", 1), ("part", "delimiter", "\n", 1), ("field", ";", 2)], "bigint")
+    segment = L.layout_field(text, [("part", "delimiter", "\n", 3), ("field", ";", 2), ("trim", "both", " ")])
+    return t.customer.select("c_custkey", no.alias("no"), segment.alias("segment"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, 'constant' AS fixed, NULL::VARCHAR AS nothing FROM orders")

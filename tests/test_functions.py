@@ -36,6 +36,30 @@ def cases():
         (N.is_numeric(F.lit("1d")), False),
         (N.is_numeric(F.lit(" 1.5e3 ")), True),
         (N.to_number(F.lit("x")), None),
+        (N.to_number(F.lit(str(2**53 + 1)), kind="long"), 2**53 + 1),
+        (N.to_number(F.lit("1.5"), kind="long"), None),
+        (F.to_json(F.struct(N.to_number(F.lit(str(2**53 + 1)), kind="variant").alias("v"))), '{"v":9007199254740993}'),
+        (F.to_json(F.struct(N.to_number(F.lit(" 1.5 "), kind="variant").alias("v"))), '{"v":1.5}'),
+        (N.multiply(F.lit(1e-7), F.lit(1e7)), 1.0),
+        (N.multiply(F.lit(1.23456789), 1), 1.23456789),
+        (N.multiply(F.lit(1e14), 2), 2e14),
+        (N.multiply(F.lit(1.1), F.lit(1.1)), 1.21),
+        (N.multiply(F.lit(1e300), F.lit(-1e-300)), -1.0),
+        (N.multiply(F.lit(float("inf")), F.lit(2.0)), float("inf")),
+        (N.floor(F.lit(2**53 + 1)), 2**53 + 1),
+        (N.floor(F.lit(1e19)), 1e19),
+        (N.floor(F.lit(-2.5)), -3.0),
+        (N.floor(F.lit(-1e-20)), -1.0),
+        (N.floor(F.lit(float("-inf"))), float("-inf")),
+        (N.round_half_away(F.lit(2**53 + 1), kind="long"), 2**53 + 1),
+        (N.round_half_away(F.lit(1e300), 2), 1e300),
+        (C.equal(F.lit("abc"), 1), False),
+        (C.equal(F.lit("1.0"), 1), False),
+        (C.equal(F.lit("1"), 1.0), True),
+        (C.less_than(F.lit("10"), 9), True),
+        (C.not_equal(F.lit("abc"), 1), True),
+        (C.greater_or_equal(F.lit(2), F.lit(1.5)), True),
+        (C.equal(F.lit(None).cast("string"), 1), False),
         (N.round_half_away(F.lit(1.005), 2), 1.0),
         (N.round_half_away(F.lit(-2.5)), -3.0),
         (N.lenient_multiply(F.lit(2**62), F.lit(4)), float(2**64)),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import checks as V
+from tessella.operators import functions as D
 from tessella.operators import grouping as A
 from tessella.operators import joins as J
 from tessella.operators import sequences as G
@@ -144,3 +145,74 @@ def test_enforce_and_failure_rules(spark):
 def test_singleton_with_two_records_is_an_error(spark):
     with pytest.raises(ValueError):
         J.with_singleton(spark.range(3), spark.range(2).toDF("x"))
+
+
+def test_totals_of_null_keys_stay(spark):
+    df = spark.createDataFrame([(1, "a", 9), (2, None, 9), (3, None, 9)], "i int, k string, n int")
+    rows = sorted(tuple(r) for r in A.with_group_total(df, ["k"], {"n": A.item_count()}).select("i", "k", "n").collect())
+    assert rows == [(1, "a", 1), (2, None, 2), (3, None, 2)]
+
+
+def test_sums_keep_small_items(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 1e100, 1.0, -1e100)] + [(None,)], "x double")
+    assert df.agg(A.item_sum("x")).first()[0] == 2.0
+    assert df.where("x > 1e200").agg(A.item_sum("x"), A.item_avg("x")).first() == (0.0, None)
+    big = spark.createDataFrame([(1.7e308,), (1.7e308,)], "x double")
+    assert big.agg(A.item_avg("x")).first()[0] == 1.7e308
+    assert spark.createDataFrame([(0.1,)] * 10, "x double").agg(A.item_sum("x")).first()[0] == 1.0
+    longs = spark.createDataFrame([(2**62,), (2**61 + 1,)], "x long")
+    assert longs.agg(A.item_sum("x", "long")).first()[0] == 2**62 + 2**61 + 1
+    with pytest.raises(Exception):
+        longs.unionByName(longs).agg(A.item_sum("x", "long")).collect()
+
+
+def test_equal_rows_are_each_found(spark):
+    df, table = spark.createDataFrame([(1,), (1,), (None,)], "k int"), spark.createDataFrame([(1, 5), (1, 4)], "t int, v int")
+    got = sorted((r["k"] or 0, r["hit"]) for r in J.find(df, table, [("k", "t")], F.col("v") > 4, F.col("v"), ["v"], "hit").collect())
+    assert got == [(0, None), (1, 5), (1, 5)]
+
+
+def test_item_at_reads_no_more_than_it_needs(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 7), (None, 2), (None, 4)], "k string, v int")
+    rows = sorted(((r["k"] or ""), r["x"]) for r in A.item_at(df, ["k"], "v", ["v"], 2, "x").collect())
+    assert rows == [("", 4), ("a", 3), ("b", None)]
+    assert "WindowGroupLimit" in A.item_at(df, ["k"], "v", ["v"], 2, "x")._jdf.queryExecution().toString()
+
+
+def test_one_grouping_mode(spark):
+    df = spark.createDataFrame([(i, i // 2 % 2) for i in range(6)], "i int, k int").withColumn("u", F.lit(1))
+    groups = lambda **mode: [r["group"] for r in A.group_rows(df, ["i"], ["u"], **mode).orderBy("i").collect()]
+    assert groups(by=["k"]) == [1, 1, 2, 2, 1, 1] and groups(adjacent="k") == [1, 1, 2, 2, 3, 3]
+    assert groups(starting=F.col("i") == 2) == [0, 0, 1, 1, 1, 1] and groups(ending=F.col("i") == 2) == [0, 0, 0, 1, 1, 1] and groups(block=4) == [0, 0, 0, 0, 1, 1]
+    with pytest.raises(ValueError):
+        groups(by=["k"], block=2)
+
+
+def test_targets_adapt_numbers(spark):
+    adapted = lambda c, t: spark.range(1).select(F.to_json(F.struct(P.adapted_number(c, t).alias("v")))).first()[0]
+    assert adapted(F.lit(float(2**60)), "long") == '{"v":1152921504606846976}' and adapted(F.lit(1.5), "long") == '{"v":1.5}' and adapted(F.lit(1e19), "long") == '{"v":1.0E19}'
+    assert adapted(F.lit(7), "double") in ('{"v":7.0}', '{"v":7}') and adapted(F.lit(2**53 + 1), "double") == '{"v":9007199254740993}'
+    kind = lambda c, *t: spark.range(1).select(F.schema_of_variant(P.adapted_union(c.cast("variant"), list(t)))).first()[0]
+    assert kind(F.lit(2.0), "long", "string") == "BIGINT" and kind(F.lit(2.0), "long", "double") == "DOUBLE"
+    assert kind(F.lit(2.5), "long", "string") == "DOUBLE" and kind(F.lit(3), "double") == "DOUBLE" and kind(F.lit("x"), "long") == "STRING"
+    assert [spark.range(1).select(P.whole_number(F.lit(x))).first()[0] for x in (float(2**60), 9.3e18, 0.5, float("nan"), float("-inf"))] == [2**60, None, None, None, None]
+
+
+def test_trees_are_filtered_at_every_depth(spark):
+    leaf = "struct<items array<int>>"
+    kind = f"struct<items array<int>, nodes array<struct<items array<int>, nodes array<{leaf}>>>>"
+    df = spark.createDataFrame([(([1, 5], [([2], [([9, 3],)]), ([], None)]),)], f"tree {kind.replace('struct<items', 'struct<items:').replace(', nodes', ', nodes:')}")
+    got = df.select(H.recursive_filter(F.col("tree"), df.schema["tree"].dataType, "items", "nodes", lambda x: x > 4)).first()[0]
+    assert got["items"] == [5] and [n["items"] for n in got["nodes"]] == [[], []] and got["nodes"][0]["nodes"][0]["items"] == [9] and got["nodes"][1]["nodes"] is None
+
+
+def test_errors_that_a_job_must_see(spark):
+    with pytest.raises(ValueError):
+        H.path_hierarchy(spark.createDataFrame([("",)], "p string"), "p")
+    with pytest.raises(Exception):
+        P.surviving(spark.range(1), F.lit(None).cast("boolean")).collect()
+    with pytest.raises(ValueError):
+        P.bind(spark.range(1), [("a", F.col("id")), ("a", F.col("id"))])
+    with pytest.raises(KeyError):
+        D.parameter({}, "x", "int")
+    assert spark.range(1).select(D.parameter({"x": "7"}, "x", "int"), D.runtime_value("mapping_path", "/jobs/a")).first() == (7, "/jobs/a")

@@ -152,3 +152,48 @@ def test_outputs(spark, tmp_path):
         K.write_documents(spark.createDataFrame([("", 1)], "p string, v int"), str(tmp_path / "d"), "p")
     with pytest.raises(ValueError):
         K.generated_keys(spark.range(2).toDF("id"), "id", ["id"])
+
+
+def test_documents_at_their_paths(spark, tmp_path):
+    df = spark.createDataFrame([("x/y.json", 1, "a"), ("x y+z%.json", 2, None)], "p string, v int, t string")
+    assert K.write_documents(df, str(tmp_path / "d"), "p") == 2
+    assert (tmp_path / "d" / "x" / "y.json").read_text() == '{"v":1,"t":"a"}' and (tmp_path / "d" / "x y+z%.json").read_text() == '{"v":2}'
+    assert K.write_documents(df.limit(0), str(tmp_path / "e"), "p") == 0
+    driver = df.select("v", F.concat(F.lit(f"{tmp_path}/d/"), "p").alias("path"))
+    assert sorted((r["v"], r["value"]) for r in S.load_by_path(driver, "path").collect()) == [(1, '{"v":1,"t":"a"}'), (2, '{"v":2}')]
+    for bad in ("../x", "/x", "a/../b", None):
+        with pytest.raises(ValueError):
+            K.write_documents(spark.createDataFrame([(bad, 1)], "p string, v int"), str(tmp_path / "d"), "p")
+    with pytest.raises(ValueError, match="two documents"):
+        K.write_documents(df.unionByName(df), str(tmp_path / "d"), "p")
+
+
+def test_a_table_replaced_by_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    K.replace_table(spark.range(3), path)
+    K.replace_table(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_a_shared_source_is_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    source = spark.range(10).mapInArrow(count, "id long")
+    report = K.run_outputs({"a": lambda df: df.where("id < 3"), "b": lambda df: df}, str(tmp_path / "o"), source=source)
+    assert report == {"a": 3, "b": 10} and made.value == 10
+
+
+def test_layout_fields(spark):
+    text = "head line\nA;1; x \nB;2; y "
+    get = lambda steps, kind="string": spark.createDataFrame([(text,)], "t string").select(L.layout_field(F.col("t"), steps, kind)).first()[0]
+    assert get([("tail", "lines", 1), ("part", "lines", 1, 2), ("field", ";", 2)], "int") == 2
+    assert get([("head", "delimiter", " ")]) == "head" and get([("part", "delimiter", "\n", 2), ("field", ";", 3), ("trim", "both", " ")]) == "x"
+    assert get([("cells", 6, 4)]) == "line"
+    assert spark.range(1).select(L.layout_field(F.lit(None).cast("string"), [("field", ";", 9)])).first()[0] is None
+    with pytest.raises(Exception, match="layout"):
+        get([("field", ";", 9)])
