@@ -82,6 +82,9 @@ class TokenIds:
 #: What a worker process has learnt about each tokenizer file; it outlives the task.
 _LEARNT: dict[str, TokenIds] = {}
 
+#: Tasks that islands are dealt to at most; beyond it a task takes several.
+MOST_TASKS = 50_000
+
 
 def token_ids(path: str) -> TokenIds:
     if path not in _LEARNT:
@@ -204,7 +207,8 @@ def evolved_blocks(rows: DataFrame, capacity: int, block_items: int, islands: in
         return run
 
     for e in range(epochs):
-        dealt = elites.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)]))).repartition(F.col("block"), F.col("island"))
+        # As many tasks as islands: their rows are few and their work is not, so the tasks are not merged by size.
+        dealt = elites.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)]))).repartition(min(n_blocks * islands, MOST_TASKS), "block", "island")
         ran = dealt.mapInArrow(epoch(e), "block long, island int, bins int, fill double, crossovers int, elite array<int>")
         if e + 1 < epochs:  # migration: each island of a block starts the next epoch from the elites of all of them
             met = ran.groupBy("block").agg(F.collect_list("elite").alias("elites"), F.sum("crossovers").cast("int").alias("crossovers"))
