@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import class_log_odds, crc_mod, labelled_sample, table
+from tessella.llm.common import class_log_odds, crc_mod, labelled_sample, stored, table
 from tessella.llm.quality_rules import share
 from tessella.llm.text_stats import with_text_stats
 
@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, m: int, held: int, per
 def score(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float]) -> DataFrame:
     """(doc_id, features, score) per row; null and empty texts have statistics of zero and are scored like any other,
     repeated rows score alike, and columns of docs other than doc_id and text are not read."""
-    stats = with_text_stats(docs.select("doc_id", "text")).select("doc_id", *[c.alias(n) for n, c in features().items()])
+    # The statistics, a few numbers a row, are written first: the pass over the texts is not compiled together with the rules.
+    stats = stored(with_text_stats(docs.select("doc_id", "text")).select("doc_id", *[c.alias(n) for n, c in features().items()]))
     return stats.withColumn("score", compiled(*model))
 
 
