@@ -87,15 +87,22 @@ def by_row(df: DataFrame, more: DataFrame) -> DataFrame:
     return df.join(keyed, F.col("doc_id").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left").drop("_d2", "_h2")
 
 
+def rows_in(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of df whose (doc_id, _h) is in keys. The keys alone are written first: two numbers for each row that matters,
+    so while they are few the rows of df stay where they are."""
+    keyed = stored(keys.select(F.col("doc_id").alias("_d2"), F.col("_h").alias("_h2")))
+    return df.join(keyed, F.col("doc_id").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left_semi")
+
+
 def matched_rows(tokens: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """Stored (doc_id, _h, n_hit, hits, ids, n_near) of rows in which a window occurs, or its two rarest words come near
     each other (at most `size` words apart)."""
     windows = stored(benchmark_windows(items, size))
     rare = rarest_terms(windows.groupBy("phrase").agg(F.first("words").alias("words")), tokens)
     index = positional_index(tokens, stored(rare.select(F.explode(F.slice("rare", 1, 2)).alias("r")).select("r.term").distinct()))
-    found = phrase_candidates(index, rare).groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "len", "phrase")).alias("_c"))
+    found = stored(phrase_candidates(index, rare).groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "len", "phrase")).alias("_c")))
     same = lambda c: F.array_join(F.slice("_w", c["start"] + 1, c["len"]), " ") == c["phrase"]
-    checked = by_row(tokens, stored(found)).where(F.col("_c").isNotNull()).select("doc_id", "_h", F.sort_array(F.filter("_c", same)).alias("_c")).where(F.size("_c") > 0).distinct()
+    checked = by_row(rows_in(tokens, found), found).where(F.col("_c").isNotNull()).select("doc_id", "_h", F.sort_array(F.filter("_c", same)).alias("_c")).where(F.size("_c") > 0).distinct()
     begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     end = lambda c: c["start"] + c["len"]
     union = F.aggregate("_c", begin, lambda a, c: F.struct(F.greatest(a["end"], end(c)).alias("end"), (a["n"] + F.greatest(end(c) - F.greatest(a["end"], c["start"]), F.lit(0))).alias("n")))
