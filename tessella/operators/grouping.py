@@ -93,46 +93,57 @@ def with_group_total(df: DataFrame, keys: list[str], totals: dict[str, Column])
     return beside(df.drop(*totals), keys, sums)
 
 
-def boundaries(df: DataFrame, first: Column, order_by: list[str], within: list[str], name: str) -> DataFrame:
-    """Numbers the runs of each partition: a new one begins where `first` is true."""
-    w = Window.partitionBy(*within).orderBy(*order_by)
-    return df.withColumn(name, F.sum(F.coalesce(first, F.lit(False)).cast("long")).over(w))
+def placed(df: DataFrame, order_by: list, within: list[str], name: str, count: str | None = None) -> DataFrame:
+    """Adds the 1-based place of each row in its group (null is a key), and the group's size if a name for it is given. Places
+    come from the dense ordinal of the whole table, so that a large group is spread over many tasks."""
+    rows = with_ordinal(df, [*within, *order_by], "_ord")
+    totals = [F.min("_ord").alias("_least"), *([F.count(F.lit(1)).alias(count)] if count else [])]
+    return beside(rows, within, rows.groupBy(*within).agg(*totals)).withColumn(name, F.col("_ord") - F.col("_least") + 1).drop("_ord", "_least")
+
+
+def flags_so_far(rows: DataFrame, flag: str, within: list[str], name: str, itself: bool = True) -> DataFrame:
+    """How many rows of the same group up to this one (or before it) have the flag, along a dense ordinal `_ord` that runs
+    group by group. Counted over the whole table in blocks; what stood before a group's first row is taken off."""
+    rows = running_count(rows, flag, "_ord", "_all")
+    before = F.col("_all") - F.col(flag).cast("long")
+    if within:
+        rows = beside(rows, within, rows.groupBy(*within).agg(F.min(before).alias("_off")))
+    so_far = F.col("_all") if itself else before
+    return rows.withColumn(name, so_far - F.col("_off") if within else so_far).drop("_all", "_off")
 
 
 def group_adjacent(df: DataFrame, key: str, order_by: list[str], within: list[str], name: str = "run") -> DataFrame:
-    """Contiguous runs of equal keys; a key that comes again later is another run."""
-    w = Window.partitionBy(*within).orderBy(*order_by)
-    before, first = F.lag(key).over(w), F.row_number().over(w) == 1
-    marked = df.withColumn("_first", first | ~F.col(key).eqNullSafe(before))
-    return boundaries(marked, F.col("_first"), order_by, within, name).drop("_first")
+    """Contiguous runs of equal keys; a key that comes again later is another run. The row before comes by a join on the
+    dense ordinal."""
+    rows = with_ordinal(df, [*within, *order_by], "_ord")
+    before = rows.select((F.col("_ord") + 1).alias("_ord"), F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*within, key])]).alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col("_before")[f"_{i}"]) for i, c in enumerate([*within, key])]
+    marked = rows.join(before, "_ord", "left").withColumn("_first", F.col("_before").isNull() | ~reduce(lambda a, b: a & b, same))
+    return flags_so_far(marked, "_first", within, name).drop("_first", "_before", "_ord")
 
 
 def group_adjacent_global(df: DataFrame, key: str, order_by: list[str], name: str = "run") -> DataFrame:
-    """Runs over the whole table: the row before comes by a join on the dense ordinal, the running number in blocks."""
-    rows = with_ordinal(df, order_by, "_ord")
-    before = rows.select((F.col("_ord") + 1).alias("_ord"), F.col(key).alias("_before"), F.lit(True).alias("_has"))
-    marked = rows.join(before, "_ord", "left").withColumn("_first", F.col("_has").isNull() | ~F.col(key).eqNullSafe(F.col("_before")))
-    return running_count(marked, "_first", "_ord", name).drop("_first", "_before", "_has", "_ord")
+    """Runs over the whole table."""
+    return group_adjacent(df, key, order_by, [], name)
 
 
-def group_starting_with(df: DataFrame, predicate: Column, order_by: list[str], within: list[str], name: str = "run") -> DataFrame:
-    """A group begins at each true; what leads is group 0."""
-    return boundaries(df, predicate, order_by, within, name)
+def group_starting_with(df: DataFrame, predicate: Column, order_by: list[str], within: list[str], name: str = "run", itself: bool = True) -> DataFrame:
+    """A group begins at each true (after it, if it is not to count itself); what leads is group 0."""
+    rows = with_ordinal(df.withColumn("_flag", F.coalesce(predicate, F.lit(False))), [*within, *order_by], "_ord")
+    return flags_so_far(rows, "_flag", within, name, itself).drop("_flag", "_ord")
 
 
 def group_ending_with(df: DataFrame, predicate: Column, order_by: list[str], within: list[str], name: str = "run") -> DataFrame:
     """A group ends after each true; what trails is a group of its own."""
-    w = Window.partitionBy(*within).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(F.coalesce(predicate, F.lit(False)).cast("long")).over(w), F.lit(0)))
+    return group_starting_with(df, predicate, order_by, within, name, itself=False)
 
 
 def group_into_blocks(df: DataFrame, size: int, order_by: list[str], within: list[str] | None = None, name: str = "block") -> DataFrame:
-    """Chunks of `size` rows in order, numbered from 0; a whole table is numbered by the dense ordinal."""
+    """Chunks of `size` rows in order, numbered from 0, in each group or over the whole table."""
     if size <= 0:
         raise ValueError("a block needs at least one item")
-    if within:
-        return df.withColumn(name, F.floor((F.row_number().over(Window.partitionBy(*within).orderBy(*order_by)) - 1) / size))
-    return with_ordinal(df, order_by, "_ord").withColumn(name, F.floor((F.col("_ord") - 1) / size)).drop("_ord")
+    rows = placed(df, order_by, within, "_place") if within else with_ordinal(df, order_by, "_place")
+    return rows.withColumn(name, F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def first_member(fields: list[str], order_by: list[str]) -> Column:
@@ -161,7 +172,7 @@ def group_rows(df: DataFrame, order_by: list[str], within: list[str], name: str
     mode = one_mode(by=by, adjacent=adjacent, starting=starting, ending=ending, block=block)
     if mode == "by":
         first = df.groupBy(*within, *by).agg(F.min(F.struct(*order_by)).alias("_first"))
-        numbered = first.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy("_first")).cast("long")).drop("_first")
+        numbered = placed(first, ["_first"], within, name).drop("_first") if within else with_ordinal(first, ["_first"], name).drop("_first")
         return beside(df, [*within, *by], numbered)
     made = {"adjacent": lambda: group_adjacent(df, adjacent, order_by, within, name), "starting": lambda: group_starting_with(df, starting, order_by, within, name), "ending": lambda: group_ending_with(df, ending, order_by, within, name), "block": lambda: group_into_blocks(df, block, order_by, within, name)}
     return made[mode]()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.grouping import placed
 from tessella.ordinal import with_ordinal
 
 #: A selection by place: ("skip", n), ("first", n), ("last", n), ("from", p) or ("range", a, b).
@@ -50,11 +51,11 @@ def bounds(steps: list[Step]) -> tuple[int, int | None, int | None]:
 def select_rows(df: DataFrame, steps: list[Step], order_by: list, within: list[str] | None = None, number: str | None = None) -> DataFrame:
     """Rows of each group (or of the whole table) by place; `number` renumbers what is left from 1."""
     lo, hi, last = bounds(steps)
-    if within:
-        w = Window.partitionBy(*within)
-        out = df.withColumn("_place", F.row_number().over(w.orderBy(*order_by)))
-        if last is not None:
-            out = out.withColumn("_count", F.count(F.lit(1)).over(w))
+    if within and hi is not None and last is None:
+        # Spark keeps no more than the first `hi` rows of a group on the way.
+        out = df.withColumn("_place", F.row_number().over(Window.partitionBy(*within).orderBy(*order_by)).cast("long"))
+    elif within:
+        out = placed(df, order_by, within, "_place", "_count")
     else:
         out = with_ordinal(df, order_by, "_place")
         if last is not None:

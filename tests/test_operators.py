@@ -1,5 +1,7 @@
 """Edge cases on tiny frames: nulls, ties, empties, order."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,37 @@ def test_group_boundaries(spark):
         A.one_mode(by="k", blocks=2)
 
 
+def test_large_groups_are_no_window_of_one_task(spark):
+    r = random.Random(5)
+    data = [(i, r.choice(["hot", "hot", "hot", "cold", None]), r.choice(["a", "b", None]), r.choice([True, False, None])) for i in range(300)]
+    df = spark.createDataFrame(data, "i int, u string, k string, e boolean").repartition(5)
+    want = {m: {} for m in ("adjacent", "starting", "ending", "block", "last")}
+    for u in ("hot", "cold", None):
+        rows, run, starts, ends = [x for x in data if x[1] == u], 0, 0, 0
+        for at, (i, _, k, e) in enumerate(rows):
+            run += at == 0 or rows[at - 1][2] != k
+            starts += bool(e)
+            want["adjacent"][i], want["starting"][i], want["ending"][i], want["block"][i] = run, starts, ends, at // 7
+            ends += bool(e)
+        want["last"] |= {x[0]: n for n, x in enumerate(rows[2:][-4:], 1)}
+    made = {
+        "adjacent": A.group_adjacent(df, "k", ["i"], ["u"], "n"),
+        "starting": A.group_starting_with(df, F.col("e"), ["i"], ["u"], "n"),
+        "ending": A.group_ending_with(df, F.col("e"), ["i"], ["u"], "n"),
+        "block": A.group_into_blocks(df, 7, ["i"], ["u"], "n"),
+        "last": O.select_rows(df, [("skip", 2), ("last", 4)], ["i"], ["u"], "n"),
+    }
+    for mode, out in made.items():
+        assert out.columns == [*df.columns, "n"]
+        got = {x["i"]: x["n"] for x in out.collect()}
+        assert got == want[mode], mode
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert not any("[u#" in w for w in windows), mode
+    empty = A.group_adjacent(df.where("false"), "k", ["i"], ["u"])
+    assert empty.count() == 0
+
+
 def test_distinct_values_keep_the_first_and_a_missing_key(spark):
     df = spark.createDataFrame([(1, "A", "a"), (2, "B", "b"), (3, None, "m"), (4, "A", "x")], "ord int, k string, v string")
     assert sorted(r["v"] for r in A.distinct_values(df, ["k"], ["ord"]).collect()) == ["a", "b", "m"]
