@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.numbers import NUMERIC
-from tessella.ordinal import running_count, with_ordinal
+from tessella.ordinal import checkpointed, running_count, with_ordinal
 
 
 def numeric(value: Column, kind: str) -> Column:
@@ -93,12 +94,37 @@ def with_group_total(df: DataFrame, keys: list[str], totals: dict[str, Column])
     return beside(df.drop(*totals), keys, sums)
 
 
+#: Rows up to which a group is ordered in one task. The way beyond gives the same result.
+LARGE_GROUP = 1 << 20
+
+
+def by_group_size(df: DataFrame, within: list[str], one_task: Callable, spread: Callable) -> DataFrame:
+    """one_task(rows of groups of up to LARGE_GROUP rows) and spread(rows of larger ones). Sizes are counted first, combined
+    before the shuffle. Without `within` the whole table is spread."""
+    if not within:
+        return spread(df)
+    large = checkpointed(df.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE_GROUP).select(*within, F.lit(True).alias("_large")))
+    if large.isEmpty():
+        return one_task(df)
+    marked = beside(df, within, large)
+    return one_task(marked.where(F.col("_large").isNull()).drop("_large")).unionByName(spread(marked.where("_large").drop("_large")))
+
+
 def placed(df: DataFrame, order_by: list, within: list[str], name: str, count: str | None = None) -> DataFrame:
     """Adds the 1-based place of each row in its group (null is a key), and the group's size if a name for it is given. Places
-    come from the dense ordinal of the whole table, so that a large group is spread over many tasks."""
-    rows = with_ordinal(df, [*within, *order_by], "_ord")
+    in a large group come from a dense ordinal, so that it is spread over many tasks."""
+    w = Window.partitionBy(*within)
     totals = [F.min("_ord").alias("_least"), *([F.count(F.lit(1)).alias(count)] if count else [])]
-    return beside(rows, within, rows.groupBy(*within).agg(*totals)).withColumn(name, F.col("_ord") - F.col("_least") + 1).drop("_ord", "_least")
+
+    def one_task(rows: DataFrame) -> DataFrame:
+        out = rows.withColumn(name, F.row_number().over(w.orderBy(*order_by)).cast("long"))
+        return out.withColumn(count, F.count(F.lit(1)).over(w)) if count else out
+
+    def spread(rows: DataFrame) -> DataFrame:
+        rows = with_ordinal(rows, [*within, *order_by], "_ord")
+        return beside(rows, within, rows.groupBy(*within).agg(*totals)).withColumn(name, F.col("_ord") - F.col("_least") + 1).drop("_ord", "_least")
+
+    return by_group_size(df, within, one_task, spread)
 
 
 def flags_so_far(rows: DataFrame, flag: str, within: list[str], name: str, itself: bool = True) -> DataFrame:
@@ -113,13 +139,22 @@ def flags_so_far(rows: DataFrame, flag: str, within: list[str], name: str, itsel
 
 
 def group_adjacent(df: DataFrame, key: str, order_by: list[str], within: list[str], name: str = "run") -> DataFrame:
-    """Contiguous runs of equal keys; a key that comes again later is another run. The row before comes by a join on the
-    dense ordinal."""
-    rows = with_ordinal(df, [*within, *order_by], "_ord")
-    before = rows.select((F.col("_ord") + 1).alias("_ord"), F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*within, key])]).alias("_before"))
-    same = [F.col(c).eqNullSafe(F.col("_before")[f"_{i}"]) for i, c in enumerate([*within, key])]
-    marked = rows.join(before, "_ord", "left").withColumn("_first", F.col("_before").isNull() | ~reduce(lambda a, b: a & b, same))
-    return flags_so_far(marked, "_first", within, name).drop("_first", "_before", "_ord")
+    """Contiguous runs of equal keys; a key that comes again later is another run. In a large group the row before comes by
+    a join on the dense ordinal."""
+    w = Window.partitionBy(*within).orderBy(*order_by)
+
+    def one_task(rows: DataFrame) -> DataFrame:
+        marked = rows.withColumn("_first", (F.row_number().over(w) == 1) | ~F.col(key).eqNullSafe(F.lag(key).over(w)))
+        return marked.withColumn(name, F.sum(F.col("_first").cast("long")).over(w)).drop("_first")
+
+    def spread(rows: DataFrame) -> DataFrame:
+        rows = with_ordinal(rows, [*within, *order_by], "_ord")
+        before = rows.select((F.col("_ord") + 1).alias("_ord"), F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*within, key])]).alias("_before"))
+        same = [F.col(c).eqNullSafe(F.col("_before")[f"_{i}"]) for i, c in enumerate([*within, key])]
+        marked = rows.join(before, "_ord", "left").withColumn("_first", F.col("_before").isNull() | ~reduce(lambda a, b: a & b, same))
+        return flags_so_far(marked, "_first", within, name).drop("_first", "_before", "_ord")
+
+    return by_group_size(df, within, one_task, spread)
 
 
 def group_adjacent_global(df: DataFrame, key: str, order_by: list[str], name: str = "run") -> DataFrame:
@@ -129,8 +164,11 @@ def group_adjacent_global(df: DataFrame, key: str, order_by: list[str], name: st
 
 def group_starting_with(df: DataFrame, predicate: Column, order_by: list[str], within: list[str], name: str = "run", itself: bool = True) -> DataFrame:
     """A group begins at each true (after it, if it is not to count itself); what leads is group 0."""
-    rows = with_ordinal(df.withColumn("_flag", F.coalesce(predicate, F.lit(False))), [*within, *order_by], "_ord")
-    return flags_so_far(rows, "_flag", within, name, itself).drop("_flag", "_ord")
+    w = Window.partitionBy(*within).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    flagged = df.withColumn("_flag", F.coalesce(predicate, F.lit(False)))
+    one_task = lambda rows: rows.withColumn(name, F.coalesce(F.sum(F.col("_flag").cast("long")).over(w), F.lit(0)))
+    spread = lambda rows: flags_so_far(with_ordinal(rows, [*within, *order_by], "_ord"), "_flag", within, name, itself).drop("_ord")
+    return by_group_size(flagged, within, one_task, spread).drop("_flag")
 
 
 def group_ending_with(df: DataFrame, predicate: Column, order_by: list[str], within: list[str], name: str = "run") -> DataFrame:
