@@ -18,6 +18,7 @@ _QUERIES = [
     ("suffix_dedup", "op8_suffix_array_dedup"),
     ("html_extraction", "op9_html_extraction"),
     ("quality_rules", "op10_quality_rules"),
+    ("conversation_repair", "op11_conversation_repair"),
     ("token_counts", "op12_token_counts"),
     ("whitening", "op13_embedding_whitening"),
 ]

@@ -5,8 +5,9 @@ of each distinct pre-token are counted once, and a text has the sum of its pre-t
 ids are made for a text.
 
 Tasks turn runs of documents into blocks: the block's distinct pre-tokens, and for each document the places of its
-pre-tokens in that list with their frequencies. Blocks are written once. Distinct pre-tokens of all blocks are combined
-before a shuffle and counted; the counts are joined to the blocks' lists; each block sums its documents.
+pre-tokens in that list with their frequencies. Blocks are written once. A pre-token has one row for each block that holds
+it, however often it comes there; these rows meet, it is counted once, and the count goes back to its place in each block.
+Then each block sums its documents.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from tessella.llm.packing import ALPHABET
 #: How a byte-level tokenizer cuts a text (fixed value of the tokenizer library).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of a block hold about so many characters; a longer text is a block of its own.
-BLOCK = 8_000_000
+BLOCK = 16_000_000
 
 
 class PreTokens:
@@ -157,9 +158,18 @@ def token_counts(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",
             yield row(block)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = pre_tokens(path)
+        cutter, last, known = pre_tokens(path), None, 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cutter.pieces(batch.column(0).to_pylist()), pa.int64())], ["word", "pieces"])
+            words = batch.column(0).dictionary_encode()
+            new = words.dictionary.to_pylist()
+            if new:
+                # In order, so that only the first can be the last one of the batch before.
+                n = cutter.pieces(new) if new[0] != last else np.concatenate([[known], cutter.pieces(new[1:])]).astype(np.int64)
+                last, known = new[-1], int(n[-1])
+                pieces = n[words.indices.to_numpy()]
+                # One piece is what a block takes for granted.
+                more = pa.array(pieces > 1)
+                yield pa.RecordBatch.from_arrays([batch.column(1).filter(more), batch.column(2).filter(more), pa.array(pieces.astype(np.int32)).filter(more)], ["block", "place", "pieces"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,11 +184,9 @@ def token_counts(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",
 
     text = F.coalesce("text", F.lit(""))
     made = stored(docs.select(*carry, F.octet_length(text).cast("long").alias("_n_bytes"), text.alias("_text")).mapInArrow(blocks, kind))
-    words = made.select(F.explode("words").alias("word")).distinct()
-    # Pre-tokens of one piece are the default of a block, only the others come back to it.
-    pieces = words.mapInArrow(counted, "word string, pieces long").where("pieces > 1")
-    listed = made.select("block", F.posexplode("words").alias("place", "word"))
-    more = listed.join(pieces, "word").groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("pieces").alias("pieces"))
+    listed = made.select("block", F.posexplode("words").alias("place", "word")).select("word", "block", "place")
+    pieces = listed.repartition("word").sortWithinPartitions("word").mapInArrow(counted, "block long, place int, pieces int")
+    more = pieces.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("pieces").alias("pieces"))
     return made.select("block", F.size("words").alias("n"), "rows", "packed").join(more, "block", "left").select("packed", "rows", "n", "places", "pieces").mapInArrow(summed, out)
 
 
