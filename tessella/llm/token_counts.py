@@ -103,14 +103,16 @@ class Block:
         self.chars += len(text)
 
     def packed(self) -> bytes:
-        """Numbers of pre-tokens of each document, then their places (as differences), then their frequencies."""
-        sizes = np.array([f.shape[1] for f in self.found], np.uint32)
-        return zlib.compress(b"".join([sizes.tobytes(), np.concatenate(self.found, axis=1).astype("<u4").tobytes()]), 1)
+        """Numbers of pre-tokens of each document, then their places (as differences), then their frequencies: first the lowest
+        bytes of all, then the next, as most are small."""
+        sizes = np.array([f.shape[1] for f in self.found])
+        numbers = np.concatenate([sizes, np.concatenate(self.found, axis=1).ravel()]).astype("<u4")
+        return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def sums(packed: bytes, n: int, pieces: np.ndarray) -> np.ndarray:
     """Tokens of each of the n documents of a block."""
-    numbers = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+    numbers = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
     sizes, (steps, times) = numbers[:n], numbers[n:].reshape(2, -1)
     ends = np.cumsum(sizes)
     # A document's places are the running sum of its steps.
