@@ -82,7 +82,8 @@ def round_half_away(value, digits: int = 0, kind: str = "double") -> Column:
     if kind == "long":
         return as_column(value)
     value, k = as_column(value).cast("double"), float(10**digits)
-    up = floor(F.abs(value) * k + 0.5) / k
+    whole = floor(F.abs(value) * k)
+    up = (whole + F.when(F.abs(value) * k - whole >= 0.5, 1.0).otherwise(0.0)) / k
     return F.when(F.abs(value) * k < float(2**53), F.signum(value) * up).otherwise(value)
 
 

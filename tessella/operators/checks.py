@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: name -> (does the row pass, detail of a violation).
 Rules = dict[str, tuple[Column, Column]]
@@ -30,13 +34,44 @@ def enforce(df: DataFrame, key: list[str], rules: Rules, order_by: list[str] | N
     return df
 
 
-def fail_when(df: DataFrame, condition: Column, message: Column, order_by: list[str], mode: str = "true") -> None:
-    """A failure rule: raises with the message of the first offending row. mode: "true" or "false" (when the condition is
-    so), or "all" (when there is any row)."""
-    chosen = {"true": condition, "false": ~condition, "all": F.lit(True)}[mode]
-    first = df.where(chosen).orderBy(*order_by).limit(1).select(message.alias("m")).collect()
+class FailureRule:
+    """A rule that a job must not start against: raises with the message of the first offending row of `df`. mode: "true" or
+    "false" (when the condition is so), or "all" (when there is any row). A null condition offends too."""
+
+    def __init__(self, df: DataFrame, condition: Column | None, message: Column, order_by: list[str], mode: str = "true"):
+        if mode not in ("true", "false", "all"):
+            raise ValueError(mode)
+        self.df, self.order_by, self.message = df, order_by, message
+        self.offends = F.lit(True) if mode == "all" else condition.isNull() | (condition == F.lit(mode == "true"))
+        self.shown = message if mode == "all" else F.when(condition.isNull(), F.lit("the condition is null")).otherwise(message)
+
+    def least(self) -> Column:
+        """The message of the first offending row as an aggregate, (message) or null; combined before any shuffle."""
+        shown = F.struct(F.coalesce(self.shown.cast("string"), F.lit("")).alias("m"))
+        return F.min_by(F.when(self.offends, shown), F.when(self.offends, F.struct(*self.order_by)))
+
+
+def check_failures(rules: list[FailureRule]) -> None:
+    """All failure rules in one job, before anything is written: the first rule that any row offends gives the error. Rules
+    over one table share a pass over it."""
+    tables: dict[int, list[int]] = {}
+    for i, rule in enumerate(rules):
+        tables.setdefault(id(rule.df), []).append(i)
+    found = None
+    for places in tables.values():
+        row = rules[places[0]].df.agg(*[rules[i].least().alias(f"_r{i}") for i in places])
+        hits = row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(f"_r{i}").alias("hit")) for i in places])).alias("x")).select("x.*").where("hit is not null")
+        found = hits if found is None else found.unionByName(hits)
+    first = found.orderBy("rule").limit(1).collect() if found is not None else []
     if first:
-        raise Violation(first[0]["m"])
+        raise Violation(f"rule {first[0]['rule'] + 1}: {first[0]['hit']['m']}")
+
+
+def fail_when(df: DataFrame, condition: Column, message: Column, order_by: list[str], mode: str = "true") -> None:
+    """One failure rule by itself: raises with its bare message."""
+    row = df.agg(FailureRule(df, condition, message, order_by, mode).least().alias("hit")).first()
+    if row["hit"] is not None:
+        raise Violation(row["hit"]["m"])
 
 
 def required(entries: Column, names: list[str]) -> Column:
@@ -115,6 +150,36 @@ def unique_items(array: Column) -> Column:
     return F.size(F.array_distinct(array)) == F.size(array)
 
 
+def canonical_items(arrays: pd.Series) -> pd.Series:
+    """The items of JSON arrays in one form each: object names in order, numbers by their exact value. Null for no array."""
+
+    def form(value) -> str:
+        if isinstance(value, dict):
+            return "{" + ",".join(f"{json.dumps(k)}:{form(value[k])}" for k in sorted(value)) + "}"
+        if isinstance(value, list):
+            return "[" + ",".join(map(form, value)) + "]"
+        if isinstance(value, Decimal):
+            sign, digits, power = value.as_tuple()
+            shown = "".join(map(str, digits)).lstrip("0")
+            kept = shown.rstrip("0")
+            return f"{'-' if sign else ''}{kept}e{power + len(shown) - len(kept)}" if kept else "0"
+        return json.dumps(value)
+
+    def items(text: str | None) -> list[str] | None:
+        # JSON knows no NaN or Infinity.
+        value = None if text is None else json.loads(text, parse_float=Decimal, parse_int=Decimal, parse_constant=lambda c: json.loads(""))
+        return [form(v) for v in value] if isinstance(value, list) else None
+
+    return arrays.map(items, na_action=None)
+
+
+def unique_json_items(array: Column) -> Column:
+    """No two items of a JSON array (as text) are equal, whatever is in them: objects are equal in any order of names, numbers by
+    value. What is no array passes; text that is no JSON is an error."""
+    items = F.pandas_udf(canonical_items, T.ArrayType(T.StringType()))(array)
+    return F.coalesce(F.size(F.array_distinct(items)) == F.size(items), F.lit(True))
+
+
 def alternatives(*matches: Column, exclusive: bool = True) -> Column:
     """Exactly one, or at least one, holds."""
     n = reduce(lambda a, b: a + b, [F.coalesce(m, F.lit(False)).cast("int") for m in matches])

@@ -22,34 +22,9 @@ def item_count() -> Column:
     return F.count(F.lit(1))
 
 
-#: Bounds of the classes of magnitude that large floats are summed in.
-LARGE = [1e14, 1e45, 1e80]
-
-
-def float_sum(value: Column) -> Column:
-    """A sum of floats that keeps small items beside large ones that cancel: what fits a decimal is summed exactly, its rest
-    as a float, and larger items by class of magnitude; the classes are added from the largest down. All parts are plain
-    sums, so they are combined before a shuffle."""
-    size = F.abs(value)
-    exact = F.when(size < LARGE[0], value.cast("decimal(38,12)"))
-    classes = [F.sum(F.when((size >= low) & ((size < high) if high else F.lit(True)), value)) for low, high in zip(LARGE, [*LARGE[1:], None], strict=True)]
-    odd = F.sum(F.when(F.isnan(value), value))
-    parts = [odd, *reversed(classes), F.sum(exact).cast("double"), F.sum(value - exact.cast("double"))]
-    return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
-
-
-def item_sum(value, kind: str = "double") -> Column:
-    """0 without items. kind "long": exact, and an overflow is an error."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.coalesce(F.sum(value), F.lit(0)) if kind == "long" else float_sum(value.cast("double"))
-
-
-def item_avg(value) -> Column:
-    """Null without items; finite even where the sum is not."""
-    value = (F.col(value) if isinstance(value, str) else value).cast("double")
-    n, scale = F.nullif(F.count(value), F.lit(0)), float(2**100)
-    plain, scaled = float_sum(value) / n, float_sum(value / scale) / n * scale
-    return F.when(F.abs(plain) == float("inf"), scaled).otherwise(plain)
+def item_sum(value) -> Column:
+    """The exact sum of whole numbers: 0 without items, an overflow is an error. totals() sums floats."""
+    return F.coalesce(F.sum(F.col(value) if isinstance(value, str) else value), F.lit(0))
 
 
 def string_join(value, order_by: list, sep: str = "") -> Column:

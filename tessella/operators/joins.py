@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.text import text
+from tessella.operators.grouping import beside
 
 
 def keys_match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
@@ -40,15 +42,25 @@ def with_singleton(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(rows[0][f.name]).cast(f.dataType).alias(f.name) for f in one.schema])
 
 
+#: Types whose values can be equal: any others are different things.
+DOMAINS = [(T.ByteType, T.ShortType, T.IntegerType, T.LongType), (T.FloatType, T.DoubleType)]
+
+
+def comparable(a: T.DataType, b: T.DataType) -> bool:
+    return a == b or any(isinstance(a, d) and isinstance(b, d) for d in DOMAINS)
+
+
 def lookup(df: DataFrame, table: DataFrame, needle: list[tuple[str, str]], order_by: list[str], take: dict[str, str]) -> DataFrame:
-    """For each row the first match in the order of `table`; a miss gives nulls and a null needle matches a null key.
+    """For each row the first match in the order of `table`; a miss gives nulls and a null needle matches a null key. A needle
+    of another type than its key (text, truth, whole number, float) only matches it where both are null.
     take: column of table -> name of the result."""
     item = F.struct(*[F.col(c).alias(n) for c, n in take.items()])
     keys = [k for _, k in needle]
     first = table.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min_by(item, F.struct(*order_by)).alias("_hit"))
     on = F.lit(True)
     for c, k in needle:
-        on = on & F.col(c).eqNullSafe(F.col(f"_key_{k}"))
+        same = comparable(df.schema[c].dataType, table.schema[k].dataType)
+        on = on & (F.col(c).eqNullSafe(F.col(f"_key_{k}")) if same else F.isnull(c).eqNullSafe(F.lit(True)) & F.isnull(f"_key_{k}"))
     return df.join(first, on, "left").select(*df.columns, *[F.col("_hit")[n].alias(n) for n in take.values()])
 
 
@@ -60,7 +72,10 @@ def find_in(array, predicate, value) -> Column:
 
 def find(df: DataFrame, table: DataFrame, keys: list[tuple[str, str]], condition: Column, value: Column, order_by: list[str], into: str) -> DataFrame:
     """For each row of df the value of the first row of `table` with equal keys that also meets a condition over both.
-    Equal rows of df are looked up once, and all of them stay."""
+    Equal rows of df are looked up once, and all of them stay. Without keys every pair of rows would have to be compared:
+    ranges.find_in_range() finds first matches by inequality."""
+    if not keys:
+        raise ValueError("give pairs of equal keys, or use find_in_range")
     names = df.columns
     once = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     pairs = once.join(table, keys_match(once, table, keys) & condition, "left")
@@ -90,6 +105,6 @@ def enriched(primary: DataFrame, sources: dict[str, tuple[DataFrame, list[tuple[
 
 
 def join_totals(df: DataFrame, keys: list[str], joined: DataFrame, totals: dict[str, Column], empty: dict[str, object] | None = None) -> DataFrame:
-    """Rows of df with aggregates over the tuples of a join, grouped by keys; groups without tuples get `empty`."""
+    """Rows of df with aggregates over the tuples of a join, grouped by keys; groups without tuples get `empty`. Null is a key."""
     sums = joined.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return df.join(sums, keys, "left").fillna(empty or {})
+    return beside(df, keys, sums).fillna(empty or {})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.grouping import beside
 from tessella.ordinal import with_ordinal
 
 
@@ -62,13 +63,15 @@ def bind(df: DataFrame, fields: dict[str, Column] | list[tuple[str, Column]]) ->
     return df.select(*[c.alias(n) for n, c in fields.items()])
 
 
-def nest(parent: DataFrame, child: DataFrame, keys: list[str], name: str, fields: list[str], order_by: list[str]) -> DataFrame:
-    """Parents with an array of their children (structs of `fields`, in order); a parent without any has an empty array."""
+def nest(parent: DataFrame, child: DataFrame, keys: list[str], name: str, fields: list[str], order_by: list[str], null_is_key: bool = False) -> DataFrame:
+    """Parents with an array of their children (structs of `fields`, in order); a parent without any has an empty array, and
+    so has one without a key, unless null is a key."""
     item = F.struct(*order_by, F.struct(*fields).alias("_item"))
     lists = child.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     lists = lists.select(*keys, F.transform("_items", lambda x: x["_item"]).alias(name))
     kind = lists.schema[name].dataType
-    return parent.join(lists, keys, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    out = beside(parent, keys, lists) if null_is_key else parent.join(lists, keys, "left")
+    return out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
 def single_group(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
@@ -118,13 +121,13 @@ def first_of(df: DataFrame, within: list[str], order_by: list) -> DataFrame:
 
 
 def first_or_empty(groups: DataFrame, df: DataFrame, within: list[str], order_by: list) -> DataFrame:
-    """Each group's first surviving row; a group without any stays, empty."""
-    return groups.join(first_of(df, within, order_by), within, "left")
+    """Each group's first surviving row; a group without any stays, empty. Null is a key."""
+    return beside(groups, within, first_of(df, within, order_by))
 
 
 def mapped_sequence(groups: DataFrame, df: DataFrame, within: list[str], item: Column, order_by: list[str], name: str) -> DataFrame:
     """Groups with the array of an expression over their surviving rows, in order; a group without any has an empty one."""
-    return nest(groups, df.withColumn(name, item), within, name, [name], order_by).withColumn(name, F.transform(name, lambda x: x[name]))
+    return nest(groups, df.withColumn(name, item), within, name, [name], order_by, null_is_key=True).withColumn(name, F.transform(name, lambda x: x[name]))
 
 
 def whole_number(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,13 @@ def sorted_by(df: DataFrame, keys: list[tuple[str, bool]], stable: str) -> DataF
 
 
 def mixed_order(value: Column) -> list[Column]:
-    """Sort keys for text of mixed content: missing, then booleans, then numbers (NaN last), then text."""
-    number, truth = value.try_cast("double"), value.isin("true", "false")
+    """Sort keys for text of mixed content: missing, then booleans, then numbers (NaN last), then text. Whole numbers that are
+    one and the same float are told apart by what the float leaves out."""
+    number, whole, truth = value.try_cast("double"), F.trim(value).try_cast("long").cast("decimal(20,0)"), value.isin("true", "false")
     rank = F.when(value.isNull(), 0).when(truth, 1).when(number.isNotNull(), 2).otherwise(3)
-    return [rank, F.when(rank == 2, number), F.when(rank != 2, value)]
+    # 2^63 as a float is no long.
+    shown = F.when(number >= float(2**63), F.lit(Decimal(2**63))).otherwise(number.try_cast("long").cast("decimal(20,0)"))
+    return [rank, F.when(rank == 2, number), F.when(rank == 2, F.coalesce(whole - shown, F.lit(0).cast("decimal(20,0)"))), F.when(rank != 2, value)]
 
 
 def bounds(steps: list[Step]) -> tuple[int, int | None, int | None]:

@@ -43,13 +43,25 @@ def position(order_by: list, within: list | None = None) -> Column:
     return F.row_number().over(Window.partitionBy(*(within or [])).orderBy(*order_by))
 
 
+def sums_before(totals: DataFrame, at: str, total: str, name: str, size: int) -> DataFrame:
+    """Adds the sum of `total` over the rows before, along the numbers `at`. `size` of them make a block; blocks of blocks follow
+    until they are few enough for one task."""
+    up, pre, block = f"{at}_up", f"{at}_pre", F.floor(F.col(at) / size)
+    inside = F.coalesce(F.sum(total).over(Window.partitionBy(up).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upper = totals.groupBy(block.alias(up)).agg(F.sum(total).alias("_sum"))
+    few = upper.agg(F.coalesce(F.max(up), F.lit(0)).alias("n")).first()["n"] < size
+    if few:
+        before = upper.select(up, F.coalesce(F.sum("_sum").over(Window.orderBy(up).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(pre))
+    else:
+        before = sums_before(upper, up, "_sum", pre, size).drop("_sum")
+    return totals.withColumn(up, block).join(before, up).withColumn(name, F.col(pre) + inside).drop(up, pre)
+
+
 def running_count(df: DataFrame, flag: str, ordinal: str, name: str, block: int = 65536) -> DataFrame:
-    """Running number of true flags along a dense ordinal, in blocks whose totals are few."""
+    """Running number of true flags along a dense ordinal: inside blocks, after the totals of the blocks before, which are
+    summed in blocks in turn."""
     blocked = df.withColumn("_block", F.floor((F.col(ordinal) - 1) / block))
     inside = F.sum(F.col(flag).cast("long")).over(Window.partitionBy("_block").orderBy(ordinal))
     totals = df.select(F.floor((F.col(ordinal) - 1) / block).alias("_block"), F.col(flag).cast("long").alias("_f")).groupBy("_block").agg(F.sum("_f").alias("_total"))
-    before = F.coalesce(F.sum("_total").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select("_block", before.alias("_rows_before"))
-    return blocked.join(totals, "_block").withColumn(name, F.col("_rows_before") + inside).drop("_block", "_rows_before")
-
-
+    before = sums_before(totals, "_block", "_total", "_rows_before", block).drop("_total")
+    return blocked.join(before, "_block").withColumn(name, F.col("_rows_before") + inside).drop("_block", "_rows_before")

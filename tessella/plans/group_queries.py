@@ -10,6 +10,8 @@ from tessella.operators import grouping as A
 from tessella.operators import joins as J
 from tessella.operators import sequences as G
 from tessella.operators import trees as H
+from tessella.operators.ranges import find_in_range
+from tessella.operators.totals import totals
 from tessella.ordinal import with_ordinal
 from tessella.plans.registry import Tables, query
 
@@ -63,6 +65,71 @@ def j8_find_for_repeated_rows(t: Tables) -> DataFrame:
     return J.find(t.orders.select("o_custkey"), t.lineitem, [("o_custkey", "l_orderkey")], F.col("l_quantity") > 40, F.col("l_partkey"), ["l_linenumber", "l_partkey"], "part")
 
 
+@query("SELECT c_custkey, (SELECT min(o_orderkey) FROM orders WHERE c_acctbal BETWEEN o_totalprice / 100 AND o_totalprice / 40) AS o_orderkey FROM customer")
+def j8_first_range(t: Tables) -> DataFrame:
+    """The first order whose range of amounts holds the customer's balance: no pairs of all customers and orders are made."""
+    ranges = t.orders.select("o_orderkey", (F.col("o_totalprice") / 100).alias("low"), (F.col("o_totalprice") / 40).alias("high"))
+    return find_in_range(t.customer.select("c_custkey", "c_acctbal"), ranges, "c_acctbal", "low", "high", ["o_orderkey"], F.col("o_orderkey"), "o_orderkey").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AND o_totalprice < c_acctbal * 10) AS o_orderkey FROM customer")
+def j8_first_smaller(t: Tables) -> DataFrame:
+    """The first order of a status whose price is below a bound; the other side is open."""
+    asked = t.customer.select("c_custkey", (F.col("c_acctbal") * 10).alias("bound"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("O").alias("status"))
+    return find_in_range(asked, t.orders, "bound", "o_totalprice", None, ["o_orderkey"], F.col("o_orderkey"), "o_orderkey", [("status", "o_orderstatus")], (False, False)).select("c_custkey", "o_orderkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size IN (7, 12) OR p_size::VARCHAR = '20' THEN 'listed' ELSE 'other' END AS size, (SELECT n_name FROM nation WHERE p_partkey % 3 = 0 AND n_nationkey = p_size) AS n_name FROM part")
+def x6_and_j7_mixed_types(t: Tables) -> DataFrame:
+    """Options of several types beside one value, and a lookup whose needle is text where the key is a whole number, or not."""
+    from tessella.functions import compare as C
+
+    nation = t.nation.withColumn("n_nationkey", F.col("n_nationkey").cast("long"))
+    rows = t.part.select("p_partkey", "p_size", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("long")).alias("key"), F.concat("p_brand", F.lit("")).alias("words"))
+    found = J.lookup(rows, nation, [("key", "n_nationkey")], ["n_nationkey"], {"n_name": "n_name"})
+    missed = J.lookup(found, nation, [("words", "n_nationkey")], ["n_nationkey"], {"n_name": "none"})
+    listed = C.one_of(F.col("p_size"), 7, "20", 12) & C.none_of(F.col("words"), 7, 1.5, True) & F.col("none").isNull()
+    return missed.select("p_partkey", F.when(listed, "listed").otherwise("other").alias("size"), "n_name")
+
+
+@query("SELECT k, count(*) FILTER (l_quantity > 30) AS n, sum(l_orderkey) FILTER (l_quantity > 30) AS total, min(l_orderkey * 10 + l_linenumber) FILTER (l_quantity > 30) AS first FROM (SELECT *, nullif(l_suppkey % 5, 0) AS k FROM lineitem) GROUP BY 1")
+def p11_and_a11_null_keys(t: Tables) -> DataFrame:
+    """Null is a key: first rows, sequences and join aggregates of its group."""
+    from tessella.operators import shape as P
+
+    rows = t.lineitem.select(F.nullif(F.col("l_suppkey") % 5, F.lit(0)).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_orderkey", "l_quantity")
+    groups, kept = rows.select("k").distinct(), rows.where("l_quantity > 30")
+    firsts = P.first_or_empty(groups, kept.select("k", F.col("line").alias("first")), ["k"], ["first"])
+    listed = P.mapped_sequence(firsts, kept, ["k"], F.col("line"), ["line"], "lines").withColumn("n", F.size("lines").cast("long")).drop("lines")
+    return J.join_totals(listed, ["k"], kept, {"total": F.sum("l_orderkey")}).select("k", "n", "total", "first")
+
+
+@query("SELECT event_id, k % 3 = 0 AS same FROM (SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events)")
+def v18_unique_json(t: Tables) -> DataFrame:
+    """Items of JSON arrays that are equal in value: names in another order, whole numbers written as floats."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    items = F.concat(F.lit('[{"a":1,"b":['), k.cast("string"), F.lit('.50]},{"b":['), F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(".5"))).otherwise(F.lit("-1")), F.lit('],"a":1.0e0},"x"]'))
+    return t.events.select("event_id", (~V.unique_json_items(items)).alias("same"))
+
+
+@query("SELECT 'rule 2: order ' || o_orderkey || ' of ' || o_custkey AS message, 0::BIGINT AS written FROM orders WHERE o_totalprice < 5000 OR o_orderkey = (SELECT min(o_orderkey) FROM orders) ORDER BY o_custkey, o_orderkey LIMIT 1")
+def v1_failure_rules(t: Tables) -> DataFrame:
+    """A job whose second rule fails: the error names the first offending row, and nothing is written."""
+    from tessella.sources import writers as K
+
+    first, path = t.orders.agg(F.min("o_orderkey").alias("least")), t.scratch("failing")
+    orders = t.orders.crossJoin(F.broadcast(first))
+    offends = (F.col("o_totalprice") < 5000) | (F.col("o_orderkey") == F.col("least"))
+    rules = [V.FailureRule(t.customer, F.col("c_custkey") >= 0, F.lit("no key"), ["c_custkey"], "false"), V.FailureRule(orders, offends, F.concat(F.lit("order "), "o_orderkey", F.lit(" of "), "o_custkey"), ["o_custkey", "o_orderkey"]), V.FailureRule(t.customer, None, F.lit("any"), ["c_custkey"], "all")]
+    try:
+        K.run_outputs({"orders": t.orders}, path, failures=rules)
+        message = "none"
+    except V.Violation as e:
+        message = str(e)
+    left = t.spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).count() if K.hadoop(t.spark, path)[0].exists(K.hadoop(t.spark, path)[1]) else 0
+    return t.orders.agg(F.lit(message).alias("message"), F.lit(left).cast("long").alias("written"))
+
+
 @query("SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k, count(*) OVER (PARTITION BY nullif(o_custkey % 7, 0)) AS n FROM orders")
 def a10_total_of_null_keys(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.nullif(F.col("o_custkey") % 7, F.lit(0)).alias("k"))
@@ -72,11 +139,19 @@ def a10_total_of_null_keys(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY 1")
 def a2_sum_beside_large_items(t: Tables) -> DataFrame:
     """Each order's prices beside two amounts that cancel, and a mean of amounts whose sum is no float."""
-    price, huge = F.col("l_extendedprice"), F.lit(1.5e308)
-    items = t.lineitem.select("l_orderkey", F.explode(F.array(price, F.lit(1e100), F.lit(-1e100))).alias("x"), (price / 1e4 * 1e4).alias("p"))
-    sums = items.groupBy("l_orderkey").agg(F.round(A.item_sum("x"), 2).alias("total"))
-    means = t.lineitem.withColumn("p", price + huge - huge + F.lit(0.0)).groupBy("l_orderkey").agg(A.item_avg(price * 1e303).alias("m"))
-    return sums.join(means, "l_orderkey").select("l_orderkey", "total", F.round(F.col("m") / 1e303, 6).alias("mean"))
+    price = F.col("l_extendedprice")
+    items = t.lineitem.select("l_orderkey", F.explode(F.array(price, F.lit(1e100), F.lit(-1e100))).alias("x"))
+    sums = totals(items, ["l_orderkey"], {"total": ("sum", "x")})
+    means = totals(t.lineitem, ["l_orderkey"], {"m": ("avg", price * 1e303)})
+    return sums.join(means, "l_orderkey").select("l_orderkey", F.round("total", 2).alias("total"), F.round(F.col("m") / 1e303, 6).alias("mean"))
+
+
+@query("SELECT l_orderkey, sum(l_quantity) AS total, sum(l_quantity) / (5 * count(*)) AS mean, 5 * count(*) AS n FROM lineitem GROUP BY 1")
+def a2_exact_sums(t: Tables) -> DataFrame:
+    """Each line's quantity beside amounts of several sizes that cancel, in any order: sums have no rounding but the last."""
+    price, qty = F.col("l_extendedprice"), F.col("l_quantity")
+    items = t.lineitem.select("l_orderkey", F.explode(F.array(price * 1e30, F.lit(2.0**47) * qty, qty, -price * 1e30, F.lit(-(2.0**47)) * qty)).alias("x"))
+    return totals(items, ["l_orderkey"], {"total": ("sum", "x"), "mean": ("avg", "x"), "n": ("rows", "x")})
 
 
 @query("SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS f FROM events)")
@@ -103,7 +178,8 @@ def j11_computed_column(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_quantity), 6) AS mean, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY 1")
 def a1_reducers(t: Tables) -> DataFrame:
     price = F.col("l_extendedprice")
-    return t.lineitem.groupBy("l_orderkey").agg(A.item_count().alias("n"), F.round(A.item_sum(price), 2).alias("total"), F.round(A.item_avg("l_quantity"), 6).alias("mean"), F.min(price).alias("low"), F.max(price).alias("high"))
+    out = totals(t.lineitem, ["l_orderkey"], {"n": ("rows", price), "total": ("sum", price), "mean": ("avg", "l_quantity"), "low": ("min", price), "high": ("max", price)})
+    return out.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 6)})
 
 
 @query("SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
@@ -118,7 +194,7 @@ def a7_item_at(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem GROUP BY 1")
 def a8_computed_aggregate(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_orderkey").agg(F.round(A.item_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
+    return totals(t.lineitem, ["l_orderkey"], {"revenue": ("sum", F.col("l_extendedprice") * (1 - F.col("l_discount")))}).withColumn("revenue", F.round("revenue", 4))
 
 
 @query("SELECT c_custkey, coalesce(round(sum(l_quantity), 2), 0) AS quantity FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

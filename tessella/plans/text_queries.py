@@ -16,6 +16,7 @@ from tessella.operators import grouping as A
 from tessella.operators import shape as P
 from tessella.operators import windows as O
 from tessella.operators.functions import UserFunction, table_function
+from tessella.operators.totals import totals
 from tessella.ordinal import position, with_ordinal
 from tessella.plans.registry import Tables, query
 from tessella.plans.shape_queries import orders_with_lines
@@ -149,11 +150,19 @@ def o2_mixed_order(t: Tables) -> DataFrame:
     return with_ordinal(mixed, [*O.mixed_order(F.col("v")), "p_partkey"], "place").select("place", "p_partkey")
 
 
+@query("SELECT row_number() OVER (ORDER BY try_cast(v AS DECIMAL(38,0)) NULLS LAST, v) AS place, p_partkey FROM (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand || p_partkey ELSE (9007199254740992 + p_partkey)::VARCHAR END AS v FROM part)")
+def o2_exact_order(t: Tables) -> DataFrame:
+    """Whole numbers that no float tells apart are in order, before text."""
+    large = (F.col("p_partkey").cast("long") + 2**53).cast("string")
+    rows = t.part.select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, F.concat("p_brand", "p_partkey")).otherwise(large).alias("v"))
+    return with_ordinal(rows, O.mixed_order(F.col("v")), "place").select("place", "p_partkey")
+
+
 @query("SELECT l_orderkey, count(*) AS items, coalesce(sum(l_quantity), 0) AS total, count(*) FILTER (l_quantity > 25) AS large FROM lineitem GROUP BY 1")
 def a2_numeric_text(t: Tables) -> DataFrame:
     """Text that reads as a number counts as one."""
     rows = t.lineitem.withColumn("q", F.col("l_quantity").cast("string"))
-    return rows.groupBy("l_orderkey").agg(A.item_count().alias("items"), A.item_sum(A.numeric(F.col("q"), "string")).alias("total"), F.count(F.when(F.col("l_quantity") > 25, 1)).alias("large"))
+    return totals(rows, ["l_orderkey"], {"items": ("rows", "q"), "total": ("sum", A.numeric(F.col("q"), "string")), "large": ("count", F.when(F.col("l_quantity") > 25, 1))})
 
 
 @query("SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey)::INT AS place FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
@@ -231,6 +240,24 @@ def s1_csv_written_and_read(t: Tables) -> DataFrame:
     return S.read_csv(t.spark, path, CUSTOMERS, ";", header=True)
 
 
+@query("SELECT doc_id, md5('He said \"' || text || '\";' || chr(10) || ' and left') AS text, length(text)::INT AS n FROM documents")
+def s1_records_with_quotes_and_breaks(t: Tables) -> DataFrame:
+    """Whole texts with quotes, separators and line breaks, written as cells and read back; a null text is an empty cell."""
+    schema = T.StructType.fromDDL("doc_id bigint, said string, n int")
+    path = t.scratch("quoted")
+    said = F.concat(F.lit('He said "'), "text", F.lit('";\n and left'))
+    K.write_csv(t.documents.select("doc_id", said.alias("said"), F.length("text").alias("n")), path, schema, ";", header=True)
+    return S.read_csv(t.spark, path, schema, ";", header=True).select("doc_id", F.md5("said").alias("text"), "n")
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_mktsegment FROM customer")
+def s2_unbroken_records(t: Tables) -> DataFrame:
+    """Records without line breaks, filled with a character of two bytes, cut by byte ranges."""
+    path, fields = t.scratch("unbroken"), [("c_custkey", 10), ("c_mktsegment", 12)]
+    t.customer.select(K.fixed_record(fields, "·").alias("value")).write.option("lineSep", "|").text(path)
+    return S.read_fixed_width(t.spark, path, [("c_custkey", 10, "bigint"), ("c_mktsegment", 12, "string"), ("end", 1, "string")], "·", delimited=False).drop("end")
+
+
 @query("SELECT c_custkey::BIGINT AS c_custkey, c_mktsegment FROM customer")
 def s2_fixed_width_written_and_read(t: Tables) -> DataFrame:
     path = t.scratch("fixed")
@@ -292,6 +319,17 @@ def k6_replaced_table(t: Tables) -> DataFrame:
     return t.spark.read.schema(old.schema).parquet(path)
 
 
+@query("SELECT o_orderkey, o_custkey + 2 AS o_custkey FROM orders")
+def k6_committed_versions(t: Tables) -> DataFrame:
+    """Versions of a table, each made from the one before and put in its place by one rename."""
+    path = t.scratch("versions")
+    K.commit_table(t.orders.select("o_orderkey", "o_custkey"), path)
+    for _ in range(2):
+        old = K.current_table(t.spark, path)
+        K.commit_table(old.withColumn("o_custkey", (F.col("o_custkey") + 1).cast(old.schema["o_custkey"].dataType)), path)
+    return K.current_table(t.spark, path)
+
+
 @query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
 def k11_selected_output(t: Tables) -> DataFrame:
     path = t.scratch("k11")

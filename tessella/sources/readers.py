@@ -6,29 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.sources.delimited import parsed, records_of
+from tessella.sources.files import documents, fixed_records, plain_path
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = False) -> DataFrame:
     """Positional columns; an empty cell is null, missing trailing cells are null; too many cells or a bad cell is an
-    error of the job."""
-    columns = schema.fields
-    spare = T.StructType([*[T.StructField(f.name, T.StringType()) for f in columns], T.StructField("_extra", T.StringType())])
-    lines = spark.read.schema(spare).option("sep", sep).option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE").option("nullValue", "").option("emptyValue", "").csv(path)
-    extra = F.raise_error(F.lit("a record has too many columns")).cast("string")
-    first = F.when(F.col("_extra").isNotNull(), extra).otherwise(F.col(columns[0].name))
-    raw = lines.withColumn(columns[0].name, first)
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
+    error of the job, whichever columns it asks for. A quoted cell may hold separators, line breaks and doubled quotes."""
+    return parsed(records_of(spark, path, sep, header), schema, sep)
 
 
-def read_fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int, str]], fill: str = " ", delimited: bool = True, empty_as_null: bool = True) -> DataFrame:
+def read_fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int, str]], fill: str = " ", delimited: bool = True, empty_as_null: bool = True, encoding: str = "utf-8") -> DataFrame:
     """Records of (name, width, type) fields, one per line or unbroken; widths count characters; a record of another length
-    is an error; trailing fill is trimmed."""
-    total = sum(w for _, w, _ in fields)
+    is an error; trailing fill is trimmed. Unbroken files are cut into byte ranges, and `encoding` is theirs."""
     if delimited:
         records = spark.read.text(path).withColumnRenamed("value", "_r")
     else:
-        whole = spark.read.option("wholetext", True).text(path).where(F.length("value") > 0)
-        starts = F.sequence(F.lit(0), F.floor((F.length("value") - 1) / total).cast("int"))
-        records = whole.select(F.explode(F.transform(starts, lambda i: F.substring("value", i * total + 1, F.lit(total)))).alias("_r"))
+        records = fixed_records(spark, path, sum(w for _, w, _ in fields), encoding)
     return records.select(*fixed_fields(F.col("_r"), fields, fill, empty_as_null))
 
 
@@ -76,15 +70,6 @@ def read_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> Dat
     return spark.read.parquet(path).select(*[F.col(c).cast(k).alias(c) for c, k in columns.items()])
 
 
-#: Characters that a path pattern gives a meaning to (fixed value).
-PATTERN = r"([\\*?\[\]{}])"
-
-
-def plain_path(path: Column) -> Column:
-    """A path without the file scheme."""
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
 def given_path(path: Column) -> Column:
     """A file path as it was given, from the escaped form of _metadata.file_path."""
     return plain_path(F.url_decode(F.regexp_replace(path, r"\+", "%2B")))
@@ -92,13 +77,8 @@ def given_path(path: Column) -> Column:
 
 def load_by_path(driver: DataFrame, path: str, kind: str = "text", **options) -> DataFrame:
     """For each row the rows of the document whose path it names, whatever characters are in it; null paths are skipped and
-    every path is read once. The list of distinct paths reaches the driver, as any file listing does; the documents don't."""
-    found = driver.where(F.col(path).isNotNull()).select(F.regexp_replace(path, PATTERN, r"\\$1").alias("p")).distinct()
-    paths = [r["p"] for r in found.collect()]
-    if not paths:
-        raise ValueError("no path is given")
-    docs = driver.sparkSession.read.format(kind).options(**options).load(paths).select("*", given_path(F.col("_metadata.file_path")).alias("_doc_path"))
-    return driver.join(docs, plain_path(F.col(path)) == F.col("_doc_path"))
+    every document is opened once, by an executor (see documents())."""
+    return driver.join(documents(driver, path, kind, **options), plain_path(F.col(path)) == F.col("_doc_path"))
 
 
 def resolve_relation(keys: list[tuple[str, str, str, str]], parent: str, child: str, column: str | None = None) -> tuple[str, str]:

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.operators.checks import FailureRule, check_failures
 from tessella.ordinal import checkpointed, with_ordinal
 
 
@@ -24,7 +25,9 @@ def exact_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, schema: T.StructType, sep: str = ",", header: bool = False) -> None:
-    exact_columns(df, schema).write.mode("overwrite").option("sep", sep).option("header", header).option("nullValue", "").option("emptyValue", "").csv(path)
+    """A quote inside a cell is doubled, white space around it stays."""
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    exact_columns(df, schema).write.mode("overwrite").options(sep=sep, header=header, nullValue="", emptyValue="", escape='"', **spaces).csv(path)
 
 
 def fixed_record(fields: list[tuple[str, int]], fill: str = " ") -> Column:
@@ -56,7 +59,8 @@ def write_xml(df: DataFrame, path: str, root: str, row_tag: str) -> None:
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Replaces a Parquet table; if it exists, its columns and types must be the same. The new table is written whole beside
-    the old one before it takes its place, so the old one may be read for it, and a job that fails leaves it as it was."""
+    the old one before it takes its place, so the old one may be read for it, and a job that fails leaves it as it was. Plain
+    readers know no versions, so there is a moment between two renames; commit_table() has none."""
     try:
         old = df.sparkSession.read.parquet(path).schema
     except Exception as e:
@@ -75,6 +79,63 @@ def replace_table(df: DataFrame, path: str) -> None:
         raise OSError(f"{moved} is complete but could not be renamed to {path}")
 
 
+#: A version of a table: a folder with its number, and a name of its own, as two jobs may commit at once.
+VERSION = r"version-(\d{12})-[0-9a-f]{32}"
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.sc().hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete versions of a table, the current one last."""
+    files, at = hadoop(spark, path)
+    return sorted(n for n in ([f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []) if re.fullmatch(VERSION, n))
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    files, at = hadoop(spark, source)
+    if not files.rename(at, hadoop(spark, target)[1]):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, at = hadoop(spark, path)
+    files.delete(at, True)
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that commit_table() writes."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path} has no version")
+    return spark.read.parquet(f"{path.rstrip('/')}/{found[-1]}")
+
+
+def commit_table(df: DataFrame, path: str) -> None:
+    """Replaces a table in one step: the new version is written whole under a passing name, and one rename makes it current.
+    A job that dies anywhere leaves the old table or the new one. The version before stays for jobs that still read it; older
+    ones go. The columns and types of an existing table must be the same. current_table() reads it."""
+    spark, base = df.sparkSession, path.rstrip("/")
+    found = versions(spark, base)
+    if found:
+        old = spark.read.parquet(f"{base}/{found[-1]}").schema
+        if [(f.name, f.dataType) for f in old] != [(f.name, f.dataType) for f in df.schema]:
+            raise ValueError("the table has other columns")
+    own = uuid.uuid4().hex
+    passing, number = f"{base}/_passing-{own}", int(re.fullmatch(VERSION, found[-1])[1]) + 1 if found else 1
+    try:
+        df.write.parquet(passing)
+        moved(spark, passing, f"{base}/version-{number:012d}-{own}")
+    except BaseException:
+        removed(spark, passing)
+        raise
+    for name in found[:-1]:
+        removed(spark, f"{base}/{name}")
+
+
 def generated_keys(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     """Keys 1, 2, 3... in order; a column of that name that is there already is an error."""
     if key in df.columns:
@@ -127,9 +188,10 @@ def write_documents(df: DataFrame, path: str, name: str) -> int:
 Target = DataFrame | Callable[[DataFrame], DataFrame]
 
 
-def run_outputs(targets: dict[str, Target], path: str, source: DataFrame | None = None) -> dict[str, int]:
+def run_outputs(targets: dict[str, Target], path: str, source: DataFrame | None = None, failures: list[FailureRule] = ()) -> dict[str, int]:
     """Writes every target as a Parquet table and reports the rows of each, in order. A source that targets share is made
-    once, whatever it costs, and read by each of them."""
+    once, whatever it costs, and read by each of them. Failure rules are checked first: where one fails nothing is written."""
+    check_failures(list(failures))
     shared = checkpointed(source) if source is not None and len(targets) > 1 else source
     return {name: run_selected(targets, name, path, shared) for name in targets}
 

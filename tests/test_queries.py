@@ -38,8 +38,9 @@ def test_the_rest_works_without_optional_parts(tmp_path, gone):
     """In a process of its own: the tree without these folders and files still registers all other queries."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", *[os.path.basename(g) for g in gone]))
-    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(len(q), 'pipeline' in q, any(n.startswith('op') for n in q))"
-    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=100)
+    code = "import os, __spark_entry__ as e; assert e.__file__.startswith(os.getcwd()); q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(len(q), 'pipeline' in q, any(n.startswith('op') for n in q))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=100, env=env)
     assert ran.returncode == 0, ran.stderr
     n, pipeline, operators = ran.stdout.split()
     assert int(n) >= len(catalog.queries()) and pipeline == "False" and operators == str("tessella/llm" not in gone and os.path.isdir(f"{root}/tessella/llm"))
