@@ -42,6 +42,8 @@ REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 #: A row's code: its kind, then its fault (none, blank, duplicate, truncated).
 KINDS, FAULTS = "suax", "-bdt"
 LEGAL = {"su", "ua", "au"}
+#: Parts of conversations that a task derives: their rows are short, so tasks by size would be few and long.
+TASK = 2048
 #: (rows before, state).
 Item = tuple[int, int]
 
@@ -187,6 +189,7 @@ def audits(lines: DataFrame) -> DataFrame:
     faults and of illegal neighbours."""
     coded = with_faults(lines).groupBy("conv_id", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]), "").alias("codes"))
     parts = stored(coded)
+    tasks = -(-parts.count() // TASK) or 1
     split = lambda codes: [codes[i : i + 2] for i in range(0, len(codes), 2)]
 
     def summary(row: dict) -> Iterator[tuple]:
@@ -200,7 +203,7 @@ def audits(lines: DataFrame) -> DataFrame:
         yield row["conv_id"], (row["part"], [x[0] if x else -1 for q in STATES for x in found[q]], ranks, kinds[0], kinds[-1], [faults.count(f) for f in "bdt"], illegal_pairs(kinds))
 
     item = "p struct<part:int,costs:array<bigint>,ranks:array<int>,first:string,last:string,faults:array<bigint>,illegal:bigint>"
-    summed = mapped(parts, summary, struct(parts, ["conv_id"], item)).groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    summed = mapped(parts.repartition(tasks), summary, struct(parts, ["conv_id"], item)).groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
 
     def settled(row: dict) -> Iterator[tuple]:
         ps = row["ps"]
@@ -218,7 +221,7 @@ def audits(lines: DataFrame) -> DataFrame:
         text = read_audit(final, (0, row["begin"])) + (CLOSING[row["end"]][1] if row["closes"] else "")
         yield row["conv_id"], row["part"], row["begin"], text, row["parts"], *(row[c] for c in ("blank", "duplicate", "truncated", "illegal", "cost"))
 
-    joined = beside(parts, ["conv_id", "part"], borders)
+    joined = beside(parts, ["conv_id", "part"], borders).repartition(tasks)
     return stored(mapped(joined, audit, struct(parts, ["conv_id", "part"], f"begin int, audit string, parts int, {counts}")))
 
 
@@ -318,8 +321,7 @@ def repair_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a row for each conversation, the repaired rows) of rows (conv_id, turn, role, text, present).
 
     A conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit. A row whose `present` is false only
-    says that its conversation exists; one without any row has zeros and an empty audit, and so has one that can only be
-    deleted but for the cost. Null ids are a conversation of their own, null roles and texts one space, null turns come
+    says that its conversation exists; one without any row has zeros and an empty audit. Null ids are a conversation of their own, null roles and texts one space, null turns come
     first. Rows of equal turns go by role, then by text (see ordered()). Other columns don't matter; an empty table gives none.
     """
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c)
