@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 #: Tags that do not break a block (fixed values: HTML's phrasing content, and MathML's elements).
@@ -24,13 +25,48 @@ FLOW = set("address article aside blockquote body center dd details dialog dir d
 TOKEN = re.compile(r"[a-z]+")
 
 
+#: Tags that shape text inside the container that it belongs to (fixed values); table cells may be containers of a layout.
+SHAPES = set("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption ul ol menu li dl dt dd".split())
+CELLS = set("table caption colgroup thead tbody tfoot tr td th".split())
+#: A tag of training pages that carries a mark and is otherwise not there.
+TRANSPARENT = "x-marked"
+#: What hides an element besides its tag.
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+
+
+class Element:
+    """An element and, through its parent, all around it. What blocks ask of their surroundings is kept here once, so that
+    a block deep in a page costs no more than one near its root."""
+
+    __slots__ = ("tag", "names", "mark", "parent", "hidden", "linked", "own", "around", "home", "outer")
+
+    def __init__(self, tag: str, names: tuple[str, ...], mark: str | None, parent: Element | None, hidden: bool):
+        self.tag, self.names, self.parent, self.hidden = tag, names, parent, hidden
+        self.mark = mark if mark is not None or parent is None else parent.mark
+        self.linked = tag == "a" or (parent is not None and parent.linked)
+        #: The nearest tag that breaks a block; the tags and names around a block, as features.
+        around, new = parent.around if parent else frozenset(), {f"in {tag}", *(f"name {x}" for x in names)}
+        if tag == TRANSPARENT and parent is not None:
+            self.own, self.around, self.home, self.outer = parent.own, around, parent.home, parent.outer
+            return
+        self.own = tag if tag not in INLINE or parent is None else parent.own
+        self.around = around if new <= around else around | new
+        #: The nearest container of its text, with table cells as containers and without.
+        self.home = parent.home if parent is not None and (tag in SHAPES or tag in INLINE) else self
+        self.outer = parent.outer if parent is not None and (tag in SHAPES or tag in INLINE or tag in CELLS) else self
+
+
 class Block:
-    """text: white space already as one space. path: (tag, class and id tokens) from the root on."""
+    """text: white space already as one space. inside: its innermost element, None for text outside of all."""
 
-    __slots__ = ("text", "path", "linked", "mark")
+    __slots__ = ("text", "inside", "linked")
 
-    def __init__(self, text: str, path: list[tuple[str, tuple[str, ...]]], linked: int, mark: str | None):
-        self.text, self.path, self.linked, self.mark = text, path, linked, mark
+    def __init__(self, text: str, inside: Element | None, linked: int):
+        self.text, self.inside, self.linked = text, inside, linked
+
+    @property
+    def mark(self) -> str | None:
+        return self.inside.mark if self.inside else None
 
 
 class Blocks(HTMLParser):
@@ -44,28 +80,29 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.mark_by, self.stack, self.parts, self.linked, self.found, self.hidden = mark_by, [], [], 0, [], 0
         self.endless, self.unclosed, self.numbers, self.n_hidden = endless, set(), [], 0
+        self.open: Counter[str] = Counter()
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path = [(t, names) for t, names, _ in self.stack]
-                mark = next((m for _, _, m in reversed(self.stack) if m is not None), None)
-                self.found.append(Block(text, path, self.linked, mark))
+                self.found.append(Block(text, self.stack[-1] if self.stack else None, self.linked))
             self.parts, self.linked = [], 0
 
     def pop(self, to: int, ended: bool = False) -> None:
         """Leave the elements from place `to` on; `ended` if the first of them has its end tag here."""
-        n = sum(t in HIDDEN for t, _, _ in self.stack[to:])
+        n = sum(e.hidden for e in self.stack[to:])
+        for e in self.stack[to:]:
+            self.open[e.tag] -= 1
         if n:
-            if not (ended and self.stack[to][0] in HIDDEN):
+            if not (ended and self.stack[to].hidden):
                 self.unclosed.update(self.numbers[-n:])
             self.hidden -= n
             del self.numbers[-n:]
         del self.stack[to:]
 
     def end_head(self) -> None:
-        if self.stack and self.stack[-1][0] == "head":
+        if self.stack and self.stack[-1].tag == "head":
             self.pop(len(self.stack) - 1, ended=True)
 
     def end_endless(self) -> None:
@@ -74,7 +111,7 @@ class Blocks(HTMLParser):
         while inner < len(self.numbers) and self.numbers[-1 - inner] in self.endless:
             inner += 1
         if inner:
-            self.pop([i for i, (t, _, _) in enumerate(self.stack) if t in HIDDEN][-inner])
+            self.pop([i for i, e in enumerate(self.stack) if e.hidden][-inner])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in IN_HEAD:
@@ -91,18 +128,20 @@ class Blocks(HTMLParser):
             if not self.hidden:
                 self.flush()
             for i in range(len(self.stack) - 1, -1, -1):
-                t = self.stack[i][0]
-                if t == "p" or tag in CLOSED_BY.get(t, ()):
+                e = self.stack[i]
+                if e.tag == "p" or tag in CLOSED_BY.get(e.tag, ()):
                     self.pop(i)
                     break
-                if t not in INLINE or t in HIDDEN:
+                if e.tag not in INLINE or e.hidden:
                     break
-            while self.stack and self.stack[-1][0] in INLINE and self.stack[-1][0] != "a" and self.stack[-1][0] not in HIDDEN:
+            while self.stack and self.stack[-1].tag in INLINE and self.stack[-1].tag != "a" and not self.stack[-1].hidden:
                 self.pop(len(self.stack) - 1)  # left open before a block: it ends with the block it stood in
         named = dict(attrs)
         names = tuple(TOKEN.findall(f"{named.get('class') or ''} {named.get('id') or ''} {named.get('role') or ''}".lower()))
-        self.stack.append((tag, names, named.get(self.mark_by) if self.mark_by else None))
-        if tag in HIDDEN:
+        hidden = tag in HIDDEN or "hidden" in named or bool(NOT_SHOWN.search(named.get("style") or ""))
+        self.stack.append(Element(tag, names, named.get(self.mark_by) if self.mark_by else None, self.stack[-1] if self.stack else None, hidden))
+        self.open[tag] += 1
+        if hidden:
             self.numbers.append(self.n_hidden)
             self.hidden += 1
             self.n_hidden += 1
@@ -110,11 +149,13 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE and not self.hidden:
             self.flush()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 self.pop(i, ended=True)
                 return
-            if tag in INLINE and tag not in HIDDEN and self.stack[i][0] not in INLINE:
+            if tag in INLINE and tag not in HIDDEN and self.stack[i].tag not in INLINE:
                 return
 
     def handle_data(self, data: str) -> None:
@@ -122,7 +163,7 @@ class Blocks(HTMLParser):
             self.end_head()
         if not self.hidden:
             self.parts.append(data)
-            if any(t == "a" for t, _, _ in self.stack):
+            if self.stack and self.stack[-1].linked:
                 self.linked += len(data)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import table
-from tessella.llm.html_blocks import INLINE, Block, leaf_blocks
+from tessella.llm.html_blocks import TRANSPARENT, Block, leaf_blocks
 
 #: Size of the hashed feature space.
 DIM = 1 << 14
@@ -21,7 +22,7 @@ DIM = 1 << 14
 #: features, so the model has to know main text by all else.
 MAIN_TAGS = ("article", "main")
 #: Tags and names of what is no main text even inside those (fixed values).
-ASIDE_TAGS, ASIDE_NAMES = {"nav", "aside", "footer", "form"}, {"comment", "comments", "respond", "replies"}
+ASIDES = {"in nav", "in aside", "in footer", "in form", "name comment", "name comments", "name respond", "name replies"}
 #: Furniture that training pages hold besides what pages have themselves: (markup before, markup after).
 FURNITURE = [
     ('<aside class="sidebar"><p>', "</p></aside>"),
@@ -37,6 +38,8 @@ FURNITURE = [
     ('<div class="bottom footer"><p>', "</p></div>"),
     ('<table><tr><td class="sidebar nav"><p>', "</p></td></tr></table>"),
     ('<div class="ad advert sponsored"><p>', "</p></div>"),
+    ('<table><tr><td class="nav"><a href="/a">', '</a><br><a href="/b">more</a></td></tr></table>'),
+    ('<div class="nav top"><a href="/">', "</a></div>"),
     ('<header class="site-header"><a href="/">', "</a></header>"),
     ('<nav class="menu navbar"><ul><li><a href="/a">', '</a></li><li><a href="/b">more</a></li></ul></nav>'),
     ('<div class="footer copyright"><p>', "</p></div>"),
@@ -51,7 +54,7 @@ FURNITURE = [
 #: Further training pages that are made of each page.
 VARIANTS = 4
 #: Containers that stand in for <article> in the variants.
-CONTAINERS = [("<main>", "</main>"), ("<div>", "</div>"), ('<div class="content post-body">', "</div>"), ('<div id="article-text" class="entry">', "</div>"), ('<section class="story main">', "</section>"), ("<table><tr><td>", "</td></tr></table>"), ('<div class="c inner wrap">', "</div>"), ('<div class="col row"><div id="content">', "</div></div>"), ('<div class="page"><div class="text">', "</div></div>")]
+CONTAINERS = [("<main>", "</main>"), ("<div>", "</div>"), ('<div class="content post-body">', "</div>"), ('<div id="article-text" class="entry">', "</div>"), ('<section class="story main">', "</section>"), ("<table><tr><td>", "</td></tr></table>"), ('<div class="c inner wrap">', "</div>"), ('<div class="col row"><div id="content">', "</div></div>"), ('<div class="page"><div class="text">', "</div></div>"), (f"<{TRANSPARENT}>", f"</{TRANSPARENT}>")]
 #: Sentences of the pages that training always has, so that a table without any page that labels itself has a model too.
 SEED = ["The river rose over its banks in the spring and the mill stood under water for a week.", "Nobody in the village had seen such a flood before; the oldest spoke of one in their childhood.", "When the water fell, the road to the harbour was gone, and the bridge with it.", "What is to be done about it was argued all summer.", "A new bridge came two years later.", "It stands today, though the mill does not, and boats pass below it from May to October."]
 
@@ -65,22 +68,38 @@ def seed_pages() -> list[str]:
     return out
 
 
-def block_features(block: Block, at: int, n: int) -> list[int]:
-    """Hashed features of a block: the tags and names around it, and the shape of its text."""
-    text, tags = block.text, [t for t, _ in block.path if t not in MAIN_TAGS]
+#: Words of a block that counts as running text, and features that say nothing.
+RUNNING, PLAIN = 10, {f"in {t}" for t in ("html", "body", "b", "br", "div", *MAIN_TAGS)}
+
+
+def running_text(blocks: list[Block]) -> Counter:
+    """How much running text each container of a page holds, in blocks."""
+    out: Counter = Counter()
+    for b in blocks:
+        if b.inside and b.text.count(" ") >= RUNNING and 2 * b.linked < len(b.text):
+            out.update({b.inside.home, b.inside.outer})
+    return out
+
+
+def block_features(block: Block, at: int, n: int, running: Counter = Counter()) -> list[int]:
+    """Hashed features of a block: the tags and names around it, the shape of its text, the running text beside it."""
+    text, inside = block.text, block.inside
     words = text.count(" ") + 1
     marks = text.count(".") + text.count(",") + text.count("!") + text.count("?")
     size = min(words.bit_length(), 8)
-    own = next((t for t in reversed(tags) if t not in INLINE), "none")
+    own = inside.own if inside else "none"
+    own = "none" if own in MAIN_TAGS else own
     out = {"own " + own, f"words {size}", f"link {min(4, 4 * block.linked // max(1, len(text)))}", f"end {text[-1] in '.!?:'}", f"marks {min(marks.bit_length(), 5)}", f"{own} {size}", f"first {at == 0}", f"last {at == n - 1}", "bias"}
-    out |= {"in " + t for t in tags if t not in ("html", "body", "b", "br", "div")}
-    out |= {"name " + x for _, names in block.path for x in names}
+    if inside:
+        beside, around = running[inside.home], running[inside.outer]
+        out |= {f"beside {min(beside.bit_length(), 3)}", f"around {min(around.bit_length(), 3)}"} | (inside.around - PLAIN)
     return sorted(zlib.crc32(f.encode()) % (DIM - 1) + 1 for f in out)
 
 
 def feature_rows(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all blocks in one array, and where each block's begin; every block has some."""
-    rows = [block_features(b, i, len(blocks)) for i, b in enumerate(blocks)]
+    running = running_text(blocks)
+    rows = [block_features(b, i, len(blocks), running) for i, b in enumerate(blocks)]
     sizes = np.array([len(r) for r in rows])
     return np.concatenate(rows).astype(np.int32), np.cumsum(sizes) - sizes
 
@@ -104,7 +123,7 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def fit_crf(chains: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], rounds: int = 80, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_crf(chains: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], rounds: int = 240, l2: float = 1e-4, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
     """Weights (DIM, 2) and moves (2, 2) by maximum likelihood: gradients from forward and backward sums over all chains
     at once (chains are padded to the longest), Adam steps."""
     n, long = len(chains), max(len(y) for _, y in chains)
@@ -140,9 +159,42 @@ def fit_crf(chains: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], roun
     return w[0], w[1]
 
 
+def shaped_text(filler: list[str], rng: np.random.Generator) -> list[str]:
+    """Markup that articles hold besides paragraphs, filled with short phrases without a full stop, numbers and code."""
+
+    def phrase(most: int) -> str:
+        words = filler[rng.integers(len(filler))].split()
+        at = int(rng.integers(max(1, len(words) - most)))
+        return " ".join(words[at : at + 1 + int(rng.integers(most))]).strip(".,!?;: ") or "and so on"
+
+    def some(tag: str, n: int, most: int) -> str:
+        return "".join(f"<{tag}>{phrase(most)}</{tag}>" for _ in range(n))
+
+    n = int(rng.integers(2, 6))
+    code = " ".join(f"{phrase(1)} = {phrase(1)}({rng.integers(99)});" for _ in range(n))
+    cells = "".join(f"<tr><td>{phrase(3)}</td><td>{rng.integers(9999)}</td></tr>" for _ in range(n))
+    return [
+        f"<ul>{some('li', n, 8)}</ul>",
+        f"<ol>{some('li', n, 14)}</ol>",
+        f"<ul>{some('li', n, 2)}</ul>",
+        f"<pre>{code}</pre>",
+        f"<pre><code>{code}</code></pre>",
+        f"<table><tr>{some('th', 2, 2)}</tr>{cells}</table>",
+        f"<table><caption>{phrase(6)}</caption><tbody>{cells}</tbody></table>",
+        f'<figure><img src="/i.png" alt=""><figcaption>{phrase(12)}</figcaption></figure>',
+        f"<blockquote><p>{phrase(20)}</p></blockquote>",
+        f"<dl><dt>{phrase(2)}</dt><dd>{phrase(12)}</dd></dl>",
+        f"<h2>{phrase(5)}</h2>",
+        f"<h3>{phrase(4)}</h3>",
+        f'<p>{phrase(9)} <a href="/x">{phrase(3)}</a>.</p>',
+        f'<ul><li>{phrase(6)} <a href="/y">{phrase(2)}</a></li><li>{phrase(7)}</li></ul>',
+    ]
+
+
 def labelled_variants(html: str, filler: list[str], number: int) -> list[str]:
     """A page that labels itself (its text stands in <article> or <main>) as training pages, with data-main marks: as it
-    is, and in other containers with furniture around and inside its main text."""
+    is, with lists, tables, code and captions in its text, cut to one and two short paragraphs, and in other containers with
+    furniture around and inside."""
     opening = re.search(rf"<({'|'.join(MAIN_TAGS)})\b[^>]*>", html)
     tag = opening[1] if opening else ""
     if not opening or f"</{tag}>" not in html[opening.end() :]:
@@ -150,39 +202,54 @@ def labelled_variants(html: str, filler: list[str], number: int) -> list[str]:
     before, rest = html[: opening.start()], html[opening.end() :]
     body, _, after = rest.rpartition(f"</{tag}>")
     mark = lambda s, v: s.replace(">", f' data-main="{v}">', 1)
-    out = [before + mark(opening[0], 1) + body + f"</{tag}>{after}"]
     rng = np.random.default_rng(number)
+
+    def enriched(body: str) -> str:
+        """The text with markup of several shapes between its paragraphs and after them."""
+        shapes = shaped_text(filler, rng)
+        cuts = [m.start() for m in re.finditer("<p>", body)][1:] + [len(body)]
+        places = sorted(int(c) for c in rng.choice(cuts, size=int(rng.integers(2, 6))))
+        parts = [body[a:b] for a, b in zip([0, *places], [*places, len(body)], strict=True)]
+        return "".join(p + s for p, s in zip(parts, [*(shapes[k] for k in rng.permutation(len(shapes))[: len(places)]), ""], strict=True))
+
+    short = re.sub(r"(<p>[^<.]*\.)[^<]*", r"\1", body)
+    ends = [m.start() for m in re.finditer("<p>", short)][1:] + [len(short)]
+    out = [before + mark(opening[0], 1) + text + f"</{tag}>{after}" for text in (body, enriched(body), short[: ends[0]], short[: ends[min(1, len(ends) - 1)]])]
     for turn in range(VARIANTS):
         opened, closed = CONTAINERS[(VARIANTS * number + turn) % len(CONTAINERS)]
         extra = [mark(a, 0) + filler[rng.integers(len(filler))] + b for a, b in (FURNITURE[k] for k in rng.permutation(len(FURNITURE))[:9])]
-        cuts = [m.start() for m in re.finditer("<p>", body)][1:] + [len(body)]
+        # Every other one has short paragraphs: their first sentence.
+        text = enriched(short if turn % 2 else body)
+        cuts = [m.start() for m in re.finditer("<p>", text)][1:] + [len(text)]
         one, two = sorted(cuts[i] for i in rng.integers(len(cuts), size=2))
-        inside = body[:one] + extra[0] + body[one:two] + extra[1] + body[two:]
+        inside = text[:one] + extra[0] + text[one:two] + extra[1] + text[two:]
         k = rng.integers(2, 9)
         out.append(before + "".join(extra[2:k]) + mark(opened, 1) + inside + closed + "".join(extra[k:]) + after)
     return out
 
 
 def main_label(block: Block) -> int:
-    aside = any(t in ASIDE_TAGS or not ASIDE_NAMES.isdisjoint(names) for t, names in block.path)
+    aside = block.inside is not None and not block.inside.around.isdisjoint(ASIDES)
     return int(block.mark == "1" and not aside)
 
 
-def train(pages: DataFrame, n_pages: int = 80, run: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: DataFrame, n_pages: int = 240, n_varied: int = 80, run: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Weights and moves.
 
     Bound on the training sample: n_pages pages, whole, of those whose own markup labels them - the ones of the smallest
-    hash of page_id; where an id has several pages, that of the least hash. Only ids are sorted for it, and only the chosen
-    pages reach the driver. A chain of more than `run` blocks trains as several. SEED pages are always in the sample.
+    hash of page_id; where an id has several pages, that of the least hash. The first n_varied of them train in all
+    variants, the others as they are. Only ids are sorted for it, and only the chosen pages reach the driver. A chain of more than `run` blocks trains as several. SEED pages are always in the sample.
     """
     tagged = pages.where(F.col("html").rlike(rf"<({'|'.join(MAIN_TAGS)})\b[^>]*>") & F.col("page_id").isNotNull())
     chosen = tagged.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages)
     got = tagged.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html"))
-    sample = [r["html"] for r in sorted(got.collect(), key=lambda r: str(r["page_id"]))] + seed_pages()
+    rows = sorted(got.collect(), key=lambda r: (zlib.crc32(str(r["page_id"]).encode()), str(r["page_id"])))
+    varied = min(n_varied, len(rows))
+    sample = [r["html"] for r in rows[:varied]] + seed_pages() + [r["html"] for r in rows[varied:]]
     filler = [b.text.replace("&", "&amp;").replace("<", "&lt;") for h in sample[:20] + seed_pages()[:2] for b in leaf_blocks(h)]
     chains = []
     for i, html in enumerate(sample):
-        for page in labelled_variants(html, filler, i):
+        for page in labelled_variants(html, filler, i)[: None if i < varied + len(SEED) * 2 else 1]:
             blocks = leaf_blocks(page, "data-main")
             if blocks:
                 (flat, first), labels = feature_rows(blocks), np.array([main_label(b) for b in blocks])
