@@ -27,7 +27,7 @@ from tessella.llm.common import stored, table
 TUPLE = 32
 #: Multiplier of the rolling hash; any odd number serves.
 MUL = 0x9E3779B97F4A7C15
-#: Bytes whose suffixes a task sorts at once, and bytes of a group beyond which it is dealt as single windows.
+#: Bytes whose windows a task compares at once, and bytes of a group beyond which it is dealt as single windows.
 CHUNK, HOT = 1 << 20, 6 << 20
 #: Bytes of bodies, and number of samples, among which a task looks for equal ones before they are dealt.
 MEET, MEET_SAMPLES = 16 << 20, 1 << 19
@@ -85,8 +85,8 @@ def as_bytes(text: str | None) -> bytes:
 
 
 def repeated_samples(docs: DataFrame, window: int) -> DataFrame:
-    """(_k, sample, name): numbers of the sampled positions, by document key, whose tuple occurs twice or more. Rows with a
-    name and nulls besides tell tuples that occur so often that their surroundings may hold more than HOT bytes.
+    """(_k, sample, name): numbers of the sampled positions, by document key, whose tuple occurs twice or more, and its name.
+    Rows with a name and nulls besides tell tuples that occur so often that their surroundings may hold more than HOT bytes.
 
     Rows of a tuple that meet in a task are known to be repeated; one of them, with their number, goes to the tuple's own
     partition (n above 1), the others (n = 0) anywhere, so a tuple costs its partition one row per MEET_SAMPLES samples.
@@ -117,8 +117,8 @@ def repeated_samples(docs: DataFrame, window: int) -> DataFrame:
             yield met()
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(key: np.ndarray, at: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
-            cols = [pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(key), pa.int64())]
+        def found(key: np.ndarray, at: np.ndarray, of: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+            cols = [pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(of, pa.int64())]
             more = [pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int32()), pa.array(often, pa.int64())]
             return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(cols, more, strict=True)], ["_k", "sample", "name"])
 
@@ -127,7 +127,7 @@ def repeated_samples(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(4)]
             sent = cols[3] > 0
-            yield found(cols[1][~sent], cols[2][~sent], none)
+            yield found(cols[1][~sent], cols[2][~sent], cols[0][~sent], none)
             name, key, at, n = (np.concatenate([x, y[sent]]) for x, y in zip(last, cols, strict=True))
             if not len(name):
                 continue
@@ -135,10 +135,10 @@ def repeated_samples(docs: DataFrame, window: int) -> DataFrame:
             total = np.add.reduceat(n, starts)
             keep = np.repeat(total > 1, np.diff(np.append(starts, len(name))))
             keep[-1] = False
-            yield found(key[keep], at[keep], name[starts[:-1]][total[:-1] > most])
+            yield found(key[keep], at[keep], name[keep], name[starts[:-1]][total[:-1] > most])
             last = [name[-1:], key[-1:], at[-1:], total[-1:]]
         name, key, at, n = last
-        yield found(key[n > 1], at[n > 1], name[n > most])
+        yield found(key[n > 1], at[n > 1], name[n > 1], name[n > most])
 
     rows = docs.where(F.octet_length("text") >= window).select("_k", "text").mapInArrow(tuples, "name long, _k long, sample int, n long")
     place = F.when(F.col("n") > 0, F.col("name")).otherwise(F.xxhash64("_k", "sample"))
@@ -153,14 +153,15 @@ def surroundings(docs: DataFrame, samples: DataFrame, window: int) -> DataFrame:
     group, known to be covered. Tuples that repeated_samples() tells to be frequent have no group: their bodies leave as
     windows, each a digest that stands for its own group, and windows that meet in a task are treated as bodies are.
     """
-    lists = samples.where("_k is not null").groupBy("_k").agg(F.collect_set("sample").alias("samples"))
-    often = np.array([r["name"] for r in samples.where("name is not null").select("name").collect()], np.int64)
+    often = samples.where("_k is null").select("name", F.lit(True).alias("_often"))
+    marked = samples.where("_k is not null").join(often, "name", "left")
+    lists = marked.groupBy("_k").agg(F.collect_set("sample").alias("samples"), F.collect_set(F.when(F.col("_often"), F.col("sample"))).alias("often"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ["name", "doc_id", "_h", "start", "stop", "known", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        held, names, starts, bodies, size = [], [], [], [], 0
+        held, names, starts, bodies, frequent, size = [], [], [], [], [], 0
 
         def out(rows: pa.RecordBatch, of: np.ndarray, name: np.ndarray, start: np.ndarray, length: np.ndarray, known: np.ndarray, body: pa.Array) -> pa.RecordBatch:
             took = rows.take(pa.array(of, pa.int64()))
@@ -176,7 +177,7 @@ def surroundings(docs: DataFrame, samples: DataFrame, window: int) -> DataFrame:
             first = np.array([seen.setdefault(x, i) for i, x in enumerate(zip(names, bodies, strict=True))])
             known = np.bincount(first, minlength=len(first))[first] > 1
             yield spans(rows, np.flatnonzero(known), start[known], length[known])
-            one, hot = first == np.arange(len(first)), np.isin(name, often)
+            one, hot = first == np.arange(len(first)), np.array(frequent)
             of = np.flatnonzero(one & ~hot)
             yield out(rows, of, name[of], start[of], length[of], known[of], pa.array([bodies[i] for i in of], pa.binary()))
             of = np.flatnonzero(one & hot)
@@ -207,8 +208,8 @@ def surroundings(docs: DataFrame, samples: DataFrame, window: int) -> DataFrame:
             for i in range(0, batch.num_rows, 32):
                 part = batch.slice(i, 32)
                 of = []
-                for r, (text, chosen) in enumerate(zip(part.column("text").to_pylist(), part.column("samples").to_pylist(), strict=True)):
-                    b = as_bytes(text)
+                for r, (text, chosen, often) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "samples", "often")), strict=True)):
+                    b, often = as_bytes(text), set(often)
                     _, first, name = sampled(hasher, np.frombuffer(b, np.uint8), window)
                     ends = np.append(first[1:], len(b) - window + 1) - 1 + window
                     for s in sorted(c for c in chosen if c < len(first)):
@@ -216,17 +217,18 @@ def surroundings(docs: DataFrame, samples: DataFrame, window: int) -> DataFrame:
                         names.append(int(name[s]))
                         starts.append(int(first[s]))
                         bodies.append(b[first[s] : ends[s]])
+                        frequent.append(s in often)
                         size += len(bodies[-1])
                 held.append(part.select(["doc_id", "_h"]).take(pa.array(of, pa.int64())))
                 if size > MEET:
                     yield from met()
-                    for x in (held, names, starts, bodies):
+                    for x in (held, names, starts, bodies, frequent):
                         x.clear()
                     size = 0
         if bodies:
             yield from met()
 
-    return docs.join(lists, "_k").select("doc_id", "_h", "text", "samples").mapInArrow(run, f"name long, doc_id {kind}, _h long, start int, stop int, known boolean, body binary")
+    return docs.join(lists, "_k").select("doc_id", "_h", "text", "samples", "often").mapInArrow(run, f"name long, doc_id {kind}, _h long, start int, stop int, known boolean, body binary")
 
 
 def same_windows(hasher: Hasher, bodies: list[bytes], window: int) -> list[np.ndarray]:

@@ -10,41 +10,81 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, stored, table
 
-#: JSON schemas by tool. Known keywords: type, properties, required, additionalProperties (False), items, enum, minimum,
-#: maximum, minLength, maxLength, minItems, maxItems.
+#: JSON schemas by tool.
 Schemas = dict[str, dict]
 
+#: Keywords of schemas that are checked (fixed values); any other is an error, as it would be passed over. additionalProperties
+#: may be true or false.
+KEYWORDS = set("type properties required additionalProperties items enum const minimum maximum exclusiveMinimum exclusiveMaximum minLength maxLength pattern minItems maxItems title description default examples".split())
 #: What schema_of_variant calls the values of a JSON type, by its first letters (fixed values).
-TYPE_NAMES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL", "FLOAT"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
+NUMBERS = ["BIGINT", "DOUBLE", "DECIMAL", "FLOAT"]
+TYPE_NAMES = {"string": ["STRING"], "number": NUMBERS, "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"]}
+
+
+def any_holds(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def of_type(kind: Column, number: Column, name: str) -> Column:
+    """Whether a value has a JSON type; a number without a fraction is an integer however it is written."""
+    named = lambda names: any_holds([kind.startswith(n) for n in names])
+    return named(NUMBERS) & F.coalesce(number % 1 == 0, F.lit(False)) if name == "integer" else named(TYPE_NAMES[name])
+
+
+def equals(value: Column, kind: Column, number: Column, literal) -> Column:
+    """Equality with a JSON literal that is no array or object: of one type, numbers by value."""
+    if isinstance(literal, (dict, list)):
+        raise ValueError(f"{literal} in a schema: only single values are compared")
+    if literal is None:
+        return of_type(kind, number, "null")
+    if isinstance(literal, bool):
+        return of_type(kind, number, "boolean") & (F.try_variant_get(value, "$", "boolean") == literal)
+    if isinstance(literal, (int, float)):
+        exact = F.try_variant_get(value, "$", "long") == literal if isinstance(literal, int) and abs(literal) < 2**63 else number == float(literal)
+        return of_type(kind, number, "number") & F.when(kind.startswith("BIGINT"), exact).otherwise(number == float(literal))
+    return of_type(kind, number, "string") & (F.try_variant_get(value, "$", "string") == literal)
 
 
 def value_errors(value: Column, schema: dict, at: str) -> list[Column]:
-    """Messages (null where all is well) about a variant that is present; a value that is absent has none."""
+    """Messages (null where all is well) about a variant that is present; a value that is absent has none. A keyword asks
+    something of values of its own type only, and nothing of a value whose type is wrong already."""
+    if not set(schema) <= KEYWORDS or not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"keywords that aren't known: {sorted(set(schema) - KEYWORDS) or ['additionalProperties']}")
     named = at or "arguments"
     kind = F.schema_of_variant(value)
-    fits = reduce(lambda a, b: a | b, [kind.startswith(n) for n in TYPE_NAMES[schema["type"]]]) if "type" in schema else F.lit(True)
-    fits = value.isNotNull() & F.coalesce(fits, F.lit(False))
+    number = F.when(any_holds([kind.startswith(n) for n in NUMBERS]), F.try_variant_get(value, "$", "double"))
+    text = F.when(kind.startswith("STRING"), F.try_variant_get(value, "$", "string"))
+    items = F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    types = schema.get("type", [])
+    types = [types] if isinstance(types, str) else types
+    fits = value.isNotNull() & (F.coalesce(any_holds([of_type(kind, number, t) for t in types]), F.lit(False)) if types else F.lit(True))
     bad = lambda broken, message: F.when(fits & F.coalesce(broken, F.lit(False)), f"{message} {named}")
     out = [F.when(value.isNotNull() & ~fits, f"type of {named}")]
-    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
-    items = F.try_variant_get(value, "$", "array<variant>")
-    if "enum" in schema:
-        out.append(bad(~text.isin(*[str(v) for v in schema["enum"]]), "value of"))
-    if "minimum" in schema or "maximum" in schema:
-        out.append(bad(~number.between(schema.get("minimum", float("-inf")), schema.get("maximum", float("inf"))), "range of"))
+    allowed = [*schema.get("enum", []), *([schema["const"]] if "const" in schema else [])]
+    if allowed:
+        one = lambda v: F.coalesce(equals(value, kind, number, v), F.lit(False))
+        tests = [any_holds([one(v) for v in schema["enum"]])] if "enum" in schema else []
+        tests += [one(schema["const"])] if "const" in schema else []
+        out.append(bad(~reduce(lambda a, b: a & b, tests), "value of"))
+    limits = [(k, f) for k, f in (("minimum", lambda v: number < v), ("maximum", lambda v: number > v), ("exclusiveMinimum", lambda v: number <= v), ("exclusiveMaximum", lambda v: number >= v)) if k in schema]
+    if limits:
+        out.append(bad(any_holds([f(float(schema[k])) for k, f in limits]), "range of"))
     if "minLength" in schema or "maxLength" in schema:
         out.append(bad(~F.length(text).between(schema.get("minLength", 0), schema.get("maxLength", 2**31 - 1)), "length of"))
+    if "pattern" in schema:
+        out.append(bad(~text.rlike(schema["pattern"]), "pattern of"))
     if "minItems" in schema or "maxItems" in schema:
         out.append(bad(~F.size(items).between(schema.get("minItems", 0), schema.get("maxItems", 2**31 - 1)), "items of"))
     if "items" in schema:
-        wrong = lambda e: reduce(lambda a, b: a | b, [m.isNotNull() for m in value_errors(e, schema["items"], f"{at}[]")])
+        wrong = lambda e: any_holds([m.isNotNull() for m in value_errors(e, schema["items"], f"{at}[]")])
         out.append(bad(F.exists(items, wrong), "an item of"))
-    inner = f"{at}." if at else ""
-    for name, child in schema.get("properties", {}).items():
-        got = F.try_variant_get(value, f"$['{name}']", "variant")
+    inner, is_object = f"{at}." if at else "", kind.startswith("OBJECT")
+    for name in dict.fromkeys([*schema.get("properties", {}), *schema.get("required", [])]):
+        got = F.when(is_object, F.try_variant_get(value, f"$['{name}']", "variant"))
         if name in schema.get("required", []):
-            out.append(F.when(fits & got.isNull(), f"missing {inner}{name}"))
-        out += value_errors(got, child, inner + name)
+            out.append(F.when(fits & is_object & got.isNull(), f"missing {inner}{name}"))
+        if name in schema.get("properties", {}):
+            out += value_errors(got, schema["properties"][name], inner + name)
     return out
 
 
@@ -52,7 +92,7 @@ def unknown_keys(value: Column, schema: dict, at: str) -> list[Column]:
     """Arrays of messages about keys that a closed object doesn't declare."""
     inner, out = f"{at}." if at else "", []
     if schema.get("additionalProperties") is False:
-        keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+        keys = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
         more = F.array_except(keys, F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>"))
         out.append(F.transform(F.coalesce(more, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"unknown {inner}"), k)))
     for name, child in schema.get("properties", {}).items():

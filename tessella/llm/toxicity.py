@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, m: int, held: int, per
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 got = [gram_counts(t) for t in part.column("text").to_pylist()]
-                cols = [pa.array([b.astype("<u4").tobytes() for b, _ in got], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in got], pa.binary())]
+                cols = [pa.array([b.astype("<u4").tobytes() for b, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), *cols], ["doc_id", "label", "buckets", "counts"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, m: int, held: int, per
     y = got["label"].to_numpy()
     if not 0 < y.sum() < len(y):
         return None
-    rows = [(np.frombuffer(b, "<u4"), np.frombuffer(c, "<u2")) for b, c in zip(got["buckets"], got["counts"], strict=True)]
+    rows = [(np.frombuffer(b, "<u4"), np.frombuffer(c, "<u4")) for b, c in zip(got["buckets"], got["counts"], strict=True)]
     texts = np.zeros((2, 1 << BITS))
     for k, (found, _) in zip(y, rows, strict=True):
         texts[k, found] += 1
