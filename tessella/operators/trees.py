@@ -1,4 +1,5 @@
-"""Trees from rows: adjacency pairs, path strings, and walks over edge tables. A tree grows by one join per level."""
+"""Trees from rows: adjacency pairs, path strings, and walks over edge tables. Walks are doubled: what is reached grows by
+twice as many levels with each join, so a tree of depth d takes about log2(d) joins."""
 
 from __future__ import annotations
 
@@ -14,6 +15,26 @@ from tessella.ordinal import checkpointed
 DEPTH = 256
 
 
+def reached(start: DataFrame, edges: DataFrame, arrays: list[str], check: Callable[[DataFrame], None] = lambda new: None) -> DataFrame:
+    """(node, depth, arrays) of all walks from the start along edges (top, bottom, arrays); arrays are joined on the way. check
+    sees what each round adds. A walk of DEPTH edges is an error."""
+    found = checkpointed(start.withColumn("depth", F.lit(0)))
+    # Walks of exactly `length` edges; those found so far have fewer.
+    steps, length = checkpointed(edges), 1
+    joined = lambda a, b: [F.concat(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")).alias(c) for c in arrays]
+    while True:
+        new = found.alias("f").join(steps.alias("s"), F.col("node") == F.col("top")).select(F.col("bottom").alias("node"), (F.col("depth") + length).alias("depth"), *joined("f", "s"))
+        new = checkpointed(new)
+        if new.isEmpty():
+            return found
+        check(new)
+        if length >= DEPTH:
+            raise ValueError(f"the tree is {DEPTH} levels deep")
+        found = found.unionByName(new)
+        twice = steps.alias("a").join(steps.alias("b"), F.col("a.bottom") == F.col("b.top"))
+        steps, length = checkpointed(twice.select("a.top", "b.bottom", *joined("a", "b"))), length * 2
+
+
 def adjacency_tree(rows: DataFrame, key: str, parent: str, roots: Column) -> DataFrame:
     """(key, parent, depth, path) of all rows that the root reaches; rows that it does not reach are dropped.
 
@@ -22,23 +43,18 @@ def adjacency_tree(rows: DataFrame, key: str, parent: str, roots: Column) -> Dat
     twice = rows.groupBy(key).count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"key {twice[0][key]} comes twice")
-    edges = rows.select(F.col(key).alias("key"), F.col(parent).alias("parent"))
-    level = rows.where(roots).select(F.col(key).alias("key"), F.col(parent).alias("parent"), F.lit(0).alias("depth"), F.array(F.col(key).cast("string")).alias("path"))
-    n = level.limit(2).count()
-    if n != 1:
+    root = rows.where(roots).select(F.col(key).alias("node"), F.array(F.col(key).cast("string")).alias("path"), F.array(F.col(parent)).alias("parents"))
+    found = root.limit(2).collect()
+    if len(found) != 1:
         raise ValueError("a tree has one root")
-    out = level = checkpointed(level)
-    for depth in range(1, DEPTH + 1):
-        up = level.select(F.col("key").alias("_up"), F.col("path").alias("_path"))
-        level = edges.join(up, F.col("parent") == F.col("_up")).select("key", "parent", F.lit(depth).alias("depth"), F.concat("_path", F.array(F.col("key").cast("string"))).alias("path"), F.array_contains("_path", F.col("key").cast("string")).alias("_cycle"))
-        level = checkpointed(level)
-        if level.isEmpty():
-            return out
-        if not level.where("_cycle").isEmpty():
+    edges = rows.where(F.col(parent).isNotNull()).select(F.col(parent).alias("top"), F.col(key).alias("bottom"), F.array(F.col(key).cast("string")).alias("path"), F.array(F.col(parent)).alias("parents"))
+
+    def check(new: DataFrame) -> None:
+        """Keys are unique, so a cycle that is reached leads back to the root."""
+        if not new.where(F.col("node") == F.lit(found[0]["node"])).isEmpty():
             raise ValueError("the tree has a cycle")
-        level = level.drop("_cycle")
-        out = out.unionByName(level)
-    raise ValueError(f"the tree is {DEPTH} levels deep")
+
+    return reached(root, edges, ["path", "parents"], check).select(F.col("node").alias("key"), F.element_at("parents", -1).alias("parent"), "depth", "path")
 
 
 def path_hierarchy(df: DataFrame, path: str, sep: str = "/", order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -68,12 +84,8 @@ def recursive_filter(node: Column, kind: T.StructType, items: str, children: str
 def recursive_collect(edges: DataFrame, leaves: DataFrame, root: str, sep: str = "/", prefix: str = "") -> DataFrame:
     """(path, value, place) of every leaf below the root, with the names on the way joined; `place` (an array of the
     children's ordinals) sorts depth first. edges: parent, child, name, ord; leaves: node, value, ord."""
-    level = edges.sparkSession.range(1).select(F.lit(root).alias("node"), F.lit(prefix).alias("path"), F.array().cast("array<bigint>").alias("place"))
-    found = None
-    for _ in range(DEPTH):
-        here = leaves.join(level, "node").select(F.col("path"), "value", F.concat("place", F.array(F.col("ord").cast("long"))).alias("place"))
-        found = here if found is None else found.unionByName(here)
-        level = checkpointed(edges.join(level, F.col("parent") == F.col("node")).select(F.col("child").alias("node"), F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(sep))), F.col("name")).alias("path"), F.concat("place", F.array(F.col("ord").cast("long"))).alias("place")))
-        if level.isEmpty():
-            return found
-    raise ValueError(f"the tree is {DEPTH} levels deep")
+    start = edges.sparkSession.range(1).select(F.lit(root).alias("node"), F.array().cast("array<string>").alias("names"), F.array().cast("array<bigint>").alias("place"))
+    steps = edges.select(F.col("parent").alias("top"), F.col("child").alias("bottom"), F.array("name").alias("names"), F.array(F.col("ord").cast("long")).alias("place"))
+    found = reached(start, steps, ["names", "place"])
+    path = F.aggregate("names", F.lit(prefix), lambda path, name: F.concat(F.when(path == "", "").otherwise(F.concat(path, F.lit(sep))), name))
+    return leaves.join(found, "node").select(path.alias("path"), "value", F.concat("place", F.array(F.col("ord").cast("long"))).alias("place"))

@@ -10,6 +10,7 @@ from tessella.functions import dates as D
 from tessella.functions import numbers as N
 from tessella.functions import paths as U
 from tessella.functions import text as X
+from tessella.operators import functions as R
 from tessella.plans.registry import Tables, query
 
 
@@ -89,3 +90,23 @@ def fn_large_numbers(t: Tables) -> DataFrame:
     """Whole numbers beyond 2^53, small and large factors, floats beyond any long."""
     key = F.col("o_orderkey").cast("long") + 2**53
     return t.orders.select("o_orderkey", N.floor(key).alias("fl"), N.round_half_away(key + 1, kind="long").alias("ro"), N.to_number(key.cast("string"), kind="long").alias("num"), N.multiply(F.col("o_custkey"), F.lit(0.12345678)).alias("tiny"), N.floor(N.multiply(F.col("o_orderkey"), F.lit(1e19))).alias("big"))
+
+
+@query("""SELECT event_id, event_type AS trimmed, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS parsed, strftime(ts, '%H.%M') AS clock, event_id % 3 = 0 AS nil, event_id % 3 = 0 OR event_id % 2 = 0 AS nil_or_missing, true AS guid, 'jobs/shape.map' AS mapping, true AS known FROM events""")
+def fn_rest(t: Tables) -> DataFrame:
+    """Trim, texts to times and back, explicit nils, random identifiers, values of the run."""
+    nil, value = F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 != 0, F.col("event_type"))
+    shown = D.format_datetime(F.col("ts"), "[Y]/[M01]/[D01] [H01]:[m01]:[s01]")
+    guid = U.create_guid()
+    return t.events.select("event_id", X.trim(F.concat(F.lit("  "), "event_type", F.lit(" "))).alias("trimmed"), D.parse_datetime(shown, "[Y]/[M01]/[D01] [H01]:[m01]:[s01]").alias("parsed"), D.format_time(D.time_from_datetime(F.col("ts")), "[H01].[m01]").alias("clock"), C.is_nil(nil).alias("nil"), C.substitute_missing_with_nil(value, nil).alias("nil_or_missing"), guid.rlike("^[0-9a-f]{32}$").alias("guid"), R.runtime_value("mapping_path", "jobs/shape.map").alias("mapping"), R.runtime_value("current_datetime").rlike("^20[0-9]{2}-").alias("known"))
+
+
+@query("""SELECT p_partkey, (p_size * 2 + 1) * 2 + 1 AS nested, round(p_retailprice / 4, 4) AS quarter, CASE WHEN p_brand LIKE '%1' THEN '/' || p_brand || '/x' ELSE '/lib/' || p_brand || '/x' END AS resolved FROM part""")
+def d2_nested_calls(t: Tables) -> DataFrame:
+    """User functions that call user functions, and paths of columns resolved against paths of columns."""
+    odd = R.UserFunction("odd", {"x": "long"}, "long", lambda x: x * 2 + 1)
+    half = R.UserFunction("half", {"x": "double"}, "double", lambda x: x / 2)
+    quarter = R.UserFunction("quarter", {"x": "double"}, "double", lambda x: half(half(x)))
+    base = F.concat(F.lit("/lib/"), "p_brand", F.lit("/base.txt"))
+    path = F.when(F.col("p_brand").endswith("1"), F.concat(F.lit("../../"), "p_brand", F.lit("/./x"))).otherwise(F.lit("x"))
+    return t.part.select("p_partkey", odd(odd(F.col("p_size"))).alias("nested"), F.round(quarter(F.col("p_retailprice")), 4).alias("quarter"), U.resolve_filepath(base, path).alias("resolved"))

@@ -322,6 +322,17 @@ def h3_adjacency_tree(t: Tables) -> DataFrame:
     return tree.select("key", "depth", F.array_join("path", "/").alias("path"))
 
 
+@query("SELECT o_orderkey AS key, (1 + (row_number() OVER (ORDER BY o_orderkey) - 1) % 150)::INT AS depth FROM orders")
+def h3_deep_tree(t: Tables) -> DataFrame:
+    """Chains of 150 orders below one root: a join for each doubling of the depth."""
+    rows = with_ordinal(t.orders.select("o_orderkey"), ["o_orderkey"], "place")
+    before = rows.select((F.col("place") + 1).alias("place"), F.col("o_orderkey").alias("before"))
+    linked = rows.join(before, "place", "left").select(F.col("o_orderkey").alias("key"), F.when((F.col("place") - 1) % 150 == 0, -1).otherwise(F.col("before")).cast("long").alias("parent"))
+    root = t.orders.agg(F.lit(-1).cast("long").alias("key"), F.lit(None).cast("long").alias("parent"))
+    tree = H.adjacency_tree(linked.withColumn("key", F.col("key").cast("long")).unionByName(root), "key", "parent", F.col("parent").isNull())
+    return tree.where("depth > 0").select("key", "depth")
+
+
 @query("SELECT 'r' || r_name || '/' || n_name AS path, count(s_suppkey) AS suppliers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def g5_recursive_collect(t: Tables) -> DataFrame:
     regions = t.region.select(F.lit("root").alias("parent"), F.concat(F.lit("r"), "r_regionkey").alias("child"), F.concat(F.lit("r"), "r_name").alias("name"), F.col("r_regionkey").alias("ord"))

@@ -240,3 +240,18 @@ def test_running_counts_over_blocks_of_blocks(spark, block):
     df = spark.range(1, 101).select("id", (F.col("id") % 3 == 0).alias("f"))
     got = {r["id"]: r["n"] for r in running_count(df, "f", "id", "n", block).collect()}
     assert got == {i: i // 3 for i in range(1, 101)}
+
+
+def test_a_deep_tree_takes_few_joins(spark, monkeypatch):
+    from tessella.operators import trees
+
+    rounds, kept = [], trees.checkpointed
+    monkeypatch.setattr(trees, "checkpointed", lambda df: rounds.append(df.columns) or kept(df))
+    rows = spark.createDataFrame([(i, i - 1 if i else None) for i in range(200)] + [(900, 901), (901, 900), (902, 950)], "k int, p int")
+    tree = trees.adjacency_tree(rows, "k", "p", F.col("p").isNull()).collect()
+    assert {r["key"]: (r["parent"], r["depth"], len(r["path"])) for r in tree} == {i: (i - 1 if i else None, i, i + 1) for i in range(200)}
+    assert sum("depth" in c for c in rounds) - 1 <= 9
+    with pytest.raises(ValueError, match="levels deep"):
+        trees.adjacency_tree(spark.range(300).selectExpr("id k", "nullif(id - 1, -1) p"), "k", "p", F.col("p").isNull())
+    with pytest.raises(ValueError, match="cycle"):
+        trees.adjacency_tree(spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "k int, p int"), "k", "p", F.col("k") == 1)
