@@ -477,3 +477,11 @@ def test_calls_and_results_meet_in_a_hash_join(spark):
 def test_deep_chain(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("call_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"))
     assert tool_calls.topological_depth(df).where("depth <> cast(call_id as long)").count() == 0
+
+
+@pytest.mark.parametrize("low, high, seed", [(1, 2047, 1), (1, 2047, 2), (600, 1100, 3), (200, 900, 4), (30, 400, 5)])
+def test_islands_reach_best_fit_decreasing(low, high, seed):
+    sizes = np.random.default_rng(seed).integers(low, high + 1, 2000)
+    down = packing.fresh(sizes, np.argsort(-sizes, kind="stable"), 2048).max() + 1
+    best, _ = packing.evolve(sizes, [], 2048, seed, 8)
+    assert best.max() + 1 <= down and np.bincount(best, sizes).max() <= 2048
