@@ -171,21 +171,23 @@ PATIENCE = 16
 def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int, children: int = 4, population: int = 6) -> tuple[np.ndarray, int]:
     """The best packing of an island after some generations, and how many crossovers it took. An island without elites
     starts from random orders; it stops at the lower bound on bins. Best-fit decreasing is the mark to reach: an island that
-    is worse goes on, up to PATIENCE times as long. That packing itself is no part of any population."""
+    is worse goes on, up to PATIENCE times as long, with that packing as one parent of its crossovers."""
     rng, least, crossed = np.random.default_rng(seed), -(-int(sizes.sum()) // capacity), 0
     key = lambda x: fitness(sizes, x, capacity)
     pool = list(elites)
     while len(pool) < 2 or (not elites and len(pool) < population):
         pool.append(fresh(sizes, rng.permutation(len(sizes)), capacity))
     pool.sort(key=key, reverse=True)
-    enough = -key(fresh(sizes, np.argsort(-sizes, kind="stable"), capacity))[0]
+    mark = fresh(sizes, np.argsort(-sizes, kind="stable"), capacity)
+    enough = -key(mark)[0]
     for g in range(PATIENCE * generations):
         bins = -key(pool[0])[0]
         if bins <= least or (g >= generations and bins <= enough):
             break
         for _ in range(children):
             i, j = rng.choice(len(pool), 2, replace=False)
-            pool.append(crossover(sizes, pool[i], pool[j], capacity, rng))
+            late = g >= generations
+            pool.append(crossover(sizes, pool[i], mark if late else pool[j], capacity, rng, 0.95 if late else 0.3))
             crossed += 1
         pool = sorted(pool, key=key, reverse=True)[:population]
     return pool[0], crossed
