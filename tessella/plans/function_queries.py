@@ -97,11 +97,11 @@ def fn_rest(t: Tables) -> DataFrame:
     """Trim, texts to times and back, explicit nils, random identifiers, values of the run."""
     nil, value = F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 != 0, F.col("event_type"))
     shown = D.format_datetime(F.col("ts"), "[Y]/[M01]/[D01] [H01]:[m01]:[s01]")
-    guid = U.create_guid()
-    return t.events.select("event_id", X.trim(F.concat(F.lit("  "), "event_type", F.lit(" "))).alias("trimmed"), D.parse_datetime(shown, "[Y]/[M01]/[D01] [H01]:[m01]:[s01]").alias("parsed"), D.format_time(D.time_from_datetime(F.col("ts")), "[H01].[m01]").alias("clock"), C.is_nil(nil).alias("nil"), C.substitute_missing_with_nil(value, nil).alias("nil_or_missing"), guid.rlike("^[0-9a-f]{32}$").alias("guid"), R.runtime_value("mapping_path", "jobs/shape.map").alias("mapping"), R.runtime_value("current_datetime").rlike("^20[0-9]{2}-").alias("known"))
+    guid, rows = U.create_guid(), t.events.withColumn("shown", shown)
+    return rows.select("event_id", X.trim(F.concat(F.lit("  "), "event_type", F.lit(" "))).alias("trimmed"), D.parse_datetime(F.col("shown"), "[Y]/[M01]/[D01] [H01]:[m01]:[s01]").alias("parsed"), D.format_time(D.time_from_datetime(F.col("ts")), "[H01].[m01]").alias("clock"), C.is_nil(nil).alias("nil"), C.substitute_missing_with_nil(value, nil).alias("nil_or_missing"), guid.rlike("^[0-9a-f]{32}$").alias("guid"), R.runtime_value("mapping_path", "jobs/shape.map").alias("mapping"), R.runtime_value("current_datetime").rlike("^20[0-9]{2}-").alias("known"))
 
 
-@query("""SELECT p_partkey, (p_size * 2 + 1) * 2 + 1 AS nested, round(p_retailprice / 4, 4) AS quarter, CASE WHEN p_brand LIKE '%1' THEN '/' || p_brand || '/x' ELSE '/lib/' || p_brand || '/x' END AS resolved FROM part""")
+@query("""SELECT p_partkey, ((p_size * 2 + 1) * 2 + 1)::BIGINT AS nested, round(p_retailprice / 4, 4) AS quarter, CASE WHEN p_brand LIKE '%1' THEN '/' || p_brand || '/x' ELSE '/lib/' || p_brand || '/x' END AS resolved FROM part""")
 def d2_nested_calls(t: Tables) -> DataFrame:
     """User functions that call user functions, and paths of columns resolved against paths of columns."""
     odd = R.UserFunction("odd", {"x": "long"}, "long", lambda x: x * 2 + 1)

@@ -92,7 +92,7 @@ def x6_and_j7_mixed_types(t: Tables) -> DataFrame:
     return missed.select("p_partkey", F.when(listed, "listed").otherwise("other").alias("size"), "n_name")
 
 
-@query("SELECT k, count(*) FILTER (l_quantity > 30) AS n, sum(l_orderkey) FILTER (l_quantity > 30) AS total, min(l_orderkey * 10 + l_linenumber) FILTER (l_quantity > 30) AS first FROM (SELECT *, nullif(l_suppkey % 5, 0) AS k FROM lineitem) GROUP BY 1")
+@query("SELECT k, count(*) FILTER (l_quantity > 30) AS n, (sum(l_orderkey) FILTER (l_quantity > 30))::BIGINT AS total, min(l_orderkey * 10 + l_linenumber) FILTER (l_quantity > 30) AS first FROM (SELECT *, nullif(l_suppkey % 5, 0) AS k FROM lineitem) GROUP BY 1")
 def p11_and_a11_null_keys(t: Tables) -> DataFrame:
     """Null is a key: first rows, sequences and join aggregates of its group."""
     from tessella.operators import shape as P

@@ -238,6 +238,13 @@ def p15_value_map(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", C.value_map(F.col("o_orderstatus"), {"F": "finished", "O": "open"}, "other").alias("status"))
 
 
+@query("SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' ELSE 'other' END AS level, CASE WHEN o_totalprice = floor(o_totalprice) AND o_custkey % 2 = 0 THEN 'even' ELSE 'unknown' END AS kind FROM orders")
+def p15_value_map_of_another_type(t: Tables) -> DataFrame:
+    """Text and floats turned into whole numbers before they are looked up; what is none misses."""
+    digit, price = F.left("o_orderpriority", F.lit(1)), F.when(F.col("o_totalprice") == F.floor("o_totalprice"), F.col("o_custkey") % 2).otherwise(0.5).cast("double")
+    return t.orders.select("o_orderkey", C.value_map(digit, {1: "urgent", 2: "high"}, "other", input_type="long").alias("level"), C.value_map(price, {0: "even"}, "unknown", input_type="long").alias("kind"))
+
+
 @query("SELECT p_partkey, p_brand || ' <' || upper(p_type) || '>' AS content FROM part")
 def p17_mixed_content(t: Tables) -> DataFrame:
     run = lambda name, text: F.struct(F.lit(name).cast("string").alias("name"), text.alias("text"))
