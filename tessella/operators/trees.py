@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.ordinal import checkpointed
+from tessella.ordinal import checkpointed, discard, stored
 
 #: Deepest tree.
 DEPTH = 256
 
 
-def reached(start: DataFrame, edges: DataFrame, arrays: list[str], check: Callable[[DataFrame], None] = lambda new: None) -> DataFrame:
-    """(node, depth, arrays) of all walks from the start along edges (top, bottom, arrays); arrays are joined on the way. check
-    sees what each round adds. A walk of DEPTH edges is an error."""
+def reached(start: DataFrame, edges: DataFrame, arrays: list[str]) -> DataFrame:
+    """(node, depth, arrays) of all walks from the start along edges (top, bottom, arrays); arrays are joined on the way. A walk
+    of DEPTH edges is an error."""
     found = checkpointed(start.withColumn("depth", F.lit(0)))
     # Walks of exactly `length` edges; those found so far have fewer.
     steps, length = checkpointed(edges), 1
@@ -27,7 +27,6 @@ def reached(start: DataFrame, edges: DataFrame, arrays: list[str], check: Callab
         new = checkpointed(new)
         if new.isEmpty():
             return found
-        check(new)
         if length >= DEPTH:
             raise ValueError(f"the tree is {DEPTH} levels deep")
         found = found.unionByName(new)
@@ -35,26 +34,44 @@ def reached(start: DataFrame, edges: DataFrame, arrays: list[str], check: Callab
         steps, length = checkpointed(twice.select("a.top", "b.bottom", *joined("a", "b"))), length * 2
 
 
-def adjacency_tree(rows: DataFrame, key: str, parent: str, roots: Column) -> DataFrame:
-    """(key, parent, depth, path) of all rows that the root reaches; rows that it does not reach are dropped.
+def adjacency_tree(rows: DataFrame, key: str, parent: str, roots: Column, paths: bool = True) -> DataFrame:
+    """(key, parent, depth, path) of all rows that the root reaches; rows that it does not reach are dropped. Without `paths`
+    there is no path, which takes as much room as all depths together.
 
     A key that comes twice, none or several roots, a cycle that is reached and a depth of DEPTH are errors.
     """
     twice = rows.groupBy(key).count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"key {twice[0][key]} comes twice")
-    root = rows.where(roots).select(F.col(key).alias("node"), F.array(F.col(key).cast("string")).alias("path"), F.array(F.col(parent)).alias("parents"))
+    names = F.array(F.col(key).cast("string"))
+    root = rows.where(roots).select(F.col(key).alias("node"), F.col(parent).alias("parent"), names.alias("path"))
     found = root.limit(2).collect()
     if len(found) != 1:
         raise ValueError("a tree has one root")
-    edges = rows.where(F.col(parent).isNotNull()).select(F.col(parent).alias("top"), F.col(key).alias("bottom"), F.array(F.col(key).cast("string")).alias("path"), F.array(F.col(parent)).alias("parents"))
-
-    def check(new: DataFrame) -> None:
-        """Keys are unique, so a cycle that is reached leads back to the root."""
-        if not new.where(F.col("node") == F.lit(found[0]["node"])).isEmpty():
+    spark, top = rows.sparkSession, F.lit(found[0]["node"])
+    carried = ["path"] if paths else []
+    # Each row points to the node `depth` edges above it, and is done when that is the root. A round lets it point to where
+    # that node points; one table holds all rows, so that the round before can go.
+    first = rows.where(F.col(parent).isNotNull()).select(F.col(key).alias("node"), F.col(parent).alias("parent"), F.col(parent).alias("top"), F.lit(1).alias("depth"), *([names.alias("path")] if paths else []))
+    (steps, path), before = stored(first), 0
+    while True:
+        done = F.col("top") == top
+        state = steps.agg(F.count_if(done).alias("done"), F.count_if(~done).alias("open"), F.max(F.when(done, F.col("depth"))).alias("depth"), F.count_if(done & (F.col("node") == top)).alias("cycle")).first()
+        if state["cycle"]:
             raise ValueError("the tree has a cycle")
-
-    return reached(root, edges, ["path", "parents"], check).select(F.col("node").alias("key"), F.element_at("parents", -1).alias("parent"), "depth", "path")
+        if state["done"] and state["depth"] >= DEPTH:
+            raise ValueError(f"the tree is {DEPTH} levels deep")
+        # Without a row at the next depths there is none below them: what is open hangs on other cycles.
+        if not state["open"] or state["done"] == before:
+            break
+        before = state["done"]
+        low, up = steps.where(~done).alias("a"), steps.alias("b")
+        joined = low.join(up, F.col("a.top") == F.col("b.node")).select("a.node", "a.parent", "b.top", (F.col("a.depth") + F.col("b.depth")).alias("depth"), *[F.concat(f"b.{c}", f"a.{c}").alias(c) for c in carried])
+        old = path
+        steps, path = stored(steps.where(done).unionByName(joined))
+        discard(spark, old)
+    tree = steps.where(F.col("top") == top).select(F.col("node").alias("key"), "parent", "depth", *[F.concat(F.array(top.cast("string")), c).alias(c) for c in carried])
+    return root.select(F.col("node").alias("key"), "parent", F.lit(0).alias("depth"), *carried).unionByName(tree)
 
 
 def path_hierarchy(df: DataFrame, path: str, sep: str = "/", order_by: str | None = None) -> tuple[DataFrame, DataFrame]:

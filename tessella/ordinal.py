@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows from a new Parquet folder beside the checkpoints, and its path, which discard() takes. Such files take a fraction
+    of a checkpoint's room."""
+    spark = df.sparkSession
+    with_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored folder that no later step reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def with_ordinal(df: DataFrame, order_by: list, name: str = "ord", start: int = 1) -> DataFrame:
     """Dense ordinal over the whole table without a single-partition window: sort by range, number the rows in each
     partition, add the counts of the partitions before. Ties are numbered in any order, so order_by should be unique."""

@@ -329,7 +329,7 @@ def h3_deep_tree(t: Tables) -> DataFrame:
     before = rows.select((F.col("place") + 1).alias("place"), F.col("o_orderkey").alias("before"))
     linked = rows.join(before, "place", "left").select(F.col("o_orderkey").alias("key"), F.when((F.col("place") - 1) % 150 == 0, -1).otherwise(F.col("before")).cast("long").alias("parent"))
     root = t.orders.agg(F.lit(-1).cast("long").alias("key"), F.lit(None).cast("long").alias("parent"))
-    tree = H.adjacency_tree(linked.withColumn("key", F.col("key").cast("long")).unionByName(root), "key", "parent", F.col("parent").isNull())
+    tree = H.adjacency_tree(linked.withColumn("key", F.col("key").cast("long")).unionByName(root), "key", "parent", F.col("parent").isNull(), paths=False)
     return tree.where("depth > 0").select("key", "depth")
 
 
