@@ -46,7 +46,7 @@ def order_messages(t: Tables) -> DataFrame:
     line = lambda x: F.concat(F.lit("LIN+"), x["l_linenumber"].cast("string"), F.lit("++"), x["l_partkey"].cast("string"), F.lit("'QTY+21:"), X.text(x["l_quantity"]), F.lit("'"))
     orders = orders_with_lines(t).where(F.size("lines") > 0)
     text = F.concat(F.lit("UNH+"), F.col("o_orderkey").cast("string"), F.lit("+ORDERS'"), F.array_join(F.transform("lines", line), ""), F.lit("UNT+0+"), F.col("o_orderkey").cast("string"), F.lit("'"))
-    return orders.select("o_orderkey", text.alias("text"))
+    return E.dealt(orders.select("o_orderkey", text.alias("text")), ["o_orderkey"], t.orders.count())
 
 
 @query("SELECT l_orderkey AS o_orderkey, l_linenumber::VARCHAR AS line, l_partkey::VARCHAR AS part, l_quantity::BIGINT AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
@@ -152,10 +152,10 @@ def o2_mixed_order(t: Tables) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY try_cast(v AS DECIMAL(38,0)) NULLS LAST, v) AS place, p_partkey FROM (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand || p_partkey ELSE (9007199254740992 + p_partkey)::VARCHAR END AS v FROM part)")
 def o2_exact_order(t: Tables) -> DataFrame:
-    """Whole numbers that no float tells apart are in order, before text."""
+    """Whole numbers that no float tells apart are in order, before text; parts whose texts are equal follow their keys."""
     large = (F.col("p_partkey").cast("long") + 2**53).cast("string")
     rows = t.part.select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, F.concat("p_brand", "p_partkey")).otherwise(large).alias("v"))
-    return with_ordinal(rows, O.mixed_order(F.col("v")), "place").select("place", "p_partkey")
+    return with_ordinal(rows, [*O.mixed_order(F.col("v")), "p_partkey"], "place").select("place", "p_partkey")
 
 
 @query("SELECT l_orderkey, count(*) AS items, coalesce(sum(l_quantity), 0) AS total, count(*) FILTER (l_quantity > 25) AS large FROM lineitem GROUP BY 1")

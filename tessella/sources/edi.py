@@ -36,6 +36,17 @@ def separators(text: Column, dialect: str) -> dict[str, Column]:
     raise ValueError(dialect)
 
 
+#: Documents a task reads, where they are dealt out before they are cut.
+DOCUMENTS = 20000
+#: Noncharacters, which no interchanged text has, that stand for a document's element, component and segment separators.
+ELEMENT, COMPONENT, SEGMENT = "\uFDD0", "\uFDD1", "\uFDD2"
+
+
+def dealt(docs: DataFrame, doc: list[str], n: int) -> DataFrame:
+    """The same rows, about n, in tasks of DOCUMENTS: the number of tasks grows with the documents, and not a task's size."""
+    return docs.repartition(max(1, -(-n // DOCUMENTS)), *doc)
+
+
 def held_back(text: Column, sep: dict[str, Column]) -> Column:
     """Released characters as their stand-ins: ?? first, so that pairs of release characters pair up from the left."""
     if "release" not in sep:
@@ -58,15 +69,20 @@ def edi_segments(docs: DataFrame, text: str, dialect: str) -> DataFrame:
         body = F.regexp_replace(whole, "\r?\n", "\r")
     else:
         body = held_back(F.when(whole.startswith("UNA"), F.substring(whole, F.lit(10), F.length(whole))).otherwise(whole) if dialect == "edifact" else whole, sep)
+    if "release" in sep:
+        # One pass replaces a document's own separators by fixed ones, which are split at without patterns of each row.
+        body = F.call_function("translate", body, F.concat(sep["element"], sep["component"], sep["segment"]), F.lit(ELEMENT + COMPONENT + SEGMENT))
+        sep = {"element": F.lit(ELEMENT), "component": F.lit(COMPONENT), "segment": F.lit(SEGMENT)}
+        cut = lambda value, by: F.split(value, {"_seg": SEGMENT, "_el": ELEMENT, "_co": COMPONENT}[by], -1)
+    else:
+        cut = lambda value, by: split_by(value, F.col(by))
     held = docs.withColumns({"_seg": sep["segment"], "_el": sep["element"], "_co": sep["component"], "_body": body})
-    rows = held.select(*docs.columns, "_el", "_co", F.posexplode(F.filter(F.transform(split_by(F.col("_body"), F.col("_seg")), lambda s: F.regexp_replace(s, r"^[\r\n ]+|[\r\n ]+$", "")), lambda s: s != "")).alias("_i", "_s"))
+    rows = held.select(*docs.columns, "_el", "_co", F.posexplode(F.filter(F.transform(cut(F.col("_body"), "_seg"), lambda s: F.btrim(s, F.lit("\r\n "))), lambda s: s != "")).alias("_i", "_s"))
     if dialect == "tradacoms":
-        rows = rows.withColumn("_s", F.regexp_replace("_s", "^([A-Z]{3})=", "$1+"))
-    parts = split_by(F.col("_s"), F.col("_el"))
-    rows = rows.withColumn("_parts", parts)
+        rows = rows.withColumn("_s", F.regexp_replace("_s", "^([A-Z]{3})=", f"$1{ELEMENT}"))
+    rows = rows.withColumn("_parts", cut(F.col("_s"), "_el"))
     keep_whole = (F.get("_parts", F.lit(0)).isin("MSH", "FHS", "BHS", "ISA")) if dialect in ("hl7", "x12") else F.lit(False)
-    component = F.col("_co")
-    elements = F.transform(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), lambda e: F.when(keep_whole, F.array(put_back(e))).otherwise(F.transform(split_by(e, component), put_back)))
+    elements = F.transform(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), lambda e: F.when(keep_whole, F.array(put_back(e))).otherwise(F.transform(cut(e, "_co"), put_back)))
     return rows.select(*docs.columns, (F.col("_i") + 1).alias("seg_no"), F.get("_parts", F.lit(0)).alias("id"), elements.alias("elements"))
 
 
