@@ -13,6 +13,11 @@ from tessella.functions.text import as_column
 ZONE = r"(Z|[+-]\d{2}:\d{2})$"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def iso(value) -> Column:
     """ISO text of a text, date or timestamp value."""
     value = as_column(value)
@@ -21,10 +26,14 @@ def iso(value) -> Column:
 
 def local(value) -> Column:
     """The local timestamp of ISO text, without its zone; 24:00:00 is the next day's midnight."""
-    s = F.regexp_replace(iso(value), ZONE, "")
-    late = s.rlike(r"T24:00(:00(\.0+)?)?$")
-    plain = F.to_timestamp_ntz(F.regexp_replace(s, r"T24:00", "T00:00"))
-    return F.when(late, plain + F.expr("interval 1 day")).otherwise(plain)
+    value = as_column(value)
+
+    def read(s: Column) -> Column:
+        late = s.rlike(r"T24:00(:00(\.0+)?)?$")
+        return F.when(late, F.to_timestamp_ntz(F.regexp_replace(s, r"T24:00", "T00:00")) + F.expr("interval 1 day")).otherwise(F.to_timestamp_ntz(F.regexp_replace(s, r"T24:00", "T00:00")))
+
+    # A timestamp is what its text says.
+    return F.when(F.typeof(value).isin("timestamp", "timestamp_ntz"), value.cast("timestamp_ntz")).otherwise(bound(F.regexp_replace(iso(value), ZONE, ""), read))
 
 
 def date_from_datetime(value) -> Column:
@@ -159,9 +168,17 @@ def width_of(component: str, presentation: str, width: str) -> int:
 
 def format_datetime(value, picture: str) -> Column:
     """An XPath picture such as '[D01] [MNn] [Y]'; names are English."""
-    stamp, pieces = local(value), []
-    for kind, shown, width in picture_parts(picture):
-        n = width_of(kind, shown, width)
+    parts = [(kind, shown, width_of(kind, shown, width), width) for kind, shown, width in picture_parts(picture)]
+    if all(kind == "text" or kind in FORMAT and shown[:1] not in ("N", "n") for kind, shown, _, _ in parts):
+        # Digits and text only: one pattern.
+        pattern = "".join("'" + shown.replace("'", "''") + "'" if kind == "text" else FORMAT[kind].get(n) or FORMAT[kind][max(FORMAT[kind])] for kind, shown, n, _ in parts)
+        return F.when(as_column(value).isNotNull(), F.date_format(local(value), pattern))
+    return bound(local(value), lambda stamp: shown_parts(value, stamp, parts))
+
+
+def shown_parts(value, stamp: Column, parts: list) -> Column:
+    pieces = []
+    for kind, shown, n, width in parts:
         if kind == "text":
             pieces.append(F.lit(shown))
         elif kind in ("M", "F") and shown[:1] in ("N", "n"):
@@ -200,9 +217,13 @@ def format_time(value, picture: str) -> Column:
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
-def parsed(value, picture: str) -> dict[str, Column]:
-    """The components of a text that follows a picture, as texts; null where the text does not."""
-    s, pattern, groups = as_column(value), "", []
+#: Stands between the components that a text was cut into.
+UNIT = "\x1f"
+
+
+def parsed(value, picture: str, use) -> Column:
+    """use(the components of a text that follows a picture, as texts; null where the text does not)."""
+    pattern, groups = "", []
     for kind, shown, width in picture_parts(picture):
         if kind == "text":
             pattern += re.escape(shown).replace("/", "\\/")
@@ -217,23 +238,31 @@ def parsed(value, picture: str) -> dict[str, Column]:
         else:
             pattern += rf"(\d{{{n}}})" if n > 1 else r"(\d{1,2})" if kind != "f" else r"(\d+)"
         groups.append(kind + ("n" if shown[:1] in ("N", "n") else ""))
-    out = {}
-    for i, kind in enumerate(groups, 1):
-        got = F.nullif(F.regexp_extract(s, f"^{pattern}$", i), F.lit(""))
-        if kind == "Mn":
-            got = F.coalesce(*[F.when(F.lower(got).isin(m, m[:3]), f"{k:02d}") for k, m in enumerate(MONTHS, 1)])
-            kind = "M"
-        out[kind] = got
-    return out
+    s = as_column(value)
+    cut = F.when(s.rlike(f"^{pattern}$"), F.split(F.regexp_replace(s, f"^{pattern}$", UNIT.join(f"${i}" for i in range(1, len(groups) + 1))), UNIT))
+
+    def named(parts: Column) -> Column:
+        out = {}
+        for i, kind in enumerate(groups):
+            got = F.nullif(F.get(parts, F.lit(i)), F.lit(""))
+            if kind == "Mn":
+                got = F.coalesce(*[F.when(F.lower(got).isin(m, m[:3]), f"{k:02d}") for k, m in enumerate(MONTHS, 1)])
+                kind = "M"
+            out[kind] = got
+        return use(out)
+
+    return bound(cut, named)
 
 
 def parse_date(value, picture: str) -> Column:
     """ISO date of a text in a picture such as '[D01].[M01].[Y]'; null for null, an error for another form."""
-    p = parsed(value, picture)
-    year = F.when(F.length(p["Y"]) == 2, F.concat(F.lit("20"), p["Y"])).otherwise(p["Y"])
-    made = F.concat_ws("-", year, F.lpad(p.get("M", F.lit("01")), 2, "0"), F.lpad(p.get("D", F.lit("01")), 2, "0"))
-    ok = F.try_to_date(made, "yyyy-MM-dd").isNotNull() & p["Y"].isNotNull()
-    return checked(value, ok, made)
+
+    def made(p: dict[str, Column]) -> Column:
+        year = F.when(F.length(p["Y"]) == 2, F.concat(F.lit("20"), p["Y"])).otherwise(p["Y"])
+        text = F.concat_ws("-", year, F.lpad(p.get("M", F.lit("01")), 2, "0"), F.lpad(p.get("D", F.lit("01")), 2, "0"))
+        return bound(text, lambda t: checked(value, F.try_to_date(t, "yyyy-MM-dd").isNotNull() & p["Y"].isNotNull(), t))
+
+    return parsed(value, picture, made)
 
 
 def checked(value, ok: Column, made: Column) -> Column:
@@ -242,19 +271,21 @@ def checked(value, ok: Column, made: Column) -> Column:
 
 
 def parse_time(value, picture: str) -> Column:
-    p = parsed(value, picture)
-    hour = p.get("H")
-    if hour is None:
-        twelve = p["h"].try_cast("int") % 12
-        late = F.lower(p["Pn"]).startswith("p") if "Pn" in p else F.lit(False)
-        hour = (twelve + F.when(late, 12).otherwise(0)).cast("string")
-    two = lambda c: F.lpad(c, 2, "0")
-    made = F.concat_ws(":", two(hour), two(p.get("m", F.lit("00"))), two(p.get("s", F.lit("00"))))
-    if "f" in p:
-        made = F.concat(made, F.lit("."), p["f"])
-    if "Z" in p:
-        made = F.concat(made, F.regexp_replace(p["Z"], r"^([+-]\d\d):?(\d\d)$", "$1:$2"))
-    return checked(value, made.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d"), made)
+    def made(p: dict[str, Column]) -> Column:
+        hour = p.get("H")
+        if hour is None:
+            twelve = p["h"].try_cast("int") % 12
+            late = F.lower(p["Pn"]).startswith("p") if "Pn" in p else F.lit(False)
+            hour = (twelve + F.when(late, 12).otherwise(0)).cast("string")
+        two = lambda c: F.lpad(c, 2, "0")
+        text = F.concat_ws(":", two(hour), two(p.get("m", F.lit("00"))), two(p.get("s", F.lit("00"))))
+        if "f" in p:
+            text = F.concat(text, F.lit("."), p["f"])
+        if "Z" in p:
+            text = F.concat(text, F.regexp_replace(p["Z"], r"^([+-]\d\d):?(\d\d)$", "$1:$2"))
+        return bound(text, lambda t: checked(value, t.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d"), t))
+
+    return parsed(value, picture, made)
 
 
 def parse_datetime(value, picture: str) -> Column:

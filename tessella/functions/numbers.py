@@ -54,7 +54,11 @@ def multiply(a, b) -> Column:
     a, b = as_column(a), as_column(b)
     (x, i), (y, j) = scientific(a), scientific(b)
     exact = F.concat((x * y).cast("string"), F.lit("E"), (i + j).cast("string")).try_cast("double")
-    return F.coalesce(exact, a.cast("double") * b.cast("double"))
+    # Numbers of at most 4 decimals, as whole numbers whose product is exact: the division rounds once.
+    m, n = F.rint(a.cast("double") * 1e4), F.rint(b.cast("double") * 1e4)
+    plain = lambda c, k: F.typeof(c).isin("double", "int", "bigint") & (F.abs(c.cast("double")) < 1e11) & (k / 1e4 == c.cast("double"))
+    short = plain(a, m) & plain(b, n) & (F.abs(m * n) < float(2**53))
+    return F.when(short, m * n / 1e8 + 0.0).otherwise(F.coalesce(exact, a.cast("double") * b.cast("double")))
 
 
 def multiply_whole(a, b) -> Column:
@@ -116,14 +120,14 @@ def format_number(value, picture: str, decimal: str = ".", group: str = ",") ->
             out = F.regexp_replace(F.format_number(rounded, most), ",", "")
         for _ in range(most - least):
             out = F.regexp_replace(out, rf"(\.\d{{{least},}}?)0$", "$1")
-        out = F.regexp_replace(out, r"\.$", "")
+        out = F.regexp_replace(out, r"\.$", "") if most else out
         need = whole.count("0")
         if need == 0:
             out = F.regexp_replace(out, r"^0(?=\.)", "")
         elif need > 1 and group not in whole:
             digits = F.regexp_extract(out, r"^\d+", 0)
             out = F.concat(F.when(F.length(digits) < need, F.lpad(digits, need, "0")).otherwise(digits), F.regexp_replace(out, r"^\d+", ""))
-        out = F.translate(out, ",.", group + decimal)
+        out = F.translate(out, ",.", group + decimal) if group + decimal != ",." else out
         return F.concat(F.lit(prefix), out, F.lit(suffix))
 
     value = as_column(value)
