@@ -47,13 +47,16 @@ def find_in_range(df: DataFrame, table: DataFrame, value: str, low: str | None,
     probe = df.select(F.col(value).alias("_v"), *[F.col(a).alias(f"_k{i}") for i, (a, _) in enumerate(keys)]).where(F.col(value).isNotNull()).distinct()
     bound = lambda c: F.col(c) if c else F.lit(None).cast(df.schema[value].dataType)
     rows = table.select(bound(low).alias("_low"), bound(high).alias("_high"), *[F.col(b).alias(f"_k{i}") for i, (_, b) in enumerate(keys)], F.struct(*order_by).alias("_ord"), take.alias("_take"))
+    # Of rows with one range the first is enough.
+    ks = [f"_k{i}" for i in range(len(keys))]
+    rows = rows.groupBy("_low", "_high", *ks).agg(F.min_by(F.struct("_ord", "_take"), "_ord").alias("_row")).select("_low", "_high", *ks, "_row.*")
     ends = [rows.select(F.col(c).alias("_v")).where(F.col(c).isNotNull()) for c, given in (("_low", low), ("_high", high)) if given]
     values = probe.select("_v")
     for e in ends:
         values = values.unionByName(e)
     ranks = with_ordinal(values.distinct(), ["_v"], "_rank")
     n = ranks.agg(F.coalesce(F.max("_rank"), F.lit(0)).alias("n")).first()["n"]
-    levels, ks = max(n + 1, 2).bit_length(), [f"_k{i}" for i in range(len(keys))]
+    levels = max(n + 1, 2).bit_length()
     for c, given, step, end in (("_low", low, 0 if closed[0] else 1, 1), ("_high", high, 0 if closed[1] else -1, n)):
         if given:
             rows = rows.join(ranks.select(F.col("_v").alias(c), F.col("_rank").alias(f"_r{c}")), c, "left").withColumn(f"_r{c}", F.coalesce(F.col(f"_r{c}") + step, F.lit(end)))
